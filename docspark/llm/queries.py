@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from docspark.llm import op3_mixing as op3
+from docspark.llm.op4_quality_rules import op4_quality_rules
 from docspark.llm.op10_bpe import op10_bpe
 
-QUERIES = {"op10_bpe": op10_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_mixing": op3.op3_mixing, "op4_quality_rules": op4_quality_rules, "op10_bpe": op10_bpe}
+ORACLES: dict[str, str] = {"op3_mixing": op3.SQL}
