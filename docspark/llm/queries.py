@@ -6,6 +6,7 @@ from docspark.llm import op3_mixing as op3
 from docspark.llm import op7_token_counts as op7
 from docspark.llm import op8_exact_dedup as op8
 from docspark.llm.op4_quality_rules import op4_quality_rules
+from docspark.llm.op9_license_scan import op9_license_scan
 from docspark.llm.op10_bpe import op10_bpe
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op7_token_counts": op7.op7_token_counts,
     "op8_exact_dedup": op8.op8_exact_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {"op3_mixing": op3.SQL, "op7_token_counts": op7.SQL, "op8_exact_dedup": op8.SQL}
