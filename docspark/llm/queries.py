@@ -5,11 +5,13 @@ from __future__ import annotations
 from docspark.llm import op3_mixing as op3
 from docspark.llm import op7_token_counts as op7
 from docspark.llm import op8_exact_dedup as op8
+from docspark.llm.op1_quality_fm import op1_quality_fm
 from docspark.llm.op4_quality_rules import op4_quality_rules
 from docspark.llm.op9_license_scan import op9_license_scan
 from docspark.llm.op10_bpe import op10_bpe
 
 QUERIES = {
+    "op1_quality_fm": op1_quality_fm,
     "op3_mixing": op3.op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op7_token_counts": op7.op7_token_counts,
