@@ -7,6 +7,7 @@ from docspark.llm import op7_token_counts as op7
 from docspark.llm import op8_exact_dedup as op8
 from docspark.llm.op1_quality_fm import op1_quality_fm
 from docspark.llm.op4_quality_rules import op4_quality_rules
+from docspark.llm.op5_ngram_join import op5_ngram_join
 from docspark.llm.op6_language_crf import op6_language_crf
 from docspark.llm.op9_license_scan import op9_license_scan
 from docspark.llm.op10_bpe import op10_bpe
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op3_mixing": op3.op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_join": op5_ngram_join,
     "op6_language_crf": op6_language_crf,
     "op7_token_counts": op7.op7_token_counts,
     "op8_exact_dedup": op8.op8_exact_dedup,
