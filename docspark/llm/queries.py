@@ -6,6 +6,7 @@ from docspark.llm import op3_mixing as op3
 from docspark.llm import op7_token_counts as op7
 from docspark.llm import op8_exact_dedup as op8
 from docspark.llm.op1_quality_fm import op1_quality_fm
+from docspark.llm.op2_line_dedup import op2_line_dedup
 from docspark.llm.op4_quality_rules import op4_quality_rules
 from docspark.llm.op5_ngram_join import op5_ngram_join
 from docspark.llm.op6_language_crf import op6_language_crf
@@ -14,6 +15,7 @@ from docspark.llm.op10_bpe import op10_bpe
 
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
+    "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3.op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_join": op5_ngram_join,
