@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docspark.plans import text
+from docspark.plans import ocr, text
 
-MODULES = (text,)
+MODULES = (text, ocr)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
