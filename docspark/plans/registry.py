@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docspark.plans import classify, ocr, text
+from docspark.plans import classify, extract, ocr, text
 
-MODULES = (text, ocr, classify)
+MODULES = (text, ocr, classify, extract)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
