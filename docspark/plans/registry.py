@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docspark.plans import catalog, classify, extract, ocr, text
+from docspark.plans import catalog, classify, clean, extract, ocr, text
 
-MODULES = (text, ocr, classify, extract, catalog)
+MODULES = (text, ocr, classify, extract, clean, catalog)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
