@@ -125,9 +125,9 @@ def v15_v16_garbage_and_noise(spark, d):
     return rendered(spark, d).select("k", V.is_issuer_garbage(F.col("n")).alias("garbage"), V.is_noisy(F.col("n")).alias("noisy"))
 
 
-@query(f"WITH {_R} SELECT k, CASE k % 6 WHEN 3 THEN 'Maria Costa' ELSE n END AS once, CASE k % 6 WHEN 2 THEN 'John Smith' WHEN 3 THEN 'Maria Costa Maria Costa' WHEN 0 THEN 'Alpha Trading Ltd' END AS cleaned FROM r WHERE k % 6 IN (0, 2, 3)")
+@query(f"WITH {_R} SELECT k, CASE k % 6 WHEN 3 THEN 'Maria Costa' ELSE n END AS once, CASE k % 6 WHEN 2 THEN 'John Smith' WHEN 3 THEN 'Maria Costa Maria Costa' WHEN 0 THEN 'Alpha Trading Ltd' WHEN 1 THEN '12 Main ' || k WHEN 4 THEN '' ELSE n END AS cleaned FROM r")
 def v17_clean_names(spark, d):
-    return rendered(spark, d).filter("k % 6 IN (0, 2, 3)").select("k", V.once(F.col("n")).alias("once"), V.without_noise(F.col("n")).alias("cleaned"))
+    return rendered(spark, d).select("k", V.once(F.col("n")).alias("once"), V.without_noise(F.col("n")).alias("cleaned"))
 
 
 @query(f"WITH {_R} SELECT k, CASE WHEN k % 2 = 0 THEN '$' || total || '.50' ELSE total || '.75' END AS kept, '£' || total || '.00' AS decimal FROM r")
