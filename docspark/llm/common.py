@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -86,4 +87,11 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more; it notices when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

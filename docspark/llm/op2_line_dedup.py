@@ -13,9 +13,10 @@ of a large family; then only sets that are not settled meet the others.
 Rarity needs no shuffle of words: frequent words are counted (map-side combined), and the logarithms of their counts lie
 in a table of fixed size by hash, which only steers the order. Any order gives the same result.
 
-Cases: a null text has no lines and stays null. Rows with equal ids follow each other in the order in which they are
-stored; null ids come last. A document whose lines are all removed keeps an empty text. Other columns pass through, whatever
-their names. An empty table gives an empty result.
+Cases: a null text has no lines and stays null. Null ids come last; of rows with equal ids and different texts the order is that
+of a hash of the text. Rows that repeat with the same id and text are one document here: all of them keep the same lines. A
+document whose lines are all removed keeps an empty text. Other columns pass through, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,15 +58,20 @@ def _rarity(lines: DataFrame) -> bytes:
     return bytes(table)
 
 
+def _named(lines: DataFrame) -> DataFrame:
+    """lines with h (sorted hashes of the distinct words) and s1, s2, which name the set."""
+    df = lines.withColumn("h", F.sort_array(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))))
+    return df.select("row", "doc_id", "at", "h", F.xxhash64("h").alias("s1"), F.xxhash64("h", F.lit(1)).alias("s2"))
+
+
 def _sets(lines: DataFrame, table: bytes, percent: int) -> DataFrame:
-    """row, doc_id, at, s1, s2 (name the set), n, bits, prefix (rarest words first)."""
-    df = lines.withColumn("h", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)))
+    """row, doc_id, at, s1, s2, n, bits, prefix (rarest words first)."""
     step = lambda h: F.ascii(F.substring(F.lit(table), F.pmod(h, F.lit(TABLE)).cast("int") + 1, 1).cast("string"))
     steps = F.transform("h", lambda h: F.shiftleft(step(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(MASK))))
-    df = df.withColumn("t", F.sort_array(steps)).withColumn("n", F.size("t"))
-    bits = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    df = _named(lines).withColumn("t", F.sort_array(steps)).withColumn("n", F.size("h"))
+    bits = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("t", 1, (F.col("n") + F.floor(-percent * F.col("n") / 100) + 1).cast("int"))
-    return df.select("row", "doc_id", "at", F.xxhash64("t").alias("s1"), F.xxhash64("t", F.lit(1)).alias("s2"), F.col("n").cast("long").alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+    return df.select("row", "doc_id", "at", "s1", "s2", F.col("n").cast("long").alias("n"), bits.alias("bits"), prefix.alias("prefix"))
 
 
 def _need(percent: int) -> Column:
@@ -81,60 +87,63 @@ def _possible(percent: int) -> Column:
 
 
 def _verify(pairs: DataFrame, first: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """s1, s2 of the later set of each pair (x1, x2, y1, y2) that is similar, by the words of a line that has the set."""
+    """sid of the later set of each pair (x, y) that is similar, by the words of a line that has the set."""
     pairs = stored(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("x1").alias("s1"), F.col("x2").alias("s2")).unionByName(pairs.select(F.col("y1").alias("s1"), F.col("y2").alias("s2"))).distinct()
-    place = stored(first.join(nodes, ["s1", "s2"]).select("s1", "s2", "ord", F.xxhash64("ord.row", "ord.at").alias("key")), "places")
+    nodes = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
+    place = stored(first.join(nodes, "sid").select("sid", "ord", F.xxhash64("ord.row", "ord.at").alias("key")), "places")
     asked = lines.withColumn("key", F.xxhash64("row", "at")).filter(let_through(bit_filter(place.select("key")), F.col("key")))
-    words = asked.select("key", "row", "at", "line").join(place, (place["key"] == asked["key"]) & (F.col("ord.row") == asked["row"]) & (F.col("ord.at") == asked["at"]))
-    words = words.select("s1", "s2", "ord", line_words(F.col("line")).alias("w"))
-    x = words.select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("ord").alias("xo"), F.col("w").alias("xw"))
-    y = words.select(F.col("s1").alias("y1"), F.col("s2").alias("y2"), F.col("ord").alias("yo"), F.col("w").alias("yw"))
-    both = pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"])
+    words = asked.select("key", "doc_id", "row", "at", "line").distinct().join(place, (place["key"] == asked["key"]) & (F.col("ord.row") == asked["row"]) & (F.col("ord.at") == asked["at"]) & F.col("ord.id").eqNullSafe(asked["doc_id"]))
+    words = words.select("sid", "ord", line_words(F.col("line")).alias("w"))
+    x = words.select(F.col("sid").alias("x"), F.col("ord").alias("xo"), F.col("w").alias("xw"))
+    y = words.select(F.col("sid").alias("y"), F.col("ord").alias("yo"), F.col("w").alias("yw"))
+    both = pairs.join(x, "x").join(y, "y")
     common = F.size(F.array_intersect("xw", "yw"))
     same = both.filter(common * 100 >= percent * (F.size("xw") + F.size("yw") - common))
-    later = F.when(F.col("xo") < F.col("yo"), F.struct(F.col("y1").alias("s1"), F.col("y2").alias("s2"))).otherwise(F.struct(F.col("x1").alias("s1"), F.col("x2").alias("s2")))
-    return same.select(later.alias("l")).select("l.s1", "l.s2").distinct()
+    return same.select(F.when(F.col("xo") < F.col("yo"), F.col("y")).otherwise(F.col("x")).alias("sid")).distinct()
 
 
 def removed_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """row, at: the lines of rows (row, doc_id, text) to remove. rows is read several times, so it should be a table."""
+    """row, doc_id, at: the lines of rows (row, doc_id, text) to remove."""
     lines = _lines(rows)
-    sets = stored(_sets(lines, _rarity(lines), percent), "lines")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"), F.col("at").alias("at"))
-    first = stored(sets.groupBy("s1", "s2").agg(F.min(rank).alias("ord")), "first")
-    each = sets.select("s1", "s2", "n", "bits", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), F.posexplode("prefix").alias("i", "t"))
-    lists = each.groupBy("t", "s1", "s2", "n", "bits", "i").agg(F.min("o").alias("o"))
-    lists = stored(lists.withColumn("c", F.count("*").over(W.partitionBy("t"))).filter("c > 1").drop("c"), "lists")
-    side = lambda p: {"s1": f"{p}1", "s2": f"{p}2", "n": f"{p}n", "bits": f"{p}b", "i": f"{p}i", "o": f"{p}o"}
-    pair = ["x1", "x2", "y1", "y2"]
+    sets = _sets(lines, _rarity(lines), percent)
+    # of equal sets the first line stands for all; the combiner keeps one row of a set in each task
+    first = sets.groupBy("s1", "s2").agg(F.min(rank).alias("ord"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
+    first = stored(first.withColumn("sid", F.monotonically_increasing_id()), "first")
+    post = lambda df: df.select("sid", "n", "bits", F.coalesce("ord.id", F.lit((1 << 63) - 1)).alias("o"), F.posexplode("prefix").alias("i", "t"))
+    lists = stored(post(first).withColumn("c", F.count("*").over(W.partitionBy("t"))).filter("c > 1").drop("c"), "lists")
+    side = lambda p: {"sid": p, "n": f"{p}n", "bits": f"{p}b", "i": f"{p}i", "o": f"{p}o"}
     # predecessors
-    w = W.partitionBy("t").orderBy("yo", "y1", "y2")
-    before = [F.lag(c.replace("x", "y")).over(w).alias(c) for c in ("x1", "x2", "xn", "xb", "xi")]
-    near = lists.withColumnsRenamed(side("y")).select("*", *before).filter("x1 IS NOT NULL").filter(_possible(percent)).select(*pair)
+    w = W.partitionBy("t").orderBy("yo", "y")
+    before = [F.lag(c.replace("x", "y")).over(w).alias(c) for c in ("x", "xn", "xb", "xi")]
+    near = lists.withColumnsRenamed(side("y")).select("*", *before).filter("x IS NOT NULL").filter(_possible(percent)).select("x", "y")
     settled = stored(_verify(near, first, lines, percent), "settled")
     # the others
-    x = lists.withColumnsRenamed(side("x"))
-    open_ = lists.join(settled, ["s1", "s2"], "left_anti").withColumnsRenamed(side("y"))
-    rest = x.join(open_, "t").filter(((F.col("x1") != F.col("y1")) | (F.col("x2") != F.col("y2"))) & (F.col("xo") <= F.col("yo")) & _possible(percent)).select(*pair)
-    similar = settled.unionByName(_verify(rest, first, lines, percent)).distinct().withColumn("similar", F.lit(True))
-    fate = first.join(similar, ["s1", "s2"], "left").select("s1", "s2", "ord", F.coalesce("similar", F.lit(False)).alias("similar"))
-    own = sets.select("s1", "s2", "row", "at").join(fate, ["s1", "s2"])
-    return own.filter(F.col("similar") | (F.col("ord.row") != F.col("row")) | (F.col("ord.at") != F.col("at"))).select("row", "at")
+    open_ = post(first.join(settled, "sid", "left_anti")).withColumnsRenamed(side("y"))
+    rest = lists.withColumnsRenamed(side("x")).join(open_, "t").filter((F.col("x") != F.col("y")) & (F.col("xo") <= F.col("yo")) & _possible(percent)).select("x", "y")
+    similar = stored(settled.unionByName(_verify(rest, first, lines, percent)).distinct().withColumn("similar", F.lit(True)), "similar")
+    fate = first.join(similar, "sid", "left").filter("similar OR copies > 1").select("s1", "s2", "ord", F.coalesce("similar", F.lit(False)).alias("similar"))
+    own = _named(lines).join(fate, ["s1", "s2"])
+    same = F.col("ord.id").eqNullSafe(F.col("doc_id")) & (F.col("ord.row") == F.col("row")) & (F.col("ord.at") == F.col("at"))
+    return own.filter(F.col("similar") | ~same).select("row", "doc_id", "at")
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text and more) with the lines removed, and columns removed_lines and total_lines (renamed if taken)."""
     row, gone, total = fresh(docs, "_row", "removed_lines", "total_lines")
-    table = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    removed = removed_lines(table.select(F.col(row).alias("row"), F.col("doc_id"), "text"), percent)
-    per = removed.groupBy("row").agg(F.collect_list("at").alias(gone)).withColumnRenamed("row", row)
-    out = table.join(per, row, "left")
+    table = docs.withColumn(row, F.xxhash64(F.col("text")))
+    removed = removed_lines(table.select(F.col(row).alias("row"), "doc_id", "text"), percent)
+    per = removed.groupBy("row", "doc_id").agg(F.collect_set("at").alias(gone))  # at most the lines of one document
+    per = stored(per.withColumnsRenamed({"row": "_r", "doc_id": "_id"}), "removed")
     lines = F.split(F.col("text"), "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    count = F.coalesce(F.size(F.col(gone)), F.lit(0)).cast("long")
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.when(F.col(gone).isNull(), F.lit(0)).otherwise(count).cast("long").alias(gone), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(total))
+    count = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
+    result = [*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], count.alias(gone), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(total)]
+    # documents that surely lose nothing need not be shuffled
+    maybe = let_through(bit_filter(per.select(F.xxhash64("_r").alias("key"))), F.xxhash64(row))
+    touched = table.filter(maybe).join(per, (F.col(row) == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return touched.select(*result).unionByName(table.filter(~maybe).withColumn(gone, F.lit(None).cast("array<int>")).select(*result))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
