@@ -31,6 +31,8 @@ from docspark.llm.op8_exact_dedup import bit_filter, let_through
 PERCENT = 80
 TABLE, FREQUENT = 1 << 21, 16
 MASK = (1 << 56) - 1
+#: Passes of the second join.
+PASSES = 4
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -119,8 +121,15 @@ def removed_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     near = lists.withColumnsRenamed(side("y")).select("*", *before).filter("x IS NOT NULL").filter(_possible(percent)).select("x", "y")
     settled = stored(_verify(near, first, lines, percent), "settled")
     # the others
-    open_ = post(first.join(settled, "sid", "left_anti")).withColumnsRenamed(side("y"))
-    rest = lists.withColumnsRenamed(side("x")).join(open_, "t").filter((F.col("x") != F.col("y")) & (F.col("xo") <= F.col("yo")) & _possible(percent)).select("x", "y")
+    # by ranges of words, so that only a part of the lists is on disk twice at a time
+    open_ = first.join(settled, "sid", "left_anti")
+    rest = None
+    for k in range(PASSES):
+        of = F.pmod("t", F.lit(PASSES)) == k
+        y = post(open_).filter(of).withColumnsRenamed(side("y"))
+        pairs = lists.filter(of).withColumnsRenamed(side("x")).join(y, "t").filter((F.col("x") != F.col("y")) & (F.col("xo") <= F.col("yo")) & _possible(percent))
+        part = stored(pairs.select("x", "y").distinct(), "rest")
+        rest = part if rest is None else rest.unionByName(part)
     similar = stored(settled.unionByName(_verify(rest, first, lines, percent)).distinct().withColumn("similar", F.lit(True)), "similar")
     fate = first.join(similar, "sid", "left").filter("similar OR copies > 1").select("s1", "s2", "ord", F.coalesce("similar", F.lit(False)).alias("similar"))
     own = _named(lines).join(fate, ["s1", "s2"])
