@@ -28,17 +28,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.llm.common import LOWER, UPPER, WORD, documents, stored
 from docspark.llm.components import connected_components
+from docspark.llm.op8_exact_dedup import bit_filter, let_through
 
 #: The contract's: shingles of three words, similarity in percent.
 K, PERCENT = 3, 90
 SKETCH = 1 << 18
-BITMAP_LONGS = 16
+BITMAP_LONGS = 8
 CACHE = 500_000
 MU = 0.0085
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -56,6 +57,10 @@ class Shingler:
         return _WORD.findall(text.translate(_FOLD)) if text else []
 
     def of(self, words: list[str]) -> np.ndarray:
+        return np.unique(self.hashes(words))
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        """The hash at each place, repeats included."""
         if len(words) < self.k:
             return np.array([xxhash.xxh64_intdigest("\n".join([str(len(words)), *words]).encode("utf-8", "replace"))] if words else [], np.uint64)
         found = list(map(self.cache.get, words))
@@ -76,7 +81,7 @@ class Shingler:
             s ^= s >> np.uint64(29)
             s *= _MULTIPLY[1]
             s ^= s >> np.uint64(32)
-        return np.unique(s)
+        return s
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -137,29 +142,36 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list
     return found
 
 
+def _counts(hashes: list[np.ndarray], size: int) -> np.ndarray:
+    all_ = np.concatenate([np.zeros(0, np.uint64), *hashes]) & np.uint64(size - 1)
+    return np.bincount(all_.view(np.int64), minlength=size)
+
+
 def _sketch(docs: DataFrame, k: int, size: int) -> np.ndarray:
-    """Documents per bucket of shingle hashes, over all documents. One array of fixed size for each task, summed by bucket."""
+    """Shingles per bucket of their hashes (size: a power of two), over all documents. One array of fixed size for each task, summed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, total = Shingler(k), np.zeros(size, np.int64)
+        made, total, waiting, held = Shingler(k), np.zeros(size, np.int64), [], 0
         for b in batches:
             for t in b.column("text").to_pylist():
-                s = made.of(made.words(t))
-                total += np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) if len(s) > size // 8 else 0
-                if len(s) <= size // 8:
-                    np.add.at(total, (s % np.uint64(size)).astype(np.int64), 1)
+                waiting.append(made.hashes(made.words(t)))
+                held += len(waiting[-1])
+                if held >= size:
+                    total += _counts(waiting, size)
+                    waiting, held = [], 0
+        total += _counts(waiting, size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
     rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[np.asarray(rows.column("bucket"))] = np.asarray(rows.column("n"))
+    out = np.zeros(size, np.int32)
+    out[np.asarray(rows.column("bucket"))] = np.minimum(np.asarray(rows.column("n")), 2**31 - 1)
     return out
 
 
 def bitmap(s: np.ndarray, longs: int = BITMAP_LONGS) -> list[int]:
     """Bit b is the parity of the shingles that hash to b: sets that differ in d shingles differ in at most d bits."""
-    bits = np.bincount(((s >> np.uint64(20)) % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    bits = np.bincount(((s >> np.uint64(20)) & np.uint64(64 * longs - 1)).view(np.int64), minlength=64 * longs) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -176,7 +188,7 @@ def _read(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFram
                     words = made.words(t)
                     s = made.of(words)
                     p = prefix_length(len(s), percent)
-                    rarest = s[np.lexsort((s, counts[(s % np.uint64(len(counts))).astype(np.int64)]))[:p]].view(np.int64)
+                    rarest = s[np.argsort(counts[(s & np.uint64(len(counts) - 1)).view(np.int64)], kind="stable")[:p]].view(np.int64)  # s is sorted, so ties go by hash
                     rows.append((len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None, rarest, bitmap(s) if len(s) else None, press.compress(" ".join(words).encode("utf-8", "replace")) if words else None))
                 n, fp, prefix, bits, z = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -186,16 +198,21 @@ def _read(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, fp binary, prefix array<long>, bits array<long>, z binary")
 
 
-def _search(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), na, nb the links (a, b). Each query's candidates come to its task in a stream behind its own row."""
-    small = sets.select("fp", "bits")
-    x = pairs.join(small.select(F.col("fp").alias("a"), F.col("bits").alias("xa")), "a").join(small.select(F.col("fp").alias("b"), F.col("bits").alias("xb")), "b")
+def _possible(percent: int) -> Column:
+    """Whether bitmaps xa and xb of sets of na and nb shingles allow the overlap that they need."""
     differ = F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - 1e-9)
-    left = stored(x.filter(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "b"), "pairs")
+    return differ <= F.col("na") + F.col("nb") - 2 * need
+
+
+def _search(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) the links. Each query's candidates come to its task in a stream behind its own row."""
+    left = stored(pairs.select("a", "b"), "pairs")
     # the text of each document that is left, once for every query that asks for it
     asked = left.unionByName(left.select("a", F.col("a").alias("b")).distinct())
-    z = sets.select(F.col("fp").alias("b"), "z").join(asked.select("b").distinct(), "b", "left_semi").groupBy("b").agg(F.first("z").alias("z"))
+    names = stored(asked.select("b").distinct(), "asked")
+    held = sets.select(F.col("fp").alias("b"), "z").filter(let_through(bit_filter(names.select(F.col("b").alias("key"))), F.col("b")))
+    z = held.join(names, "b", "left_semi").groupBy("b").agg(F.first("z").alias("z"))
     rows = asked.join(z, "b").select("a", (F.col("a") != F.col("b")).alias("other"), "b", "z")
     rows = rows.repartition("a").sortWithinPartitions("a", "other", "b")
 
@@ -239,16 +256,19 @@ def ngram_components(docs: DataFrame, k: int = K, percent: int = PERCENT, sketch
     near = F.col("na") * 100 >= F.col("nb") * percent
     w = W.partitionBy("s").orderBy("n", "fp")
     chain = shared.select(F.lag("fp").over(w).alias("b"), F.lag("n").over(w).alias("na"), F.col("fp").alias("a"), F.col("n").alias("nb")).filter("b IS NOT NULL").filter(near)
-    chain = stored(chain.select("a", "b", "na", "nb").distinct(), "chain")
+    bits = some.select("fp", "bits").dropDuplicates(["fp"])
+    chain = chain.distinct().join(bits.select(F.col("fp").alias("a"), F.col("bits").alias("xa")), "a").join(bits.select(F.col("fp").alias("b"), F.col("bits").alias("xb")), "b").filter(_possible(percent))
+    chain = stored(chain.select("a", "b"), "chain")
     first = stored(_search(chain, some, k, percent), "links")
     parts = stored(connected_components(first), "parts")
     labelled = shared.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("s", "fp", "n", F.coalesce("component", "fp").alias("c"))
     apart = W.partitionBy("s")
-    labelled = stored(labelled.withColumn("lo", F.min("c").over(apart)).withColumn("hi", F.max("c").over(apart)).filter("lo <> hi").select("s", "fp", "n", "c"), "lists")
-    x = labelled.select("s", F.col("fp").alias("a"), F.col("n").alias("nb"), F.col("c").alias("ca"))
-    y = labelled.select("s", F.col("fp").alias("b"), F.col("n").alias("na"), F.col("c").alias("cb"))
+    labelled = labelled.withColumn("lo", F.min("c").over(apart)).withColumn("hi", F.max("c").over(apart)).filter("lo <> hi").select("s", "fp", "n", "c")
+    labelled = stored(labelled.join(bits, "fp"), "lists")
+    x = labelled.select("s", F.col("fp").alias("a"), F.col("n").alias("nb"), F.col("c").alias("ca"), F.col("bits").alias("xa"))
+    y = labelled.select("s", F.col("fp").alias("b"), F.col("n").alias("na"), F.col("c").alias("cb"), F.col("bits").alias("xb"))
     later = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("b") < F.col("a"))
-    rest = x.join(y, "s").filter((F.col("ca") != F.col("cb")) & later & near).select("a", "b", "na", "nb").distinct().join(chain.select("a", "b"), ["a", "b"], "left_anti")
+    rest = x.join(y, (x["s"] == y["s"]) & (F.col("ca") != F.col("cb")) & later & near & _possible(percent)).select("a", "b").distinct().join(chain, ["a", "b"], "left_anti")
     second = _search(rest, some, k, percent)
     edges = first.unionByName(second)
     parts = connected_components(stored(edges, "links"))
