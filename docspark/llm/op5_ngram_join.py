@@ -39,7 +39,9 @@ from docspark.llm.op8_exact_dedup import bit_filter, let_through
 #: The contract's: shingles of three words, similarity in percent.
 K, PERCENT = 3, 90
 SKETCH = 1 << 18
+#: Longs of the bitmap that goes with the lists; of the second one that sets above WIDE_FROM shingles have, by their size.
 BITMAP_LONGS = 8
+WIDE_FROM = 512
 CACHE = 500_000
 MU = 0.0085
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -189,17 +191,22 @@ def _read(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFram
                     s = made.of(words)
                     p = prefix_length(len(s), percent)
                     rarest = s[np.argsort(counts[(s & np.uint64(len(counts) - 1)).view(np.int64)], kind="stable")[:p]].view(np.int64)  # s is sorted, so ties go by hash
-                    rows.append((len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None, rarest, bitmap(s) if len(s) else None, press.compress(" ".join(words).encode("utf-8", "replace")) if words else None))
-                n, fp, prefix, bits, z = zip(*rows, strict=True)
+                    rows.append((len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None, rarest, bitmap(s) if len(s) else None, bitmap(s, wide_longs(len(s))) if len(s) > WIDE_FROM else None, press.compress(" ".join(words).encode("utf-8", "replace")) if words else None))
+                n, fp, prefix, bits, wide, z = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(z, pa.binary())], names=["doc_id", "n", "fp", "prefix", "bits", "z"]
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(z, pa.binary())], names=["doc_id", "n", "fp", "prefix", "bits", "wide", "z"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, fp binary, prefix array<long>, bits array<long>, z binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, fp binary, prefix array<long>, bits array<long>, wide array<long>, z binary")
+
+
+def wide_longs(n: int) -> int:
+    """A bit for every two shingles or so; sizes of one power of four share a width."""
+    return 1 << (2 * ((n // 64).bit_length() // 2) + 1)
 
 
 def _possible(percent: int) -> Column:
-    """Whether bitmaps xa and xb of sets of na and nb shingles allow the overlap that they need."""
+    """Whether bitmaps xa and xb (of one width) of sets of na and nb shingles allow the overlap that they need."""
     differ = F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - 1e-9)
     return differ <= F.col("na") + F.col("nb") - 2 * need
@@ -207,7 +214,12 @@ def _possible(percent: int) -> Column:
 
 def _search(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs (a, b) the links. Each query's candidates come to its task in a stream behind its own row."""
-    left = stored(pairs.select("a", "b"), "pairs")
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    names = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "asked")
+    wide = sets.select(F.col("fp").alias("a"), "n", "wide").filter(let_through(bit_filter(names.select(F.col("a").alias("key"))), F.col("a"))).join(names, "a", "left_semi").dropDuplicates(["a"])
+    x = pairs.join(wide.withColumnsRenamed({"n": "na", "wide": "xa"}), "a").join(wide.withColumnsRenamed({"a": "b", "n": "nb", "wide": "xb"}), "b")
+    same_width = F.coalesce(F.size("xa") == F.size("xb"), F.lit(False)) & F.col("xa").isNotNull() & F.col("xb").isNotNull()
+    left = stored(x.filter(F.when(same_width, _possible(percent)).otherwise(F.lit(True))).select("a", "b"), "pairs")
     # the text of each document that is left, once for every query that asks for it
     asked = left.unionByName(left.select("a", F.col("a").alias("b")).distinct())
     names = stored(asked.select("b").distinct(), "asked")
