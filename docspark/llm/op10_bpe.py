@@ -45,7 +45,7 @@ NOT_LATIN = re.compile("[^\x00-\u024f]")
 PIECE = 1 << 16
 LONG_RUN = 4096
 BLOCK = 4096
-CACHE = 400_000
+CACHE = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -275,7 +275,7 @@ def _loaded(content: str) -> tuple[Vocabulary, Encoder, Decoder]:
 
 
 #: Characters of text, and ids, in a batch that goes back to the JVM.
-BATCH = 1 << 22
+BATCH = 1 << 20
 
 
 def _sliced(rows: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
