@@ -42,20 +42,21 @@ def first_subtoken(subtokens: DataFrame) -> DataFrame:
 
 def reading_order(items: Column, gap: int = ROW_GAP) -> Column:
     """An array of struct(x0, y0, pos, ...) in reading order. From top to bottom each item joins the first row whose mean y0 is within `gap`, else it starts a row; rows go by mean, items of a row from left to right."""
-    kind = "array<struct<n:bigint,total:double,members:array<bigint>>>"
-    # members hold places in the sorted array; what is folded stays small
-    ordered = F.array_sort(F.transform(items, lambda x, i: F.struct(x["y0"].cast("double").alias("y"), i.cast("bigint").alias("i"))))
-
-    def step(rows: Column, x: Column) -> Column:
-        fits = F.transform(rows, lambda r: F.abs(x["y"] - r["total"] / r["n"]) <= gap)
-        at = F.array_position(fits, True)
-        joined = F.transform(rows, lambda r, j: F.when(j + 1 == at, F.struct((r["n"] + 1).alias("n"), (r["total"] + x["y"]).alias("total"), F.array_append(r["members"], x["i"]).alias("members"))).otherwise(r))
-        alone = F.struct(F.lit(1).cast("bigint").alias("n"), x["y"].alias("total"), F.array(x["i"]).alias("members"))
-        return F.when(at > 0, joined).otherwise(F.concat(rows, F.array(alone))).cast(kind)
-
-    rows = F.aggregate(ordered, F.array().cast(kind), step)
-    keyed = F.array_sort(F.transform(rows, lambda r, j: F.struct((r["total"] / r["n"]).alias("y"), j.alias("j"), r["members"].alias("m"))))
-    return F.flatten(F.transform(keyed, lambda r: F.transform(F.array_sort(F.transform(r["m"], lambda i, o: F.struct(F.get(items, i.cast("int"))["x0"].alias("x"), o.alias("o"), i.alias("i")))), lambda z: F.get(items, z["i"].cast("int")))))
+    kind = "struct<n:bigint,total:double,row:int,rows:array<int>>"
+    # From top to bottom, a row that one item has not reached is out of reach for good: only the last row is open, and rows go by mean as they are
+    ordered = F.sort_array(F.transform(items, lambda x, i: F.struct(x["y0"].cast("double").alias("y"), i.alias("i"), x["x0"].alias("x"))))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("total"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("rows")).cast(kind)
+
+    def step(s: Column, x: Column) -> Column:
+        def put(n: Column, total: Column, row: Column) -> Column:
+            return F.struct(n.cast("bigint").alias("n"), total.alias("total"), row.alias("row"), F.array_append(s["rows"], row).alias("rows"))
+
+        fits = F.abs(x["y"] - s["total"] / s["n"]) <= gap
+        return F.when((s["n"] > 0) & fits, put(s["n"] + 1, s["total"] + x["y"], s["row"])).otherwise(put(F.lit(1), x["y"], s["row"] + 1)).cast(kind)
+
+    rows = F.aggregate(ordered, none, step, lambda s: s["rows"])
+    keyed = F.sort_array(F.zip_with(ordered, rows, lambda x, r: F.struct(r.alias("r"), x["x"].alias("x"), x["y"].alias("y"), x["i"].alias("i"))))
+    return F.transform(keyed, lambda z: F.get(items, z["i"]))
 
 
 def label_counts(tags: DataFrame, vocabulary: list[str]) -> DataFrame:

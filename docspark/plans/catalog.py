@@ -172,11 +172,14 @@ def x33_token_debug(spark, d):
 
 @query()
 def x01_reading_order(spark, d):
-    from docspark.plans.ocr import raw_words
-
-    page = raw_words(spark, d).filter("conf >= 60").groupBy("doc_id", "page_num", "block_num").agg(F.collect_list(F.struct(F.col("left").alias("x0"), F.col("top").alias("y0"), F.col("word_num").alias("pos"), "text")).alias("items"))
-    page = page.withColumn("items", F.array_sort("items", lambda a, b: a["pos"] - b["pos"]))
-    return page.select("doc_id", "page_num", "block_num", F.transform(S.reading_order(F.col("items")), lambda x: x["pos"]).alias("order"))
+    """The places of all words of each page in reading order. As in the reference, blanks and words of conf below 10 are left out, and boxes are in thousandths of the page."""
+    from docspark.plans.ocr import HEIGHT, WIDTH, raw_words
+
+    at = lambda c, size: F.greatest(F.lit(0), F.least(F.lit(1000), F.round(F.col(c) / size * 1000).cast("int")))
+    read = raw_words(spark, d).filter("trim(text) <> '' AND conf >= 10")
+    page = read.groupBy("doc_id", "page_num").agg(F.collect_list(F.struct(F.col("word_num").alias("pos"), at("left", WIDTH).alias("x0"), at("top", HEIGHT).alias("y0"))).alias("items"))
+    page = page.withColumn("items", F.sort_array("items"))
+    return page.select("doc_id", "page_num", F.transform(S.reading_order(F.col("items")), lambda x: x["pos"]).alias("order"))
 
 
 _WORDS2 = "list_filter(regexp_extract_all(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[A-Za-z0-9_À-ɏ]{2,}'), lambda x: true)"

@@ -74,3 +74,18 @@ def test_spans_with_orphans(spark):
     lenient = {(r.field, r.text) for r in S.spans(df).collect()}
     assert lenient == {("A", "w0 w1"), ("B", "w3 w4"), ("A", "w5"), ("A", "w6"), ("A", "w7")}
     assert {(r.field, r.text) for r in S.spans(df, strict=True).collect()} == {("B", "w3 w4"), ("A", "w6"), ("A", "w7")}
+
+
+def test_reading_order_of_whole_pages(spark, tmp_path):
+    from docspark.plans.catalog import x01_reading_order
+    from docspark.plans.ocr import raw_words
+
+    texts = [(k, " ".join("w" * (1 + (i * i + k) % 9) for i in range(n))) for k, n in enumerate([1, 59, 61, 399, 401, 950])] + [(7, ""), (8, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = {}
+    for r in raw_words(spark, str(tmp_path)).orderBy("doc_id", "word_num").collect():
+        if r.text.strip() and r.conf >= 10:
+            pages.setdefault((r.doc_id, r.page_num), []).append((r.word_num, (round(r.left), round(r.top / 1400 * 1000))))
+    assert max(map(len, pages.values())) > 300
+    got = {(r.doc_id, r.page_num): r.order for r in x01_reading_order(spark, str(tmp_path)).collect()}
+    assert got == {k: [p[i][0] for i in brute_order([xy for _, xy in p])] for k, p in pages.items()}
