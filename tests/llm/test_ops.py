@@ -276,6 +276,41 @@ def test_op9_spans(spark):
     assert {r.doc_id: [(p.start, p.label) for p in r.places] for r in base.collect()} == {1: [], 2: [], 3: [(1, "mit"), (3, "gpl")], 4: []}
 
 
+def test_op9_inserted_words_and_other_licenses(spark):
+    from docspark.llm.op9_license_scan import TEMPLATES, license_scan
+
+    t = TEMPLATES["mit-text"].split()
+    texts = {n: " ".join(["x"] * 5 + t[:14] + [f"new{i}" for i in range(n)] + t[14:] + ["y"] * 5) for n in range(15)}
+    texts |= {50: " ".join(["x y"] + t * 2 + ["z"] + t[:14] + ["q"] * 9 + t[14:] + t)}
+    notices = {
+        100: ("This code is licensed under the MIT license.", {"mit-notice"}),
+        101: ("Licensed under CC BY 4.0.", {"cc-by-notice"}),
+        102: ("Text is available under CC-BY-SA 3.0 here", {"cc-by-sa-notice"}),
+        103: ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", {"cc-by-nc-sa-notice"}),
+        104: ("Licensed under CC BY-NC 4.0.", {"cc-by-nc-notice"}),
+        105: ("under the GNU General Public License, version 2", {"gpl-2-notice"}),
+        106: ("This work is licensed under the GNU General Public License, version 3.", {"gpl-3-notice"}),
+        107: ("distributed under CC0 1.0 Universal", {"cc0-notice"}),
+        108: ("under the terms of the Mozilla Public License, v. 2.0", {"mpl-2.0-notice"}),
+        109: ("under the ISC License", {"isc-notice"}),
+        110: ("under the zlib license", {"zlib-notice"}),
+        111: ("released under the Unlicense", {"unlicense-notice"}),
+        112: (TEMPLATES["lgpl-text"], {"lgpl-text"}),
+        113: (TEMPLATES["gpl-text"], {"gpl-text"}),
+        114: ("Released under the MIT License.", {"mit-notice"}),
+        115: ("Licensed under the Apache License, Version 2.0.", {"apache-2.0-notice"}),
+        116: ("the terms of the contract are licensed to you under the general rules of the license", set()),
+        117: ("This work is licensed under the GNU General Public License, version 2.", {"gpl-2-notice"}),
+        118: ("licensed under the GNU Affero General Public License, version 3", {"agpl-3-notice"}),
+    }
+    df = spark.createDataFrame([*texts.items(), *((k, v[0]) for k, v in notices.items())], "doc_id long, text string")
+    got = [tuple(r) for r in license_scan(df)[1].select("doc_id", "label", "first_word", "last_word").collect()]
+    n = len(t)
+    assert sorted(x for x in got if x[0] < 50) == [(i, "mit-text", 5, 5 + n + i - 1) for i in range(15)]
+    assert sorted(x[2] for x in got if x[0] == 50) == [2, 2 + n, 3 + 2 * n, 12 + 3 * n]
+    assert {k: {x[1] for x in got if x[0] == k} for k in notices} == {k: v[1] for k, v in notices.items()}
+
+
 def test_op10_round_trip():
     import random
 
