@@ -1,6 +1,7 @@
 """Golden cases of field rules and sequence operators."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -89,3 +90,29 @@ def test_reading_order_of_whole_pages(spark, tmp_path):
     assert max(map(len, pages.values())) > 300
     got = {(r.doc_id, r.page_num): r.order for r in x01_reading_order(spark, str(tmp_path)).collect()}
     assert got == {k: [p[i][0] for i in brute_order([xy for _, xy in p])] for k, p in pages.items()}
+
+
+def brute_flags(w):
+    c = w.strip()
+    n = len(c)
+    if not n:
+        return [False] * 12
+    patterns = [r"^(?:[$€£¥₹])?\s*\d+[\d,\.]*$", r"^(?:\d{1,2}[\-/]\d{1,2}[\-/]\d{2,4}|\d{4}[\-/]\d{1,2}[\-/]\d{1,2}|\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2,4})$", r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$", r"(?i)^(?:https?://|www\.)", r"^(?:\+?\d[\d\s().-]{6,}\d)$"]
+    punct = sum(not x.isalnum() and not x.isspace() for x in c)
+    return [c.isdigit(), c.isalpha(), c.isalnum(), c.isupper() and n > 1, punct / n >= 0.3, n <= 2, n >= 12, *[bool(re.match(p, c)) for p in patterns]]
+
+
+def test_flags_of_all_words(spark, tmp_path):
+    from docspark.plans.text import f05_all_token_flags
+
+    pieces = ["Straße", "ÜBER", "É", "ñandú", "中文字", "١٢٣", "²", "x²", "Ⅻ", "ⅻ", "ǅ", "ǅA", "€1.234,50", "₹\xa0500", "$12", "3/4/2024", "2024-03-05", "5\xa0May\xa02024", "a@b.org", "HTTPS://x", "www.é", "+49\xa030 1234567", "(030)12-3456", "030-1234567", "__", "a_b", "—", "½", "\xa0", "\u2003x\u2003", "Donaudampfschiff", "ªº", "😀😀", "ABC1", "e\u0301", "①", "ß", "0,5", "\x1cA\x1f", "ΑΒΓ", "١/٢/٢٠٢٤"]
+    rng = random.Random(4)
+    texts = [(i, p) for i, p in enumerate(pieces)] + [(100 + i, rng.choice([" ", "\n", "\t "]).join(rng.choices(pieces, k=40))) for i in range(10)] + [(200, ""), (201, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["numeric", "alpha", "alnum", "upper", "punct", "short", "long", "currency", "date", "email", "url", "phone"]
+    got = {r.doc_id: [r.n, *[r[f"n_{k}"] for k in names]] for r in f05_all_token_flags(spark, str(tmp_path)).collect()}
+    expect = {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        expect[i] = [len(w), *[sum(x) for x in zip(*map(brute_flags, w), [False] * 12)]]
+    assert got == expect
