@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, StringIndexer
+from pyspark.ml.feature import CountVectorizer, StopWordsRemover, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,14 +19,21 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _joined(w: Column, n: int) -> Column:
+    """All runs of n entries of an array, joined by blanks."""
+    none = F.array().cast("array<string>")
+    return w if n == 1 else F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
+
+
 def word_grams(text: Column, lo: int = 1, hi: int = 2) -> Column:
     """n-grams of words of two signs or more, joined by blanks."""
-    none = F.array().cast("array<string>")
+    return let(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_À-ɏ]{2,}"), 0), lambda w: F.concat(*[_joined(w, n) for n in range(lo, hi + 1)]))
 
-    def grams(w: Column, n: int) -> Column:
-        return w if n == 1 else F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
 
-    return let(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_À-ɏ]{2,}"), 0), lambda w: F.concat(*[grams(w, n) for n in range(lo, hi + 1)]))
+def topic_terms(tokens: Column, lo: int = 1, hi: int = 2) -> Column:
+    """n-grams of the tokens of two signs or more that are no English stop words (Spark's list); stop words go before neighbours are joined."""
+    stop = StopWordsRemover.loadDefaultStopWords("english")
+    return let(F.filter(tokens, lambda w: (F.length(w) >= 2) & ~w.isin(stop)), lambda w: F.concat(*[_joined(w, n) for n in range(lo, hi + 1)]))
 
 
 def char_grams(text: Column, lo: int = 3, hi: int = 5) -> Column:
@@ -78,17 +86,19 @@ def classifier(train: DataFrame, text: str = "text", label: str = "label", c: fl
 
 
 def classify(model: PipelineModel, docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with column pred_label."""
+    """docs with columns pred_label and probabilities, an array in the order of the model's labels."""
     names = model.stages[0].labels
     rows = docs.withColumn("_grams", word_grams(normalized(F.col(text))))
-    indexed = PipelineModel(model.stages[1:]).transform(rows)
-    return indexed.withColumn("pred_label", F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int"))).select(*docs.columns, "pred_label")
-
-
-def topics(docs: DataFrame, tokens: Column, k: int = 10, iterations: int = 10, seed: int = 7) -> DataFrame:
-    """doc_id and an array of k topic shares that sum to 1."""
-    from pyspark.ml.functions import vector_to_array
-
-    rows = docs.select("doc_id", tokens.alias("_t"))
-    x = CountVectorizer(inputCol="_t", outputCol="features", minDF=3, vocabSize=30000).fit(rows).transform(rows)
-    return LDA(k=k, maxIter=iterations, seed=seed).fit(x).transform(x).select("doc_id", vector_to_array("topicDistribution").alias("topics"))
+    indexed = PipelineModel(model.stages[1:]).transform(rows).withColumn("probabilities", vector_to_array("probability"))
+    return indexed.withColumn("pred_label", F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int"))).select(*docs.columns, "pred_label", "probabilities")
+
+
+def topics(docs: DataFrame, tokens: Column, k: int = 10, iterations: int = 20, seed: int = 7) -> DataFrame:
+    """doc_id and an array of k topic shares that sum to 1; a document without known terms has equal shares. Terms are words and pairs that occur in 3 documents or more and in 95 of 100 at most. Each iteration draws as many documents as there are, and replaces the topics as a batch does."""
+    rows = docs.select("doc_id", topic_terms(tokens).alias("_t"))
+    x = CountVectorizer(inputCol="_t", outputCol="features", minDF=3, maxDF=0.95, vocabSize=30000).fit(rows).transform(rows).select("doc_id", "features").persist()
+    model = LDA(k=k, maxIter=iterations, seed=seed, subsamplingRate=1.0, learningDecay=1e-9, learningOffset=1.0, optimizeDocConcentration=False).fit(x)
+    x.unpersist()
+    share = model.transform(x).select("doc_id", vector_to_array("topicDistribution").alias("topics"))
+    known = F.aggregate("topics", F.lit(0.0), lambda a, b: a + b) > 0
+    return share.withColumn("topics", F.when(known, F.col("topics")).otherwise(F.array_repeat(F.lit(1.0 / k), k)))

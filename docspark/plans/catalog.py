@@ -221,17 +221,30 @@ def m22_padded(spark, d):
     return X.padded(docs, t, X.vocabulary(docs, t)).select("doc_id", F.md5(F.array_join("ids", ",").cast("binary")).alias("h"))
 
 
-@query()
-def m04_m17_language_classifier(spark, d):
+LANGS = ["de", "en", "es", "fr"]
+
+
+def _classified(spark, d) -> DataFrame:
     docs = C.stratified_split(table(spark, d, "documents").filter("lang IS NOT NULL").select("doc_id", "text", F.col("lang").alias("label")), "label", "doc_id", {"train": 0.7, "val": 0.15, "test": 0.15})
     model = X.classifier(docs.filter("split = 'train'"))
-    p = X.classify(model, docs.filter("split <> 'train'")).select("split", F.col("label").alias("true_label"), "pred_label")
-    return E.metrics(p, ["de", "en", "es", "fr"], by=("split",)).select("split", F.round("accuracy", 4).alias("accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
+    each = [F.col("probabilities")[i].alias(f"confidence_{x}") for i, x in enumerate(model.stages[0].labels)]
+    return X.classify(model, docs.filter("split <> 'train'")).select("doc_id", "split", F.col("label").alias("true_label"), "pred_label", *each)
+
+
+@query()
+def m04_m17_language_classifier(spark, d):
+    p = _classified(spark, d).select("split", "true_label", "pred_label")
+    return E.metrics(p, LANGS, by=("split",)).select("split", F.round("accuracy", 4).alias("accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
+
+
+@query()
+def m17_language_probabilities(spark, d):
+    return _classified(spark, d)
 
 
 @query()
 def m10_topics(spark, d):
-    return X.topics(table(spark, d, "documents"), tokens(F.col("text")), k=5, iterations=5).select("doc_id", F.size("topics").alias("k"))
+    return X.topics(table(spark, d, "documents"), tokens(F.col("text")), k=5, iterations=20)
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

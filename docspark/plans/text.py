@@ -116,6 +116,15 @@ def f11_merged_tokens(spark, d):
     return _words(spark, d).groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(T.is_merged_token(F.col("w"))).alias("merged"))
 
 
+@query(r"""WITH c AS (SELECT coalesce(len(list_filter(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: regexp_matches(w, '^[A-Za-z]{3,}:[A-Za-z0-9]') OR length(w) > 8 AND regexp_matches(w, '[a-z][A-Z]'))), 0) AS m FROM documents)
+SELECT CAST(coalesce(sum(m), 0) AS BIGINT) AS total, round(avg(m), 6) AS mean, count(*) FILTER (m >= 1) AS examples FROM c""")
+def a24_merged_totals(spark, d):
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    m = F.coalesce(F.size(F.filter(words, T.is_merged_token)), F.lit(0))
+    n = F.col("m")
+    return _docs(spark, d).select(F.greatest(m, F.lit(0)).alias("m")).agg(F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.round(F.avg(n), 6).alias("mean"), F.count_if(n >= 1).alias("examples"))
+
+
 @query("""SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS norm,
 regexp_replace(regexp_replace(lower(c_name || ' / ' || c_mktsegment), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM customer""")
 def f12_comparable(spark, d):

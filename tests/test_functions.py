@@ -116,3 +116,29 @@ def test_flags_of_all_words(spark, tmp_path):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         expect[i] = [len(w), *[sum(x) for x in zip(*map(brute_flags, w), [False] * 12)]]
     assert got == expect
+
+
+def test_topic_terms_and_shares(spark, tmp_path):
+    from docspark.functions.text import tokens
+    from docspark.operators.features import topic_terms
+    from docspark.plans.catalog import m10_topics
+
+    assert one(spark, lambda x: topic_terms(tokens(x)), "The invoice total of a invoice", "the", "", None) == [["invoice", "total", "invoice", "invoice total", "total invoice"], [], [], []]
+    texts = [(i, "red apple pear" if i % 2 else "steel bolt nut") for i in range(40)] + [(40, ""), (41, None), (42, "the of")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.topics for r in m10_topics(spark, str(tmp_path)).collect()}
+    assert len(got) == 43 and all(len(t) == 5 and abs(sum(t) - 1) < 1e-9 for t in got.values())
+    assert got[40] == got[41] == got[42] == [0.2] * 5
+    best = [max(range(5), key=got[i].__getitem__) for i in range(40)]
+    assert len(set(best[::2])) == len(set(best[1::2])) == 1 and best[0] != best[1]
+
+
+def test_probabilities_and_merged_totals(spark, tmp_path):
+    from docspark.plans.catalog import m17_language_probabilities
+    from docspark.plans.text import a24_merged_totals
+
+    for r in m17_language_probabilities(spark, "/root/testdata/sf0.001").collect():
+        p = {k.removeprefix("confidence_"): v for k, v in r.asDict().items() if k.startswith("confidence_")}
+        assert len(p) == 4 and abs(sum(p.values()) - 1) < 1e-9 and p[r.pred_label] == max(p.values())
+    spark.createDataFrame([(1, "total:5 x camelCaseWord"), (2, "to:Nicole"), (3, None), (4, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert a24_merged_totals(spark, str(tmp_path)).first().asDict() == {"total": 2, "mean": 0.5, "examples": 1}
