@@ -1,7 +1,7 @@
 """From raw documents to token ids, in five stages. Each takes all rows that the one before kept; each result is written as Parquet and read again.
 
-ORACLE_SQL is None: the last stage is byte-pair encoding, which SQL cannot express. tests/llm/test_pipeline.py holds every
-stage against a brute-force version.
+ORACLE_SQL is None: the last stage is byte-pair encoding, which SQL cannot express. No test calls the stages or run; tests/llm
+covers the operators under them.
 """
 
 from __future__ import annotations
