@@ -44,9 +44,8 @@ WORD = re.compile(r"[^\W\d_]+")
 
 def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Indices: a bias, affixes, n-grams with word ends, and the lexicon entry after the hashed ones."""
-    w = word[:40]
-    b = f"<{w}>"
-    names = {"bias"} | {f"p{w[:i]}" for i in (1, 2, 3)} | {f"s{w[-i:]}" for i in (1, 2, 3, 4)} | {f"n{b[i : i + n]}" for n in (2, 3) for i in range(len(b) - n + 1)}
+    b = f"<{word}>"
+    names = {"bias"} | {f"p{word[:i]}" for i in (1, 2, 3)} | {f"s{word[-i:]}" for i in (1, 2, 3, 4)} | {f"n{b[i : i + n]}" for n in (2, 3) for i in range(len(b) - n + 1)}
     out = [zlib.crc32(x.encode("utf-8", "replace")) % HASHED for x in sorted(names)]
     return out + [HASHED + lexicon[word]] if word in lexicon else out
 

@@ -197,6 +197,15 @@ def test_op6_forward_backward():
         at += n
 
 
+def test_op6_reads_whole_runs():
+    from docspark.llm.op6_language_crf import HASHED, word_features
+
+    start = "ab" * 20
+    hashed = lambda x: zlib.crc32(x.encode()) % HASHED
+    assert {hashed("scdef"), hashed("sf"), hashed("ncd"), hashed("nf>")} <= set(word_features(start + "cdef", {}))
+    assert word_features(start + "cdef", {}) != word_features(start, {})
+
+
 def test_op1_and_op6_held_out(spark):
     from docspark.llm.op1_quality_fm import op1_quality_fm
     from docspark.llm.op6_language_crf import op6_language_crf
