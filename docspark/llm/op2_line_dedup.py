@@ -5,75 +5,92 @@ set of Jaccard similarity PERCENT or more; whether the earlier one is itself rem
 on no order of work. Lines without words stay.
 
 Words of a line are ordered by rarity. Similar sets of n words share one of their n - ceil(t n) + 1 rarest (prefix filter);
-only these are shuffled, as rows of a few longs, one per distinct set and word. Pairs that meet in a word pass the length
-filter, the positional filter (what can still follow in both sets), and a lossless bound on 64-bit parity bitmaps; what is
-left is verified on the words themselves. First each set meets its predecessors in a list, which settles nearly all members
-of a large family; then only sets that are not settled meet the others.
+only these are shuffled, as short rows, one per distinct set and word. Sets of fewer than four words (at 80 percent) are similar to equal
+sets only, so they go no further. Pairs that meet in a word pass the length filter, the positional filter (what can still
+follow in both sets), and a lossless bound on parity bitmaps (64 bits, 256 above WIDE words); what is left is verified on the
+words themselves.
 
-Rarity needs no shuffle of words: frequent words are counted (map-side combined), and the logarithms of their counts lie
-in a table of fixed size by hash, which only steers the order. Any order gives the same result.
+Families of many similar lines must not become all their pairs: first each set meets only the earliest set of its size band
+in PROBES lists, which settles nearly all members of a family. Then one join of the lists with themselves pairs sets that are
+not settled with all others; both of its sides read one shuffle.
+
+Rarity needs no shuffle of words: counts by hash bucket, combined in each map task, fill a table of fixed size. It only
+steers the order, any order gives the same result. Sets are named by 128 bits over 56-bit hashes of their words.
 
 Cases: a null text has no lines and stays null. Null ids come last; of rows with equal ids and different texts the order is that
-of a hash of the text. Rows that repeat with the same id and text are one document here: all of them keep the same lines. A
-document whose lines are all removed keeps an empty text. Other columns pass through, whatever their names. An empty table
-gives an empty result.
+of a hash of the text. Of rows that repeat with the same id and text one (by a hash of all columns) comes first: it is judged
+as the document, the others lose every line with words. A document whose lines are all removed keeps an empty text. Other
+columns pass through, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docspark.llm.common import SPACE, documents, fresh, stored, text_of
+from docspark.llm.common import documents, fresh, stored, text_of
 from docspark.llm.op8_exact_dedup import bit_filter, let_through
 
 PERCENT = 80
-TABLE, FREQUENT = 1 << 21, 16
-MASK = (1 << 56) - 1
-#: Passes of the second join.
-PASSES = 4
-SPACES = " \t\n\x0b\x0c\r"
+#: Buckets of the rarity table.
+TABLE = 1 << 18
+#: Of a set's prefix, how many lists the first round looks at; how far sizes in one of its bands differ.
+PROBES, BAND = 3, 1.25
+#: Sets of more words carry bitmaps of 256 bits.
+WIDE = 100
+BITMAPS = ("b", "b1", "b2", "b3")
+ODD = r"[\t\x0B\f\r]"
+HAS_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _plain(text: Column) -> Column:
+    """White space within lines as single characters of one kind, for splits without a pattern."""
+    return F.when(text.rlike(ODD), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
 def line_words(line: Column) -> Column:
-    """Distinct words of a line."""
-    trimmed = F.btrim(line, F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(trimmed, SPACE)))
+    """Words of a plain line."""
+    words = F.split(line, " ")
+    loose = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | (line == "")
+    return F.when(loose, F.array_remove(words, "")).otherwise(words)
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """row, doc_id, at (line number), line: the lines that have words."""
-    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    """row, doc_id, at (line number), line."""
+    return rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
 
 
-def _rarity(lines: DataFrame) -> bytes:
-    """By hash of a word, 4 log2 of its count over all lines; 0 for words with less than FREQUENT."""
-    words = lines.select(F.explode(F.split(F.btrim("line", F.lit(SPACES)), SPACE)).alias("w")).select(F.xxhash64("w").alias("h"))
-    frequent = words.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
-    steps = frequent.groupBy(F.pmod("h", F.lit(TABLE)).cast("int").alias("at")).agg(F.max(F.least(F.lit(126), F.floor(4 * F.log2("n")))).cast("int").alias("x"))
-    table = bytearray(TABLE)
-    got = steps.toArrow()  # at most TABLE rows of two ints
-    for at, x in zip(got.column("at").to_pylist(), got.column("x").to_pylist(), strict=True):
-        table[at] = x
-    return bytes(table)
+def _rarity(rows: DataFrame) -> list[int]:
+    """By bucket of a word's hash, 4 log2 of the number of its words over all texts; one scan, at most TABLE rows of two numbers to the driver."""
+    words = rows.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(TABLE - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
+    table = [0] * TABLE
+    for b, n in zip(counts.column("b").to_pylist(), counts.column("n").to_pylist(), strict=True):
+        table[b] = min(126, int(4 * log2(n)))
+    return table
 
 
-def _named(lines: DataFrame) -> DataFrame:
-    """lines with h (sorted hashes of the distinct words) and s1, s2, which name the set."""
-    df = lines.withColumn("h", F.sort_array(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))))
-    return df.select("row", "doc_id", "at", "h", F.xxhash64("h").alias("s1"), F.xxhash64("h", F.lit(1)).alias("s2"))
+def min_size(percent: int) -> int:
+    """Sets of fewer words are similar to equal sets only: one word more is too much."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 30
 
 
-def _sets(lines: DataFrame, table: bytes, percent: int) -> DataFrame:
-    """row, doc_id, at, s1, s2, n, bits, prefix (rarest words first)."""
-    step = lambda h: F.ascii(F.substring(F.lit(table), F.pmod(h, F.lit(TABLE)).cast("int") + 1, 1).cast("string"))
-    steps = F.transform("h", lambda h: F.shiftleft(step(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(MASK))))
-    df = _named(lines).withColumn("t", F.sort_array(steps)).withColumn("n", F.size("h"))
-    bits = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    prefix = F.slice("t", 1, (F.col("n") + F.floor(-percent * F.col("n") / 100) + 1).cast("int"))
-    return df.select("row", "doc_id", "at", "s1", "s2", F.col("n").cast("long").alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+def _sets(lines: DataFrame, table: list[int], percent: int) -> DataFrame:
+    """row, doc_id, at, s1, s2 (name the set), n, BITMAPS, prefix (int keys of the rarest words, rarest first; null for short sets)."""
+    step = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to one array
+    hashes = F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)))
+    # the step of rarity before 56 bits of the hash: sorted, these give the order and the set
+    ordered = F.transform("h", lambda h: F.shiftleft(F.get(step, h.bitwiseAND(F.lit(TABLE - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    df = lines.filter(F.col("line").rlike(HAS_WORD)).withColumn("line", _plain(F.col("line"))).select("row", "doc_id", "at", hashes.alias("h")).select("row", "doc_id", "at", F.sort_array(ordered).alias("t"))
+    n = F.size("t")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int"))
+    fold = lambda quarter: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.when(F.shiftright(x, 26).bitwiseAND(F.lit(3)) == quarter, bit(x)).otherwise(F.lit(0)) if quarter else bit(x)))
+    # b folds all four quarters of a wide bitmap into one, so that b compares sets of any size
+    bitmaps = [fold(0).alias("b"), *[F.when(n > WIDE, fold(q)).alias(f"b{q}") for q in (1, 2, 3)]]
+    prefix = F.transform(F.slice("t", 1, (n + F.floor(-percent * n / 100) + 1).cast("int")), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    return df.select("row", "doc_id", "at", F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2"), n.alias("n"), *bitmaps, F.when(n >= min_size(percent), prefix).alias("prefix"))
 
 
 def _need(percent: int) -> Column:
@@ -84,75 +101,104 @@ def _possible(percent: int) -> Column:
     """Length, positional and bitmap filters for sets x and y that share a word at places xi and yi of their order."""
     ahead = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) + F.least("xi", "yi")
     length = F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent
-    differ = F.bit_count(F.col("xb").bitwiseXOR(F.col("yb")))
+    x, y = ([F.col(f"{p}{b}") for b in BITMAPS] for p in "xy")
+    count = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    rest = [a.bitwiseXOR(b) for a, b in zip(x, y, strict=True)]
+    first = F.bit_count(rest[0].bitwiseXOR(rest[1]).bitwiseXOR(rest[2]).bitwiseXOR(rest[3]))
+    differ = F.coalesce(first + count(x[1], y[1]) + count(x[2], y[2]) + count(x[3], y[3]), count(x[0], y[0]))
     return length & (ahead >= _need(percent)) & (differ <= F.col("xn") + F.col("yn") - 2 * _need(percent))
 
 
 def _verify(pairs: DataFrame, first: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """sid of the later set of each pair (x, y) that is similar, by the words of a line that has the set."""
-    pairs = stored(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
-    place = stored(first.join(nodes, "sid").select("sid", "ord", F.xxhash64("ord.row", "ord.at").alias("key")), "places")
-    asked = lines.withColumn("key", F.xxhash64("row", "at")).filter(let_through(bit_filter(place.select("key")), F.col("key")))
-    words = asked.select("key", "doc_id", "row", "at", "line").distinct().join(place, (place["key"] == asked["key"]) & (F.col("ord.row") == asked["row"]) & (F.col("ord.at") == asked["at"]) & F.col("ord.id").eqNullSafe(asked["doc_id"]))
-    words = words.select("sid", "ord", line_words(F.col("line")).alias("w"))
+    nodes = stored(pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), "nodes")
+    asked = first.filter(let_through(bit_filter(nodes.select(F.col("sid").alias("key"))), F.col("sid"))).select("sid", "ord")
+    place = stored(asked.join(nodes, "sid", "left_semi").withColumn("key", F.xxhash64("ord.row", "ord.at")), "places")
+    found = lines.withColumn("key", F.xxhash64("row", "at")).filter(let_through(bit_filter(place.select("key")), F.col("key")))
+    same_place = (place["key"] == found["key"]) & (F.col("ord.row") == found["row"]) & (F.col("ord.at") == found["at"]) & F.col("ord.id").eqNullSafe(found["doc_id"])
+    words = found.join(place, same_place).groupBy("sid").agg(F.first("ord").alias("ord"), F.first("line").alias("line"))
+    words = stored(words.select("sid", "ord", F.array_distinct(line_words(_plain(F.col("line")))).alias("w")), "words")
     x = words.select(F.col("sid").alias("x"), F.col("ord").alias("xo"), F.col("w").alias("xw"))
     y = words.select(F.col("sid").alias("y"), F.col("ord").alias("yo"), F.col("w").alias("yw"))
-    both = pairs.join(x, "x").join(y, "y")
     common = F.size(F.array_intersect("xw", "yw"))
-    same = both.filter(common * 100 >= percent * (F.size("xw") + F.size("yw") - common))
+    same = pairs.join(x, "x").join(y, "y").filter(common * 100 >= percent * (F.size("xw") + F.size("yw") - common))
     return same.select(F.when(F.col("xo") < F.col("yo"), F.col("y")).otherwise(F.col("x")).alias("sid")).distinct()
 
 
+def _postings(sets: DataFrame, *columns: str) -> DataFrame:
+    return sets.filter("prefix IS NOT NULL").select("sid", "n", *BITMAPS, *columns, F.posexplode("prefix").alias("i", "t"))
+
+
+def _leader_pairs(first: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of each set y and the earliest set x of its list and size band, in PROBES lists of y."""
+    end = F.size("prefix") - 1
+    probed = first.filter("prefix IS NOT NULL").withColumn("i", F.explode(F.array_distinct(F.array(*[F.floor(end * k / (PROBES - 1)).cast("int") for k in range(PROBES)]))))
+    probed = probed.select("sid", "ord", "n", *BITMAPS, "i", F.get("prefix", F.col("i")).alias("t"), F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int").alias("band"))
+    leaders = probed.groupBy("t", "band").agg(F.min(F.struct("ord", F.col("sid").alias("x"), *[F.col(c).alias(f"x{c}") for c in ("n", *BITMAPS, "i")])).alias("x"), F.count("*").alias("c")).filter("c > 1").select("t", "band", "x.*").drop("ord")
+    y = probed.select("t", "band", F.col("sid").alias("y"), *[F.col(c).alias(f"y{c}") for c in ("n", *BITMAPS, "i")])
+    return y.join(leaders, ["t", "band"]).filter((F.col("x") != F.col("y")) & _possible(percent)).select("x", "y").distinct()
+
+
+def _open_pairs(first: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) in a list of which y is not settled, once each. k is the set's number if it is not settled, else -1: the condition needs both sides, so both read one shuffle of the lists."""
+    maybe = let_through(bit_filter(settled.select(F.col("sid").alias("key"))), F.col("sid"))
+    marked = first.filter(maybe).join(settled.withColumn("is", F.lit(True)), "sid", "left").withColumn("k", F.when(F.col("is"), F.lit(-1)).otherwise(F.col("sid"))).drop("is")
+    lists = _postings(marked.unionByName(first.filter(~maybe).withColumn("k", F.col("sid"))), "k")
+    side = lambda p: lists.select("t", F.col("sid").alias(f"{p}s"), *[F.col(c).alias(f"{p}{c}") for c in ("k", "n", *BITMAPS, "i")])
+    once = (F.col("xs") < F.col("yk")) | ((F.col("xk") < 0) & (F.col("yk") >= 0) & (F.col("xs") != F.col("ys")))
+    return side("x").join(side("y"), "t").filter(once & _possible(percent)).select(F.col("xs").alias("x"), F.col("ys").alias("y")).distinct()
+
+
 def removed_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """row, doc_id, at: the lines of rows (row, doc_id, text) to remove."""
     lines = _lines(rows)
+    sets = stored(_sets(lines, _rarity(rows), percent), "sets")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"), F.col("at").alias("at"))
-    sets = _sets(lines, _rarity(lines), percent)
     # of equal sets the first line stands for all; the combiner keeps one row of a set in each task
-    first = sets.groupBy("s1", "s2").agg(F.min(rank).alias("ord"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
+    first = sets.groupBy("s1", "s2").agg(F.min(rank).alias("ord"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITMAPS], F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
     first = stored(first.withColumn("sid", F.monotonically_increasing_id()), "first")
-    post = lambda df: df.select("sid", "n", "bits", F.coalesce("ord.id", F.lit((1 << 63) - 1)).alias("o"), F.posexplode("prefix").alias("i", "t"))
-    lists = stored(post(first).withColumn("c", F.count("*").over(W.partitionBy("t"))).filter("c > 1").drop("c"), "lists")
-    side = lambda p: {"sid": p, "n": f"{p}n", "bits": f"{p}b", "i": f"{p}i", "o": f"{p}o"}
-    # predecessors
-    w = W.partitionBy("t").orderBy("yo", "y")
-    before = [F.lag(c.replace("x", "y")).over(w).alias(c) for c in ("x", "xn", "xb", "xi")]
-    near = lists.withColumnsRenamed(side("y")).select("*", *before).filter("x IS NOT NULL").filter(_possible(percent)).select("x", "y")
-    settled = stored(_verify(near, first, lines, percent), "settled")
-    # the others
-    # by ranges of words, so that only a part of the lists is on disk twice at a time
-    open_ = first.join(settled, "sid", "left_anti")
-    rest = None
-    for k in range(PASSES):
-        of = F.pmod("t", F.lit(PASSES)) == k
-        y = post(open_).filter(of).withColumnsRenamed(side("y"))
-        pairs = lists.filter(of).withColumnsRenamed(side("x")).join(y, "t").filter((F.col("x") != F.col("y")) & (F.col("xo") <= F.col("yo")) & _possible(percent))
-        part = stored(pairs.select("x", "y").distinct(), "rest")
-        rest = part if rest is None else rest.unionByName(part)
-    similar = stored(settled.unionByName(_verify(rest, first, lines, percent)).distinct().withColumn("similar", F.lit(True)), "similar")
-    fate = first.join(similar, "sid", "left").filter("similar OR copies > 1").select("s1", "s2", "ord", F.coalesce("similar", F.lit(False)).alias("similar"))
-    own = _named(lines).join(fate, ["s1", "s2"])
+    settled = stored(_verify(stored(_leader_pairs(first, percent), "pairs"), first, lines, percent), "settled")
+    rest = _verify(stored(_open_pairs(first, settled, percent), "pairs"), first, lines, percent)
+    similar = stored(settled.unionByName(rest).distinct().withColumn("similar", F.lit(True)), "similar")
+    fate = first.select("sid", "s1", "s2", "ord", "copies").join(similar, "sid", "left").filter("similar OR copies > 1").select("s1", "s2", "ord", F.coalesce("similar", F.lit(False)).alias("similar"))
+    own = sets.select("row", "doc_id", "at", "s1", "s2").join(fate, ["s1", "s2"])
     same = F.col("ord.id").eqNullSafe(F.col("doc_id")) & (F.col("ord.row") == F.col("row")) & (F.col("ord.at") == F.col("at"))
     return own.filter(F.col("similar") | ~same).select("row", "doc_id", "at")
 
 
+def _repeats(table: DataFrame, row: str, number: str) -> tuple[DataFrame, DataFrame]:
+    """table without rows that repeat an id and text, and these: all but the first (by a hash of all columns) of each group."""
+    groups = stored(table.groupBy(row, "doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col(row).alias("row"), F.col("doc_id").alias("id")), "repeated")
+    if groups.isEmpty():
+        return table, table.limit(0)
+    maybe = let_through(bit_filter(groups.select(F.col("row").alias("key"))), F.col(row))
+    asked = table.filter(maybe).join(groups, (F.col(row) == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    asked = stored(asked.select(*table.columns, F.when(F.col("row").isNotNull(), F.struct(F.xxhash64(*[table[c].cast("string") for c in table.columns]).alias("h"), F.monotonically_increasing_id().alias("n"))).alias(number)), "repeats")
+    leads = asked.filter(F.col(number).isNotNull()).groupBy(F.col(row).alias("row"), F.col("doc_id").alias("id")).agg(F.min(number).alias("lead")).select(F.col("lead.n").alias("lead"))
+    later = asked.filter(F.col(number).isNotNull()).join(leads, F.col(f"{number}.n") == F.col("lead"), "left_anti")
+    once = asked.filter(F.col(number).isNull()).unionByName(asked.join(leads, F.col(f"{number}.n") == F.col("lead"), "left_semi"))
+    return table.filter(~F.coalesce(maybe, F.lit(True))).unionByName(once.drop(number)), later.drop(number)
+
+
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text and more) with the lines removed, and columns removed_lines and total_lines (renamed if taken)."""
-    row, gone, total = fresh(docs, "_row", "removed_lines", "total_lines")
+    row, gone, total, number, key, name = fresh(docs, "_row", "removed_lines", "total_lines", "_number", "_key", "_name")
     table = docs.withColumn(row, F.xxhash64(F.col("text")))
     removed = removed_lines(table.select(F.col(row).alias("row"), "doc_id", "text"), percent)
     per = removed.groupBy("row", "doc_id").agg(F.collect_set("at").alias(gone))  # at most the lines of one document
-    per = stored(per.withColumnsRenamed({"row": "_r", "doc_id": "_id"}), "removed")
+    per = stored(per.withColumnsRenamed({"row": key, "doc_id": name}), "removed")
     lines = F.split(F.col("text"), "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     count = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
     result = [*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], count.alias(gone), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(total)]
+    once, later = _repeats(table, row, number)
     # documents that surely lose nothing need not be shuffled
-    maybe = let_through(bit_filter(per.select(F.xxhash64("_r").alias("key"))), F.xxhash64(row))
-    touched = table.filter(maybe).join(per, (F.col(row) == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return touched.select(*result).unionByName(table.filter(~maybe).withColumn(gone, F.lit(None).cast("array<int>")).select(*result))
+    maybe = let_through(bit_filter(per.select(F.col(key).alias("key"))), F.col(row))
+    touched = once.filter(maybe).join(per, (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(name)), "left")
+    worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(HAS_WORD), i)), lambda i: i.isNotNull())
+    later = later.withColumn(gone, F.when(F.size(worded) > 0, worded))
+    return touched.select(*result).unionByName(once.filter(~maybe).withColumn(gone, F.lit(None).cast("array<int>")).select(*result)).unionByName(later.select(*result))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
