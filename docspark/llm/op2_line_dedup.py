@@ -7,11 +7,11 @@ on no order of work. Lines without words stay.
 Words of a line are ordered by rarity. Similar sets of n words share one of their n - ceil(t n) + 1 rarest (prefix filter);
 only these are shuffled, as short rows, one per distinct set and word. Sets of fewer than four words (at 80 percent) are similar to equal
 sets only, so they go no further. Pairs that meet in a word pass the length filter, the positional filter (what can still
-follow in both sets), and a lossless bound on parity bitmaps (64 bits, 256 above WIDE words); what is left is verified on the
-words themselves.
+follow in both sets), and a lossless bound on parity bitmaps (64 bits, 128 above HALF words, 256 above WIDE); what is left
+is verified on the words themselves.
 
-Families of many similar lines must not become all their pairs: first each set meets only the earliest set of its size band
-in PROBES lists, which settles nearly all members of a family. Then one join of the lists with themselves pairs sets that are
+Families of many similar lines must not become all their pairs: first each set meets only the earliest sets of its size band
+in PROBES lists, LEADERS of each, which settles nearly all members of a family. Then one join of the lists with themselves pairs sets that are
 not settled with all others; both of its sides read one shuffle.
 
 Rarity needs no shuffle of words: counts by hash bucket, combined in each map task, fill a table of fixed size. It only
@@ -36,10 +36,10 @@ from docspark.llm.op8_exact_dedup import bit_filter, let_through
 PERCENT = 80
 #: Buckets of the rarity table.
 TABLE = 1 << 18
-#: Of a set's prefix, how many lists the first round looks at; how far sizes in one of its bands differ.
-PROBES, BAND = 3, 1.25
-#: Sets of more words carry bitmaps of 256 bits.
-WIDE = 100
+#: Of a set's prefix, how many lists the first round looks at; how far sizes in one of its bands differ; parts of a list that have a leader each.
+PROBES, BAND, LEADERS = 3, 1.25, 16
+#: Sets of more words carry bitmaps of 128 and of 256 bits.
+HALF, WIDE = 32, 160
 BITMAPS = ("b", "b1", "b2", "b3")
 ODD = r"[\t\x0B\f\r]"
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -85,10 +85,12 @@ def _sets(lines: DataFrame, table: list[int], percent: int) -> DataFrame:
     ordered = F.transform("h", lambda h: F.shiftleft(F.get(step, h.bitwiseAND(F.lit(TABLE - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
     df = lines.filter(F.col("line").rlike(HAS_WORD)).withColumn("line", _plain(F.col("line"))).select("row", "doc_id", "at", hashes.alias("h")).select("row", "doc_id", "at", F.sort_array(ordered).alias("t"))
     n = F.size("t")
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int"))
-    fold = lambda quarter: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.when(F.shiftright(x, 26).bitwiseAND(F.lit(3)) == quarter, bit(x)).otherwise(F.lit(0)) if quarter else bit(x)))
-    # b folds all four quarters of a wide bitmap into one, so that b compares sets of any size
-    bitmaps = [fold(0).alias("b"), *[F.when(n > WIDE, fold(q)).alias(f"b{q}") for q in (1, 2, 3)]]
+    at, up = (lambda x: F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int")), (lambda x, k: F.shiftright(x, k))
+    fold = lambda on: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", on(x), at(x))))
+    one = F.lit(1).cast("long")
+    # the parity of all words, of those whose hash has bit 26, bit 27, and both: 64, 128 and 256 bits that compare sets of any sizes
+    halves = [fold(lambda x: up(x, 26).bitwiseAND(one)), fold(lambda x: up(x, 27).bitwiseAND(one)), fold(lambda x: up(x, 26).bitwiseAND(up(x, 27)).bitwiseAND(one))]
+    bitmaps = [fold(lambda x: one).alias("b"), *[F.when(n > most, h).alias(b) for h, b, most in zip(halves, BITMAPS[1:], (HALF, WIDE, WIDE), strict=True)]]
     prefix = F.transform(F.slice("t", 1, (n + F.floor(-percent * n / 100) + 1).cast("int")), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     return df.select("row", "doc_id", "at", F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2"), n.alias("n"), *bitmaps, F.when(n >= min_size(percent), prefix).alias("prefix"))
 
@@ -101,11 +103,9 @@ def _possible(percent: int) -> Column:
     """Length, positional and bitmap filters for sets x and y that share a word at places xi and yi of their order."""
     ahead = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) + F.least("xi", "yi")
     length = F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent
-    x, y = ([F.col(f"{p}{b}") for b in BITMAPS] for p in "xy")
-    count = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    rest = [a.bitwiseXOR(b) for a, b in zip(x, y, strict=True)]
-    first = F.bit_count(rest[0].bitwiseXOR(rest[1]).bitwiseXOR(rest[2]).bitwiseXOR(rest[3]))
-    differ = F.coalesce(first + count(x[1], y[1]) + count(x[2], y[2]) + count(x[3], y[3]), count(x[0], y[0]))
+    d, h, w, q = (F.col(f"x{b}").bitwiseXOR(F.col(f"y{b}")) for b in BITMAPS)
+    wide = F.bit_count(d.bitwiseXOR(h).bitwiseXOR(w).bitwiseXOR(q)) + F.bit_count(h.bitwiseXOR(q)) + F.bit_count(w.bitwiseXOR(q)) + F.bit_count(q)
+    differ = F.coalesce(wide, F.bit_count(d.bitwiseXOR(h)) + F.bit_count(h), F.bit_count(d))
     return length & (ahead >= _need(percent)) & (differ <= F.col("xn") + F.col("yn") - 2 * _need(percent))
 
 
@@ -125,28 +125,28 @@ def _verify(pairs: DataFrame, first: DataFrame, lines: DataFrame, percent: int)
     return same.select(F.when(F.col("xo") < F.col("yo"), F.col("y")).otherwise(F.col("x")).alias("sid")).distinct()
 
 
-def _postings(sets: DataFrame, *columns: str) -> DataFrame:
+def _postings(sets: DataFrame, *columns: Column) -> DataFrame:
     return sets.filter("prefix IS NOT NULL").select("sid", "n", *BITMAPS, *columns, F.posexplode("prefix").alias("i", "t"))
 
 
 def _leader_pairs(first: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of each set y and the earliest set x of its list and size band, in PROBES lists of y."""
+    """Pairs (x, y) of each set y and the earliest sets x of its list and size band, one for each of LEADERS parts, in PROBES lists of y."""
     end = F.size("prefix") - 1
     probed = first.filter("prefix IS NOT NULL").withColumn("i", F.explode(F.array_distinct(F.array(*[F.floor(end * k / (PROBES - 1)).cast("int") for k in range(PROBES)]))))
     probed = probed.select("sid", "ord", "n", *BITMAPS, "i", F.get("prefix", F.col("i")).alias("t"), F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int").alias("band"))
-    leaders = probed.groupBy("t", "band").agg(F.min(F.struct("ord", F.col("sid").alias("x"), *[F.col(c).alias(f"x{c}") for c in ("n", *BITMAPS, "i")])).alias("x"), F.count("*").alias("c")).filter("c > 1").select("t", "band", "x.*").drop("ord")
+    leaders = probed.groupBy("t", "band", F.pmod(F.xxhash64("sid"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("ord", F.col("sid").alias("x"), *[F.col(c).alias(f"x{c}") for c in ("n", *BITMAPS, "i")])).alias("x")).select("t", "band", "x.*").drop("ord")
     y = probed.select("t", "band", F.col("sid").alias("y"), *[F.col(c).alias(f"y{c}") for c in ("n", *BITMAPS, "i")])
     return y.join(leaders, ["t", "band"]).filter((F.col("x") != F.col("y")) & _possible(percent)).select("x", "y").distinct()
 
 
 def _open_pairs(first: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) in a list of which y is not settled, once each. k is the set's number if it is not settled, else -1: the condition needs both sides, so both read one shuffle of the lists."""
+    """Pairs (x, y) in a list of which y is not settled and x does not belong to a later document. Settled sets have a negative n; the condition needs both sides, so both read one shuffle of the lists."""
     maybe = let_through(bit_filter(settled.select(F.col("sid").alias("key"))), F.col("sid"))
-    marked = first.filter(maybe).join(settled.withColumn("is", F.lit(True)), "sid", "left").withColumn("k", F.when(F.col("is"), F.lit(-1)).otherwise(F.col("sid"))).drop("is")
-    lists = _postings(marked.unionByName(first.filter(~maybe).withColumn("k", F.col("sid"))), "k")
-    side = lambda p: lists.select("t", F.col("sid").alias(f"{p}s"), *[F.col(c).alias(f"{p}{c}") for c in ("k", "n", *BITMAPS, "i")])
-    once = (F.col("xs") < F.col("yk")) | ((F.col("xk") < 0) & (F.col("yk") >= 0) & (F.col("xs") != F.col("ys")))
-    return side("x").join(side("y"), "t").filter(once & _possible(percent)).select(F.col("xs").alias("x"), F.col("ys").alias("y")).distinct()
+    marked = first.filter(maybe).join(settled.withColumn("is", F.lit(True)), "sid", "left").withColumn("n", F.when(F.col("is"), -F.col("n")).otherwise(F.col("n"))).drop("is")
+    lists = _postings(marked.unionByName(first.filter(~maybe)), F.col("ord.id").alias("o"))
+    side = lambda p: lists.select("t", F.abs("n").alias(f"{p}n"), F.col("n").alias(f"{p}m"), F.col("sid").alias(p), *[F.col(c).alias(f"{p}{c}") for c in ("o", *BITMAPS, "i")])
+    before = (F.col("xo") <= F.when(F.col("ym") > 0, F.col("yo"))) | (F.col("yo").isNull() & (F.col("ym") > F.abs("xm") * 0))
+    return side("x").join(side("y"), "t").filter((F.col("x") != F.col("y")) & before & _possible(percent)).select("x", "y").distinct()
 
 
 def removed_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
