@@ -8,8 +8,9 @@ at least T - L times in the long lists by binary probes, stopping when T can't b
 Distributed, the shortest lists are those of a document's rarest shingles, n - ceil(t n) + 1 of them: every link shares one.
 Only these are shuffled, as (shingle, document) rows; rarity is read from a table of counts per hash bucket over all documents.
 Of equal sets one stands for all (copies are never paired). First neighbours in the lists are searched, and the links found
-are merged to components; then, list by list, pairs of documents of different components. A pair goes to the search with
-its compressed text only if a lossless bound on bitmaps of the sets allows T. Links between documents that are connected
+are merged to components; then, list by list, pairs of documents of different components. A pair goes to the search only if a
+lossless bound on bitmaps of the sets allows T; the texts of these documents are read from the input again. In the search
+the candidates of a query, in blocks, form inverted lists; short ones are merged, long ones probed. Links between documents that are connected
 already are not looked for; components are exact all the same.
 
 Cases: a null text, or one without words, has an empty set and is linked with nothing. Fewer than k words are one shingle.
@@ -20,19 +21,18 @@ empty result. Other columns are not read.
 from __future__ import annotations
 
 import heapq
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docspark.llm.common import LOWER, UPPER, WORD, documents, stored
+from docspark.llm.common import documents, stored
 from docspark.llm.components import connected_components
 from docspark.llm.op8_exact_dedup import bit_filter, let_through
 
@@ -42,48 +42,75 @@ SKETCH = 1 << 18
 #: Longs of the bitmap that goes with the lists; of the second one that sets above WIDE_FROM shingles have, by their size.
 BITMAP_LONGS = 8
 WIDE_FROM = 512
-CACHE = 500_000
+#: Bytes of text that are hashed at once (more for a longer word), documents and candidates in a block.
+SPAN, DOCUMENTS, CANDIDATES = 1 << 20, 1000, 512
 MU = 0.0085
-_FOLD = str.maketrans(UPPER, LOWER)
-_WORD = re.compile(WORD)
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: A number for each byte; words are hashed as polynomials over these in an odd base, modulo 2**64.
+_OF_BYTE = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_BASE = 0xD6E8FEB86659FD93
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MULTIPLY[0]
+    x = (x ^ (x >> np.uint64(29))) * _MULTIPLY[1]
+    return x ^ (x >> np.uint64(32))
 
 
 class Shingler:
-    """Sorted sets of 64-bit shingle hashes."""
+    """64-bit hashes of the shingles of many texts at once."""
 
     def __init__(self, k: int):
-        self.k, self.cache = k, {}
-
-    def words(self, text: str | None) -> list[str]:
-        return _WORD.findall(text.translate(_FOLD)) if text else []
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.unique(self.hashes(words))
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        """The hash at each place, repeats included."""
-        if len(words) < self.k:
-            return np.array([xxhash.xxh64_intdigest("\n".join([str(len(words)), *words]).encode("utf-8", "replace"))] if words else [], np.uint64)
-        found = list(map(self.cache.get, words))
-        if None in found:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            for i, h in enumerate(found):
-                if h is None:
-                    w = words[i]
-                    if (h := self.cache.get(w)) is None:
-                        h = self.cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
-                    found[i] = h
-        h = np.array(found, np.uint64)
-        n = len(h) - self.k + 1
-        s = np.zeros(n, np.uint64)
+        self.k, self.up, self.down = k, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        while len(self.up) < n:
+            m = 2 * len(self.up)
+            step = [np.uint64(pow(b, len(self.up), 1 << 64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+            self.up, self.down = (np.concatenate([x, x * s])[:m] for x, s in zip((self.up, self.down), step, strict=True))
+
+    def _words(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the words low[start:end]."""
+        out, at = np.zeros(len(starts), np.uint64), 0
+        while at < len(starts):
+            base = starts[at]
+            to = max(at + 1, int(np.searchsorted(ends, base + SPAN, "right")))
+            self._powers(int(ends[to - 1] - base))
+            span = low[base : ends[to - 1]]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[span] * self.up[: len(span)])])
+            s, e = starts[at:to] - base, ends[at:to] - base
+            out[at:to] = _mixed((sums[e] - sums[s]) * self.down[s])
+            at = to
+        return out
+
+    def shingles(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hash at each place of each text, repeats included, and where each text's begin (with the end at last)."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        in_word, edges = ~_SPACE[data], at[:-1][at[:-1] < at[1:]]
+        before, after = np.concatenate([[False], in_word[:-1]]), np.concatenate([in_word[1:], [False]])
+        if len(data):
+            before[edges], after[at[1:][at[:-1] < at[1:]] - 1] = False, False
+            starts, ends = np.flatnonzero(in_word & ~before), np.flatnonzero(in_word & ~after) + 1
+        else:
+            starts = ends = np.zeros(0, np.int64)
+        h, first = self._words(_FOLD[data], starts, ends), np.searchsorted(starts, at)
+        n = np.diff(first)
+        # a text of fewer than k words is one shingle
+        count = np.where(n >= self.k, n - self.k + 1, np.minimum(n, 1))
+        begin = np.concatenate([[0], np.cumsum(count)])
+        row = np.repeat(np.arange(len(n)), count)
+        place = first[row] + np.arange(begin[-1]) - begin[row]
+        length = np.minimum(n, self.k)[row]
+        s = length.astype(np.uint64)
         for i in range(self.k):
-            s = (s + h[i : i + n]) * _MULTIPLY[0]
-            s ^= s >> np.uint64(29)
-            s *= _MULTIPLY[1]
-            s ^= s >> np.uint64(32)
-        return s
+            on = length > i
+            s[on] = _mixed(s[on] * _MULTIPLY[1] + h[place[on] + i])
+        return s, begin
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -96,72 +123,70 @@ def occurrences(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Positions of the sets that reach the required overlap with the query."""
-    n = len(query)
-    if not n or not sets:
-        return []
-    need = [occurrences(n, len(s), percent) for s in sets]
-    # inverted lists over the candidates, one for each shingle of the query
-    at = [np.searchsorted(query, s[np.isin(s, query, assume_unique=True)]) for s in sets]
-    shingle, document = np.concatenate(at), np.repeat(np.arange(len(sets)), [len(x) for x in at])
-    order = np.lexsort((document, shingle))
-    shingle, document = shingle[order], document[order]
-    starts, ends = np.searchsorted(shingle, np.arange(n)), np.searchsorted(shingle, np.arange(n), "right")
-    lists = sorted(((int(e - s), i) for i, (s, e) in enumerate(zip(starts, ends, strict=True))), reverse=True)
-    t = max(1, min(need))
-    longest = max(1, lists[0][0])
-    skip = max(0, min(t - 1, int(t / (MU * np.log2(longest + 1) + 1))))
-    long_, short = [i for _, i in lists[:skip]], [document[starts[i] : ends[i]].tolist() for size, i in lists[skip:] if size]
-    probes = [document[starts[i] : ends[i]].tolist() for i in long_]
-    found, last, count = [], -1, 0
-
-    def settle() -> None:
-        if last < 0 or count < need[last] - skip:
-            return
-        have, left = count, len(probes)
-        for p in probes:
-            if have >= need[last] or have + left < need[last]:
-                break
-            left -= 1
-            have += (j := bisect_left(p, last)) < len(p) and p[j] == last
-        if have >= need[last]:
-            found.append(last)
+class InvertedLists:
+    """For each shingle of some sets the positions of the sets that have it, in order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        shingle, self.sizes = np.concatenate([np.zeros(0, np.uint64), *sets]), [len(s) for s in sets]
+        order = np.argsort(shingle, kind="stable")
+        self.shingle, self.document = shingle[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def of(self, query: np.ndarray) -> list[list[int]]:
+        """The lists of a query's shingles, the longest first."""
+        starts, ends = np.searchsorted(self.shingle, query), np.searchsorted(self.shingle, query, "right")
+        return [self.document[starts[i] : ends[i]].tolist() for i in np.argsort(starts - ends, kind="stable")]
 
-    heap = [(x[0], i, 0) for i, x in enumerate(short)]
+
+def merge_short(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """(position, number of lists that have it), in order, through a heap."""
+    heap = [(x[0], i, 0) for i, x in enumerate(lists) if x]
     heapq.heapify(heap)
+    last, count = -1, 0
     while heap:
         d, i, j = heap[0]
-        if j + 1 < len(short[i]):
-            heapq.heapreplace(heap, (short[i][j + 1], i, j + 1))
+        if j + 1 < len(lists[i]):
+            heapq.heapreplace(heap, (lists[i][j + 1], i, j + 1))
         else:
             heapq.heappop(heap)
         if d != last:
-            settle()
+            if count:
+                yield last, count
             last, count = d, 0
         count += 1
-    settle()
-    return found
+    if count:
+        yield last, count
 
 
-def _counts(hashes: list[np.ndarray], size: int) -> np.ndarray:
-    all_ = np.concatenate([np.zeros(0, np.uint64), *hashes]) & np.uint64(size - 1)
-    return np.bincount(all_.view(np.int64), minlength=size)
+def divide_skip(query: np.ndarray, index: InvertedLists, percent: int) -> list[int]:
+    """Positions of the sets that reach the required overlap with the query. No overlap is known before short lists are merged and long ones probed."""
+    n = len(query)
+    if not n or not index.sizes:
+        return []
+    need, lists = [occurrences(n, m, percent) for m in index.sizes], index.of(query)
+    t = max(1, min(need))
+    skip = max(0, min(t - 1, int(t / (MU * np.log2(max(1, len(lists[0])) + 1) + 1))))
+    found, probes = [], lists[:skip]
+    for d, have in merge_short(lists[skip:]):
+        left = skip
+        for p in probes:
+            if have >= need[d] or have + left < need[d]:
+                break
+            left -= 1
+            have += (j := bisect_left(p, d)) < len(p) and p[j] == d
+        if have >= need[d]:
+            found.append(d)
+    return found
 
 
 def _sketch(docs: DataFrame, k: int, size: int) -> np.ndarray:
     """Shingles per bucket of their hashes (size: a power of two), over all documents. One array of fixed size for each task, summed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, total, waiting, held = Shingler(k), np.zeros(size, np.int64), [], 0
+        made, total = Shingler(k), np.zeros(size, np.int64)
         for b in batches:
-            for t in b.column("text").to_pylist():
-                waiting.append(made.hashes(made.words(t)))
-                held += len(waiting[-1])
-                if held >= size:
-                    total += _counts(waiting, size)
-                    waiting, held = [], 0
-        total += _counts(waiting, size)
+            for at in range(0, b.num_rows, DOCUMENTS):
+                s, _ = made.shingles(b.column("text").slice(at, DOCUMENTS))
+                total += np.bincount((s & np.uint64(size - 1)).view(np.int64), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -177,27 +202,35 @@ def bitmap(s: np.ndarray, longs: int = BITMAP_LONGS) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _name(s: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(s.tobytes())
+
+
 def _read(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, fp (128 bits: names the set), prefix (rarest shingles), bits, z (compressed words)."""
+    """doc_id, key (hash of the text), n, fp (128 bits: names the set), prefix (rarest shingles), bits, wide."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, press, counts = Shingler(k), zstandard.ZstdCompressor(level=1), sent.value
+        made, counts = Shingler(k), sent.value
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part, rows = b.slice(at, 1000), []
-                for t in part.column("text").to_pylist():
-                    words = made.words(t)
-                    s = made.of(words)
-                    p = prefix_length(len(s), percent)
-                    rarest = s[np.argsort(counts[(s & np.uint64(len(counts) - 1)).view(np.int64)], kind="stable")[:p]].view(np.int64)  # s is sorted, so ties go by hash
-                    rows.append((len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None, rarest, bitmap(s) if len(s) else None, bitmap(s, wide_longs(len(s))) if len(s) > WIDE_FROM else None, press.compress(" ".join(words).encode("utf-8", "replace")) if words else None))
-                n, fp, prefix, bits, wide, z = zip(*rows, strict=True)
+            for at in range(0, b.num_rows, DOCUMENTS):
+                part, rows = b.slice(at, DOCUMENTS), []
+                hashes, begin = made.shingles(part.column("text"))
+                for i in range(part.num_rows):
+                    s = np.unique(hashes[begin[i] : begin[i + 1]])
+                    if not len(s):
+                        rows.append((0, None, [], None, None))
+                        continue
+                    rare = counts[(s & np.uint64(len(counts) - 1)).view(np.int64)]
+                    rarest = s[np.argsort(rare, kind="stable")[: prefix_length(len(s), percent)]].view(np.int64)  # s is sorted, so ties go by hash
+                    rows.append((len(s), _name(s), rarest, bitmap(s), bitmap(s, wide_longs(len(s))) if len(s) > WIDE_FROM else None))
+                n, fp, prefix, bits, wide = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(z, pa.binary())], names=["doc_id", "n", "fp", "prefix", "bits", "wide", "z"]
+                    [part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "fp", "prefix", "bits", "wide"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, fp binary, prefix array<long>, bits array<long>, wide array<long>, z binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    return rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("key long, n long, fp binary, prefix array<long>, bits array<long>, wide array<long>").fields]))
 
 
 def wide_longs(n: int) -> int:
@@ -212,81 +245,86 @@ def _possible(percent: int) -> Column:
     return differ <= F.col("na") + F.col("nb") - 2 * need
 
 
-def _search(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) the links. Each query's candidates come to its task in a stream behind its own row."""
+def _search(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes the links. Each query's candidates come to its task in a stream behind its own row; texts are read again, of those classes only that the bitmaps let through."""
     pairs = stored(pairs.select("a", "b"), "pairs")
-    names = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "asked")
-    wide = sets.select(F.col("fp").alias("a"), "n", "wide").filter(let_through(bit_filter(names.select(F.col("a").alias("key"))), F.col("a"))).join(names, "a", "left_semi").dropDuplicates(["a"])
-    x = pairs.join(wide.withColumnsRenamed({"n": "na", "wide": "xa"}), "a").join(wide.withColumnsRenamed({"a": "b", "n": "nb", "wide": "xb"}), "b")
-    same_width = F.coalesce(F.size("xa") == F.size("xb"), F.lit(False)) & F.col("xa").isNotNull() & F.col("xb").isNotNull()
-    left = stored(x.filter(F.when(same_width, _possible(percent)).otherwise(F.lit(True))).select("a", "b"), "pairs")
-    # the text of each document that is left, once for every query that asks for it
+    names = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "asked")
+    wide = classes.select("sid", "n", "wide").filter("wide IS NOT NULL").join(names, "sid", "left_semi")
+    side = lambda p: wide.withColumnsRenamed({"sid": p, "n": f"n{p}", "wide": f"x{p}"})
+    x = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    left = stored(x.filter(F.when(F.size("xa") == F.size("xb"), _possible(percent)).otherwise(F.lit(True))).select("a", "b"), "pairs")
+    # the text of each class that is left, once for every query that asks for it
     asked = left.unionByName(left.select("a", F.col("a").alias("b")).distinct())
-    names = stored(asked.select("b").distinct(), "asked")
-    held = sets.select(F.col("fp").alias("b"), "z").filter(let_through(bit_filter(names.select(F.col("b").alias("key"))), F.col("b")))
-    z = held.join(names, "b", "left_semi").groupBy("b").agg(F.first("z").alias("z"))
-    rows = asked.join(z, "b").select("a", (F.col("a") != F.col("b")).alias("other"), "b", "z")
+    names = stored(asked.select(F.col("b").alias("sid")).distinct().join(classes.select("sid", "key", "fp"), "sid"), "asked")
+    held = docs.select("text").withColumn("key", F.xxhash64("text")).filter(let_through(bit_filter(names.select("key")), F.col("key")))
+    texts = stored(held.join(names, "key").select(F.col("sid").alias("b"), "fp", "text").groupBy("b", "fp").agg(F.min("text").alias("text")), "texts")
+    rows = asked.join(texts, "b").select("a", (F.col("a") != F.col("b")).alias("other"), "b", "fp", "text")
     rows = rows.repartition("a").sortWithinPartitions("a", "other", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, press = Shingler(k), zstandard.ZstdDecompressor()
-        name, query, names, sets_ = None, None, [], []
+        made = Shingler(k)
+        name, query, names, sets = None, None, [], []
 
         def flush() -> pa.RecordBatch:
-            hit = divide_skip(query, sets_, percent) if names else []
-            out = pa.RecordBatch.from_arrays([pa.array([name] * len(hit), pa.binary()), pa.array([names[i] for i in hit], pa.binary())], names=["a", "b"])
+            hit = divide_skip(query, InvertedLists(sets), percent)
+            out = pa.RecordBatch.from_arrays([pa.array([name] * len(hit), pa.int64()), pa.array([names[i] for i in hit], pa.int64())], names=["a", "b"])
             names.clear()
-            sets_.clear()
+            sets.clear()
             return out
 
         for batch in batches:
-            for a, other, b, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                s = made.of(press.decompress(data).decode("utf-8").split(" "))
-                if not other:
-                    if names:
-                        yield flush()
-                    name, query = a, s
-                else:
-                    names.append(b)
-                    sets_.append(s)
-                    if len(names) == 512:
-                        yield flush()
+            for at in range(0, batch.num_rows, CANDIDATES):
+                part = batch.slice(at, CANDIDATES)
+                hashes, begin = made.shingles(part.column("text"))
+                for i, (a, other, b, fp) in enumerate(zip(*[part.column(c).to_pylist() for c in ("a", "other", "b", "fp")], strict=True)):
+                    s = np.unique(hashes[begin[i] : begin[i + 1]])
+                    if _name(s) != fp:
+                        raise ValueError("two texts with one 64-bit hash")
+                    if not other:
+                        if names:
+                            yield flush()
+                        name, query = a, s
+                    else:
+                        names.append(b)
+                        sets.append(s)
+                        if len(names) == CANDIDATES:
+                            yield flush()
         if names:
             yield flush()
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def ngram_components(docs: DataFrame, k: int = K, percent: int = PERCENT, sketch_size: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id, fp (equal for equal sets) for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     read = stored(_read(docs, k, percent, _sketch(docs, k, sketch_size)), "sets")
-    some = read.filter("n > 0")
     # of equal sets one stands for all: the combiner keeps one row of a set in each task
-    lists = some.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("fp", "n", F.explode("prefix").alias("s"))
-    shared = stored(lists.withColumn("c", F.count("*").over(W.partitionBy("s"))).filter("c > 1").select("s", "fp", "n"), "lists")
+    classes = read.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("key", "n", "prefix", "bits", "wide")])
+    classes = stored(classes.withColumn("sid", F.monotonically_increasing_id()), "classes")
+    lists = classes.select("sid", "n", F.explode("prefix").alias("s"))
+    shared = stored(lists.withColumn("c", F.count("*").over(W.partitionBy("s"))).filter("c > 1").select("s", "sid", "n"), "lists")
     near = F.col("na") * 100 >= F.col("nb") * percent
-    w = W.partitionBy("s").orderBy("n", "fp")
-    chain = shared.select(F.lag("fp").over(w).alias("b"), F.lag("n").over(w).alias("na"), F.col("fp").alias("a"), F.col("n").alias("nb")).filter("b IS NOT NULL").filter(near)
-    bits = some.select("fp", "bits").dropDuplicates(["fp"])
-    chain = chain.distinct().join(bits.select(F.col("fp").alias("a"), F.col("bits").alias("xa")), "a").join(bits.select(F.col("fp").alias("b"), F.col("bits").alias("xb")), "b").filter(_possible(percent))
+    w = W.partitionBy("s").orderBy("n", "sid")
+    chain = shared.select(F.lag("sid").over(w).alias("b"), F.lag("n").over(w).alias("na"), F.col("sid").alias("a"), F.col("n").alias("nb")).filter("b IS NOT NULL").filter(near)
+    bits = classes.select("sid", "bits")
+    chain = chain.distinct().join(bits.select(F.col("sid").alias("a"), F.col("bits").alias("xa")), "a").join(bits.select(F.col("sid").alias("b"), F.col("bits").alias("xb")), "b").filter(_possible(percent))
     chain = stored(chain.select("a", "b"), "chain")
-    first = stored(_search(chain, some, k, percent), "links")
+    first = stored(_search(chain, classes, docs, k, percent), "links")
     parts = stored(connected_components(first), "parts")
-    labelled = shared.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("s", "fp", "n", F.coalesce("component", "fp").alias("c"))
+    labelled = shared.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("s", "sid", "n", F.coalesce("component", "sid").alias("c"))
     apart = W.partitionBy("s")
-    labelled = labelled.withColumn("lo", F.min("c").over(apart)).withColumn("hi", F.max("c").over(apart)).filter("lo <> hi").select("s", "fp", "n", "c")
-    labelled = stored(labelled.join(bits, "fp"), "lists")
-    x = labelled.select("s", F.col("fp").alias("a"), F.col("n").alias("nb"), F.col("c").alias("ca"), F.col("bits").alias("xa"))
-    y = labelled.select("s", F.col("fp").alias("b"), F.col("n").alias("na"), F.col("c").alias("cb"), F.col("bits").alias("xb"))
+    labelled = labelled.withColumn("lo", F.min("c").over(apart)).withColumn("hi", F.max("c").over(apart)).filter("lo <> hi").select("s", "sid", "n", "c")
+    labelled = stored(labelled.join(bits, "sid"), "lists")
+    x = labelled.select("s", F.col("sid").alias("a"), F.col("n").alias("nb"), F.col("c").alias("ca"), F.col("bits").alias("xa"))
+    y = labelled.select("s", F.col("sid").alias("b"), F.col("n").alias("na"), F.col("c").alias("cb"), F.col("bits").alias("xb"))
     later = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("b") < F.col("a"))
     rest = x.join(y, (x["s"] == y["s"]) & (F.col("ca") != F.col("cb")) & later & near & _possible(percent)).select("a", "b").distinct().join(chain, ["a", "b"], "left_anti")
-    second = _search(rest, some, k, percent)
-    edges = first.unionByName(second)
+    edges = first.unionByName(_search(rest, classes, docs, k, percent))
     parts = connected_components(stored(edges, "links"))
-    least = some.groupBy("fp").agg(F.min("doc_id").alias("least")).join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
-    least = stored(least.select("fp", "least", "c"), "classes")
-    names = least.select("fp", "c").join(least.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("fp", "component_id")
+    named = classes.select("sid", "fp", "least").join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("fp", "least", F.coalesce("component", "sid").alias("c"))
+    named = stored(named, "named")
+    names = named.join(named.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("fp", "component_id")
     out = read.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(names, "fp", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "fp")
 

@@ -73,20 +73,47 @@ def test_hard_and_empty_tables(spark, name, full_dir, empty_dir):
     assert QUERIES[name](spark, empty_dir).count() == 0
 
 
+def kept_lines(table, percent=80):
+    """Brute force over rows (doc_id, text, ...): (doc_id, text that is left, removed lines), rows by id with nulls last; ids with different texts don't occur here."""
+    seen, out, done = [], [], set()
+    for i, t, *_ in sorted(table, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None)):
+        kept, gone = [], 0
+        for line in (t or "").split("\n"):
+            w = set(WORD.findall(line))
+            dup = bool(w) and ((i, t) in done or any(len(w & s) * 100 >= percent * len(w | s) for s in seen))
+            gone += dup
+            kept += [] if dup else [line]
+            seen += [w] if w else []
+        done.add((i, t))
+        out.append((i, None if t is None else "\n".join(kept), gone))
+    return Counter(out)
+
+
 def test_op2_line_dedup(spark, docs):
     from docspark.llm.op2_line_dedup import line_dedup
 
-    got = ids(line_dedup(docs).select("doc_id", F.xxhash64("text").alias("h"), "removed_lines"), "doc_id", "removed_lines")
-    seen, expect = [], {}
-    for i, t, *_ in sorted({r[:2] for r in rows() if r[0] is not None}, key=lambda r: r[0]):
-        gone = 0
-        for line in (t or "").split("\n"):
-            w = set(WORD.findall(line))
-            if w:
-                gone += any(len(w & s) * 100 >= 80 * len(w | s) for s in seen)
-                seen.append(w)
-        expect[i] = gone
-    assert {k: v for k, v in got if k is not None} == expect
+    assert ids(line_dedup(docs), "doc_id", "text", "removed_lines") == kept_lines(rows())
+
+
+def test_op2_families_sizes_and_clashing_columns(spark):
+    import random
+
+    from docspark.llm.op2_line_dedup import line_dedup
+
+    rng, table = random.Random(4), []
+    base = [f"w{i}" for i in range(200)]
+    for i in range(120):  # a family around the threshold, long and short sets, repeated white space
+        n = rng.choice([1, 2, 3, 4, 5, 6, 9, 10, 11, 40, 170, 200])
+        lines = [" ".join(rng.sample(base[:n], max(1, n - rng.randint(0, 1 + n // 12))) + [f"x{rng.randint(0, 50)}"] * rng.randint(0, 1)) for _ in range(3)]
+        table.append((i, "\n".join([*lines, rng.choice(["", "  ", "a  b", "b a ", "a\tb\x0b"])])))
+    table += [(7, table[7][1]), (None, table[3][1]), (None, table[3][1]), (None, "only here in a null row\nw0 w1 w2 w3")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in table], "doc_id long, text string, _r int, _id int, _row int, sid int, removed_lines int").repartition(5)
+    out = line_dedup(df)
+    assert out.columns[:7] == df.columns
+    table.remove((None, "only here in a null row\nw0 w1 w2 w3"))  # its place among null ids is that of a hash; no line of it decides on others
+    got = ids(out, "doc_id", "text")
+    assert got.pop((None, "only here in a null row")) == 1
+    assert got == Counter({(i, t): n for (i, t, _), n in kept_lines(table).items()})
 
 
 def test_op3_targets(spark, docs):
@@ -153,17 +180,53 @@ def test_op5_components(spark, docs, k, percent):
     assert ids(ngram_components(docs, k, percent), "doc_id", "n_shingles", "component_id") == expect
 
 
-def test_divide_skip_against_brute_force():
+def test_divide_skip_against_brute_force(monkeypatch):
     import numpy as np
 
-    from docspark.llm.op5_ngram_join import divide_skip
+    from docspark.llm import op5_ngram_join as op5
 
-    rng = np.random.default_rng(5)
+    rng, found, merged, probed = np.random.default_rng(5), 0, [], []
+    merge_short, bisect = op5.merge_short, op5.bisect_left
+    monkeypatch.setattr(op5, "merge_short", lambda lists: [merged.append(len(lists)), *merge_short(lists)][1:])
+    monkeypatch.setattr(op5, "bisect_left", lambda p, d: [probed.append(d), bisect(p, d)][1])
+    cases = []
     for _ in range(200):
         q = np.unique(rng.integers(0, 400, rng.integers(1, 120)).astype(np.uint64))
         sets = [np.unique(np.concatenate([q[rng.random(len(q)) < rng.choice([0.5, 0.9, 0.97, 1])], rng.integers(0, 400, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(9)]
         inter = [len(np.intersect1d(q, s)) for s in sets]
-        assert sorted(divide_skip(q, sets, 80)) == [i for i, s in enumerate(sets) if inter[i] * 100 >= 80 * (len(q) + len(s) - inter[i])]
+        expect = [i for i, s in enumerate(sets) if inter[i] * 100 >= 80 * (len(q) + len(s) - inter[i])]
+        assert sorted(op5.divide_skip(q, op5.InvertedLists(sets), 80)) == expect
+        cases.append((q, sets))
+        found += len(expect)
+    assert found and probed and len(merged) == 200 and any(n < len(q) for n, (q, _) in zip(merged, cases, strict=True))
+    # without the merge nothing is found
+    monkeypatch.setattr(op5, "merge_short", lambda lists: iter(()))
+    assert not any(op5.divide_skip(q, op5.InvertedLists(sets), 80) for q, sets in cases)
+
+
+def test_shingles_of_many_texts(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from docspark.llm import op5_ngram_join as op5
+
+    monkeypatch.setattr(op5, "SPAN", 16)
+    rng = random.Random(3)
+    texts = [None, "", " \n", "One", "one two", "a b c", "A  b\tC", *[" ".join(rng.choice(["x", "é", "YY", "z" * 40]) for _ in range(rng.randint(0, 9))) for _ in range(200)]]
+    for part in (pa.array(texts), pa.array(["skipped", *texts]).slice(1)):
+        s, begin = op5.Shingler(3).shingles(part)
+        known = {}
+        for i, t in enumerate(texts):
+            w = WORD.findall(low(t))
+            grams = [tuple(w[j : j + 3]) for j in range(len(w) - 2)] if len(w) >= 3 else [tuple(w)] if w else []
+            own = s[begin[i] : begin[i + 1]]
+            assert len(own) == len(grams)
+            for g, h in zip(grams, own, strict=True):
+                assert known.setdefault(g, h) == h
+        assert len(set(known.values())) == len(known)
+        assert np.all(np.diff(begin) >= 0)
 
 
 def test_components_of_a_chain(spark):
