@@ -50,18 +50,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests, one machine)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset a folder of our own serves on one machine (a local master); on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = found.get() if found.isDefined() else None
+    if not at and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not at:
         at = tempfile.mkdtemp(prefix="docspark-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -72,7 +74,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there is deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/docspark-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     return path
 
 

@@ -167,8 +167,10 @@ def training_ids(known: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
 
 
 def train(docs: DataFrame, known: DataFrame, max_train: int = MAX_TRAIN) -> FactorisationMachine:
-    """docs: doc_id, text, n_chars. The sample of ids has a bound, so it is broadcast; of texts that share an id all are used."""
-    sample = docs.select("doc_id", "text", "n_chars").join(F.broadcast(training_ids(known, max_train)), "doc_id")
+    """docs: doc_id, text, n_chars. The sample of ids has a bound, so it is broadcast; of rows that share an id one is used, by a hash of its text, so the bound holds for rows."""
+    ids = F.broadcast(training_ids(known, max_train))
+    own = docs.select("doc_id", "n_chars", F.xxhash64("text", "n_chars").alias("h")).join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("h").alias("h"))
+    sample = docs.select("doc_id", "text", "n_chars", F.xxhash64("text", "n_chars").alias("h")).join(F.broadcast(own), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "n_chars", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Features()

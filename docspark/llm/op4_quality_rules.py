@@ -2,24 +2,29 @@ r"""Quality rules with risk-controlled thresholds.
 
 A rule rejects a document when a ratio of its statistics is above a cutoff. Labelled documents are the holdout: for every
 stratum (language), rule and cutoff of a grid, n good documents of which k would be rejected test the hypothesis that the
-rule rejects more than a share alpha / rules of good documents. Its exact binomial p-value is P(Bin(n, alpha / rules) <= k);
-Bonferroni's correction over all strata, rules and cutoffs asks for p <= delta / tests. So with probability 1 - delta all
-rules together reject at most a share alpha of a stratum's good documents, in all strata at once. Of a rule's cutoffs that
-pass, the laxest that rejects at least REACH of what any of them rejects among bad documents is selected; where none
-rejects a bad document, or the labels are too few to prove anything, the rule rejects nothing in that stratum.
+rule rejects more than a share alpha / rules of good documents. Its exact binomial p-value is P(Bin(n, alpha / rules) <= k).
+Multiple testing: Bonferroni's correction over strata and rules asks for p <= delta / (strata * rules); within a rule the
+cutoffs are tested in a fixed sequence, from the laxest down, until one fails, which costs no further share of delta (a laxer
+cutoff rejects fewer, so the first true hypothesis of the sequence decides). So with probability 1 - delta all rules together
+reject at most a share alpha of a stratum's good documents, in all strata at once. Of a rule's cutoffs that pass, the laxest
+that rejects at least REACH of what any of them rejects among bad documents is selected; where none rejects a bad document,
+or the labels are too few to prove anything (with none rejected, n good ones of (1 - alpha / rules)**n > delta / tests), the
+rule rejects nothing in that stratum.
 
 Everything is DataFrame expressions. Statistics of a text are array expressions inside its row (no shuffle); repeated
 5-word windows are found by sorting hashes of the windows with their positions, in texts that have any. What is joined with
 labels has one short row per document; the selected cutoffs have one row per stratum and rule.
 
 Cases: a null or empty text has no words, so it fails the base rule. A null language is the stratum `und`. Null labels
-and labels of unknown documents are not counted; of several labels of a document each counts. Empty labels select nothing.
+and labels of unknown documents are not counted. A document is one trial: several labels of an id count as their majority (ties
+are left out), and of rows that share an id none is used unless it stands alone. Empty labels select nothing.
 Rows with equal or null ids are judged one by one. Columns that documents has besides are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.llm.common import SPACE, UPPER, documents, fresh, labels, stored, text_of
@@ -46,7 +51,7 @@ def rules(s: Column) -> dict[str, Column]:
 
 
 def with_stats(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
-    """docs with a struct column `out` of STATS (long)."""
+    """docs with a struct column `out` of STATS (long). Store the result before filtering on it: a filter takes the expressions into itself and computes them again."""
     t, w, h, n = fresh(docs, "_text", "_words", "_windows", "_n")
     df = docs.withColumn(t, text_of(text))
     trimmed = F.btrim(F.col(t), F.lit(" \t\n\x0b\x0c\r"))
@@ -104,8 +109,10 @@ def select_cutoffs(holdout: DataFrame, alpha: float = ALPHA, delta: float = DELT
     share = alpha / len(ratios)
     strata = holdout.select("stratum").distinct().agg(F.count("*"))
     tests = above.select("stratum", "rule", "n", F.explode("c").alias("c")).select("stratum", "rule", "n", "c.*")
-    limit = F.log(F.lit(delta)) - F.log(strata.scalar() * len(ratios) * len(cutoffs))
-    sure = tests.filter(F.col("k") < F.col("n") * share).filter(log_tail(F.col("n"), F.col("k"), share) <= limit)
+    limit = F.log(F.lit(delta)) - F.log(strata.scalar() * len(ratios))
+    proven = F.when(F.col("k") < F.col("n") * share, log_tail(F.col("n"), F.col("k"), share) <= limit).otherwise(F.lit(False))
+    so_far = W.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))  # one row a cutoff
+    sure = tests.withColumn("sure", F.min(proven).over(so_far)).filter("sure")
     best = sure.groupBy("stratum", "rule").agg(F.max("hits").alias("most"), F.collect_list(F.struct("cutoff", "hits")).alias("all"))
     return best.filter("most > 0").select("stratum", "rule", F.array_max(F.transform(F.filter("all", lambda x: x["hits"] >= REACH * F.col("most")), lambda x: x["cutoff"])).alias("cutoff"))
 
@@ -116,9 +123,10 @@ def stratum_of(lang: str = "lang") -> Column:
 
 def judge(df: DataFrame, stats: str, known: DataFrame, out: str, lang: str = "lang", doc_id: str = "doc_id", **control) -> DataFrame:
     """df (with the struct of statistics) with boolean `out`: kept or not. known: doc_id, quality (1 good, 0 bad)."""
-    quality = known.filter("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), (F.col("quality") == 1).alias("good"))
-    own = df.select(F.col(doc_id).alias("_id"), stratum_of(lang).alias("stratum"), F.col(stats).alias("s")).filter(~base_failed(F.col("s")))
-    cutoffs = select_cutoffs(own.join(quality, "_id").drop("_id"), **control)
+    quality = known.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.avg("quality").alias("q")).filter("q <> 0.5").select("_id", (F.col("q") > 0.5).alias("good"))
+    own = df.select(F.col(doc_id).alias("_id"), stratum_of(lang).alias("stratum"), F.col(stats).alias("s"))
+    alone = own.join(quality, "_id").groupBy("_id").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("stratum", "s", "good")]).filter("c = 1")
+    cutoffs = select_cutoffs(alone.filter(~base_failed(F.col("s"))).select("stratum", "good", "s"), **control)
     key, limits = fresh(df, "_stratum", "_limits")
     per = stored(cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias(limits)), "cutoffs").withColumnRenamed("stratum", key)
     joined = df.withColumn(key, stratum_of(lang)).join(per, key, "left")
@@ -138,4 +146,4 @@ def quality_rules(docs: DataFrame, known: DataFrame, **control) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its statistics, the base rule and the verdict."""
     df = stored(with_stats(documents(spark, sf_dir).select("doc_id", "lang", "text"), "s").select("doc_id", "lang", "s"), "stats")
-    return judge(df, "s", labels(spark, sf_dir), "kept").select("doc_id", "lang", *[F.col("s")[c].alias(c) for c in STATS], base_failed(F.col("s")).alias("base_failed"), "kept")
+    return judge(df, "s", labels(spark, sf_dir), "kept").select("doc_id", *[F.col("s")[c].alias(c) for c in STATS[:5]], base_failed(F.col("s")).alias("base_failed"), "kept", "lang", F.col("s")["n_capitals"].alias("n_capitals"))

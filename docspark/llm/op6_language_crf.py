@@ -5,8 +5,8 @@ have a weight of their own), plus learned transitions between the languages of n
 the probability of each language at each word. So code-switched texts get word labels (`label_words`), and a text gets the
 language with the most probability over its words, that mean being the score (`identify`).
 
-Training: at most PER_LANGUAGE texts of each language, taken by a hash of the id from rows that are not held out; the texts
-are whole. They are cut into segments, and segments of different languages are chained, so that transitions are learned;
+Training: at most PER_LANGUAGE texts of each of at most MAX_LANGUAGES languages, taken by a hash of the id from rows that are
+not held out; the texts are whole. They are cut into segments, and segments of different languages are chained, so that transitions are learned;
 AdaGrad on the driver, on the exact gradient from forward-backward. The model has a fixed size and is broadcast.
 
 Prediction: one pass, no shuffle. Scores of words are kept in a cache of bounded size. Chains are cut into blocks of BLOCK
@@ -19,7 +19,6 @@ texts all predictions are `und`; with one language all are that one. Repeated ro
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,11 +35,13 @@ from docspark.llm.common import documents
 
 HASHED, LEXICON = 1 << 15, 2000
 PER_LANGUAGE, BLOCK, CHAIN = 300, 64, 48
+#: At most this many languages can be learned.
+MAX_LANGUAGES = 200
 CACHE = 300_000
 WORDS_AT_ONCE = 400_000
 UND = "und"
-#: Runs of letters, joined marks included.
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters with the marks that follow them.
+WORD = regex.compile(r"(?:\p{L}\p{M}*+)++")
 
 
 def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
@@ -151,10 +153,8 @@ def fit(texts: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, seed:
         order = rng.permutation(len(segments))
         ids = np.concatenate([[vocab[w] for w in segments[i][1]] for i in order])
         tags = np.concatenate([np.full(len(segments[i][1]), segments[i][0]) for i in order])
-        rows = len(ids) // CHAIN
-        if not rows:
-            ids, tags, rows = np.resize(ids, CHAIN), np.resize(tags, CHAIN), 1
-        ids, tags = ids[: rows * CHAIN].reshape(rows, CHAIN), tags[: rows * CHAIN].reshape(rows, CHAIN)
+        rows = -(-len(ids) // CHAIN)  # the last chain is filled up from the epoch's start
+        ids, tags = (np.resize(x, rows * CHAIN).reshape(rows, CHAIN) for x in (ids, tags))
         for at in range(0, rows, 128):
             _step(m, ids[at : at + 128], tags[at : at + 128], feats, gw, gt, rate)
     return m
@@ -200,10 +200,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageCRF:
     """docs: doc_id, text, lang. Ids of the sample are chosen first (at most per_language of each), then their texts fetched."""
-    usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select("doc_id").distinct()
-    rows = usable.select("doc_id", "lang", "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id").collect()
+    usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    first = W.partitionBy("lang").orderBy(*order)
+    # short rows choose: a row is named by id, language and text; repeated ones are taken once
+    chosen = usable.select("doc_id", "lang", F.xxhash64("text").alias("h")).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))).filter(F.col("r") <= per_language)
+    languages = [r.lang for r in chosen.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = usable.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen.select("doc_id", "lang", "h").distinct()), ["doc_id", "lang", "h"])
+    rows = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).select("doc_id", "lang", "text").collect()
     return fit([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))])
 
 
