@@ -7,14 +7,15 @@ its right part is the token at the front of either side, which meanwhile may hav
 rank. `sufficient_lookahead` adds up the longest chain of such moves over the merge list in one pass. Tokens that end that
 many bytes before the end of what has been read are stable: they are emitted, and only the rest is kept.
 
-Text is read in pieces of bounded size; the splitting pattern needs three characters of lookahead, and a run of one
-character class that is longer than a piece goes through the transducer while it is read. Memory is bounded by the piece,
-the lookahead and a cache of bounded size, whatever the length of the text. Decoding maps ids to bytes and runs them through
-an incremental UTF-8 state machine.
+Every text is fed to a transducer in pieces of at most PIECE characters. The splitting pattern needs three characters of
+lookahead: what it matches before them is a finished run of characters, whose bytes go through a run's own machine (or its
+memo, for runs seen before); a run that has no end yet is fed on while it is read. Memory is bounded by the piece, the
+lookahead and a memo of bounded size, whatever the length of the text. Decoding maps ids to bytes and runs them through an
+incremental UTF-8 state machine, piece by piece.
 
 Cases: a null text encodes as an empty one (no ids; it decodes to an empty text). Null ids decode to an empty text. Repeated
-rows and ids, nulls in other columns and further columns pass through as they are; an added column whose name exists
-replaces nothing: the caller names the columns, and a clash raises ValueError.
+rows and ids, nulls in other columns and further columns pass through as they are; an added column whose name exists gets
+underscores behind its own, and stands last.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from itertools import chain
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import documents, text_of
+from docspark.llm.common import documents, fresh, text_of
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters after a match of PATTERN that decide whether it stands: 'll takes three.
@@ -42,8 +43,7 @@ PATTERN_LOOKAHEAD = 3
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼½¾", " \t-\r\x85\xa0"
 LATIN = re.compile(rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 NOT_LATIN = re.compile("[^\x00-\u024f]")
-PIECE = 1 << 16
-LONG_RUN = 4096
+PIECE, HELD = 1 << 16, 4096
 BLOCK = 4096
 CACHE = 250_000
 
@@ -137,7 +137,7 @@ def merge(data: bytes, v: Vocabulary) -> list[int]:
     return [t for t, ok in zip(ids, live, strict=True) if ok]
 
 
-class Transducer:
+class Run:
     """Encodes one unsplit run of bytes that arrives in parts, with memory for the lookahead and one block."""
 
     def __init__(self, v: Vocabulary):
@@ -165,77 +165,96 @@ class Transducer:
 
 
 class Encoder:
-    """Encodes texts piece by piece."""
-
-    RUNS = tuple(map(regex.compile, (r"\p{L}*+", r"\p{N}*+", r"[^\s\p{L}\p{N}]*+", r"\s*+")))
+    """What the transducers of one vocabulary share: the pattern and the memo of runs."""
 
     def __init__(self, v: Vocabulary):
         self.v, self.pieces = v, regex.compile(PATTERN)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(v.added, key=len, reverse=True)) + ")") if v.added else None
 
-    def encode(self, text: str, piece: int = PIECE, long_run: int = LONG_RUN) -> list[int]:
+    def encode(self, text: str, piece: int = PIECE, held: int = HELD) -> list[int]:
         out: list[int] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.v.added:
                 out.append(self.v.added[part])
-            else:
-                self._plain(part, out, piece, long_run)
+                continue
+            machine = Transducer(self, held)
+            for at in range(0, len(part), piece):
+                out += machine.feed(part[at : at + piece])
+            out += machine.finish()
         return out
 
-    def _emit(self, words: Iterable[str], out: list[int], long_run: int) -> None:
-        found = list(map(self.cache.get, words))
+    def runs(self, words: list[str]) -> Iterable[int]:
+        """The ids of finished runs."""
+        found = list(map(self.memo.get, words))
         if None in found:
-            found = [self._new(w, long_run) if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        out += chain.from_iterable(found)
-
-    def _new(self, word: str, long_run: int) -> Iterable[int]:
-        if len(word) > long_run:
-            run = Transducer(self.v)
-            return chain(run.feed(_utf8(word)), run.finish())
-        if (ids := self.cache.get(word)) is None:
-            ids = tuple(merge(_utf8(word), self.v))
+            found = [self._new(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return chain.from_iterable(found)
+
+    def _new(self, word: str) -> tuple[int, ...]:
+        if (ids := self.memo.get(word)) is None:
+            run = Run(self.v)
+            ids = (*run.feed(_utf8(word)), *run.finish())
             if len(word) < 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[word] = ids
+                if len(self.memo) >= CACHE:
+                    self.memo.clear()
+                self.memo[word] = ids
         return ids
 
-    def _plain(self, text: str, out: list[int], piece: int, long_run: int) -> None:
-        held, at, run, open_run = "", 0, None, None
-        pieces = self.pieces if NOT_LATIN.search(text) else LATIN
-        while True:
-            last = at + piece >= len(text)
-            buf, at = held + text[at : at + piece], at + piece
-            if run is not None:  # inside a run that was longer than long_run
-                end = run.match(buf).end()
-                if not last and end > len(buf) - PATTERN_LOOKAHEAD:
-                    out += open_run.feed(_utf8(buf[:-PATTERN_LOOKAHEAD]))
-                    held = buf[-PATTERN_LOOKAHEAD:]
-                    continue
-                if end < len(buf) and run is self.RUNS[-1]:
-                    end -= 1  # the last white space before a word goes with the word
-                out += open_run.feed(_utf8(buf[:end]))
-                out += open_run.finish()
-                buf, run = buf[end:], None
-            words = pieces.findall(buf)
-            if last:
-                self._emit(words, out, long_run)
-                return
-            n = 0
-            while words and n < PATTERN_LOOKAHEAD:
-                n += len(words.pop())
-            self._emit(words, out, long_run)
-            held = buf[len(buf) - n :]
-            if len(held) > long_run + PATTERN_LOOKAHEAD:
-                first = self.pieces.match(held)[0]
-                if len(first) < len(held):
-                    self._emit((first,), out, long_run)
-                    held = held[len(first) :]
-                else:
-                    run, open_run = next(r for r in self.RUNS if r.match(first[1]).end()), Transducer(self.v)
-                    out += open_run.feed(_utf8(held[:-PATTERN_LOOKAHEAD]))
-                    held = held[-PATTERN_LOOKAHEAD:]
+
+class Transducer:
+    """Encodes a text that arrives in pieces. What is held between them: the characters that the pattern may still join with what follows, at most `held` and the lookahead; a longer run is open, its bytes are with its own machine."""
+
+    CLASSES = tuple(map(regex.compile, (r"\p{L}*+", r"\p{N}*+", r"[^\s\p{L}\p{N}]*+", r"\s*+")))
+
+    def __init__(self, encoder: Encoder, held: int = HELD):
+        self.encoder, self.most = encoder, held
+        self.held, self.of, self.run = "", None, None
+
+    def _words(self, buf: str) -> list[str]:
+        return (self.encoder.pieces if NOT_LATIN.search(buf) else LATIN).findall(buf)
+
+    def _close(self, buf: str, end: int, out: list[int]) -> str:
+        """Ends the open run at a place of buf."""
+        if end < len(buf) and self.of is self.CLASSES[-1]:
+            end -= 1  # the last white space before a word goes with the word
+        out += self.run.feed(_utf8(buf[:end]))
+        out += self.run.finish()
+        self.of = self.run = None
+        return buf[end:]
+
+    def feed(self, piece: str) -> list[int]:
+        out: list[int] = []
+        buf = self.held + piece
+        if self.run:
+            end = self.of.match(buf).end()
+            if end > len(buf) - PATTERN_LOOKAHEAD:
+                out += self.run.feed(_utf8(buf[:-PATTERN_LOOKAHEAD]))
+                self.held = buf[-PATTERN_LOOKAHEAD:]
+                return out
+            buf = self._close(buf, end, out)
+        words, n = self._words(buf), 0
+        while words and n < PATTERN_LOOKAHEAD:
+            n += len(words.pop())
+        out += self.encoder.runs(words)
+        self.held = buf[len(buf) - n :]
+        if n > self.most + PATTERN_LOOKAHEAD:
+            first = self.encoder.pieces.match(self.held)[0]
+            if len(first) < n:
+                out += self.encoder.runs([first])
+                self.held = self.held[len(first) :]
+            else:
+                self.of, self.run = next(r for r in self.CLASSES if r.match(first[1]).end()), Run(self.encoder.v)
+                out += self.run.feed(_utf8(self.held[:-PATTERN_LOOKAHEAD]))
+                self.held = self.held[-PATTERN_LOOKAHEAD:]
+        return out
+
+    def finish(self) -> list[int]:
+        out: list[int] = []
+        buf = self._close(self.held, self.of.match(self.held).end(), out) if self.run else self.held
+        out += self.encoder.runs(self._words(buf))
+        self.held = ""
+        return out
 
 
 def _utf8(s: str) -> bytes:
@@ -290,51 +309,54 @@ def _sliced(rows: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[tuple
         yield start, len(sizes)
 
 
-def _check(df: DataFrame, out: str) -> None:
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"there is a column {out} already")
-
-
-def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with array<int> column `ids`: the tokens of each whole text, null read as empty. The tokenizer's file is read by the driver and sent as a broadcast; it is a vocabulary, so its size does not follow the data."""
-    _check(df, ids)
-    with open(tokenizer_path, encoding="utf-8") as f:
+def _mapped(df: DataFrame, path: str, column: str, added: list[tuple[str, T.DataType]], make) -> DataFrame:
+    """df with columns made of one column's values, batch by batch. The tokenizer's file is read by the driver and sent as a broadcast; it is a vocabulary, so its size does not follow the data."""
+    with open(path, encoding="utf-8") as f:
         content = df.sparkSession.sparkContext.broadcast(f.read())
-    at = df.columns.index(text)
+    at, names = df.columns.index(column), fresh(df, *[n for n, _ in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, encoder, _ = _loaded(content.value)
+        loaded = _loaded(content.value)
         for batch in batches:
-            texts = batch.column(at)
-            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
-            for a, b in _sliced(batch, sizes, BATCH):
-                flat, ends = [], [0]
-                for t in texts.slice(a, b - a).to_pylist():
-                    flat += encoder.encode(t or "")
-                    ends.append(len(flat))
-                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, column], names=[*batch.schema.names, ids])
+            values = batch.column(at)
+            size = pa.compute.list_value_length if pa.types.is_list(values.type) else pa.compute.binary_length
+            for a, b in _sliced(batch, pa.compute.fill_null(size(values), 0).to_pylist(), BATCH):
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *make(loaded, values.slice(a, b - a).to_pylist())], names=[*batch.schema.names, *names])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, (_, t) in zip(names, added, strict=True)]]))
+
+
+def _lists(ids: list[list[int]]) -> pa.Array:
+    ends = [0]
+    for x in ids:
+        ends.append(ends[-1] + len(x))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(chain.from_iterable(ids)), pa.int32()))
+
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """df with array<int> column `ids` at its end: the tokens of each whole text, null read as empty."""
+    return _mapped(df, tokenizer_path, text, [(ids, T.ArrayType(T.IntegerType()))], lambda m, texts: [_lists([m[1].encode(t or "") for t in texts])])
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """df with string column `text`: what the ids stand for; special tokens are kept, null ids give an empty text."""
-    _check(df, text)
-    with open(tokenizer_path, encoding="utf-8") as f:
-        content = df.sparkSession.sparkContext.broadcast(f.read())
-    at = df.columns.index(ids)
+    """df with string column `text` at its end: what the ids stand for; special tokens are kept, null ids give an empty text."""
+    return _mapped(df, tokenizer_path, ids, [(text, T.StringType())], lambda m, lists: [pa.array([m[2].decode(x or []) for x in lists], pa.string())])
+
+
+def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with both columns at its end, made in one pass through Python."""
+
+    def make(m, texts):
+        coded = [m[1].encode(t or "") for t in texts]
+        return [_lists(coded), pa.array([m[2].decode(x) for x in coded], pa.string())]
+
+    return _mapped(df, tokenizer_path, text, [(ids, T.ArrayType(T.IntegerType())), (decoded, T.StringType())], make)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *_, decoder = _loaded(content.value)
-        for batch in batches:
-            lists = batch.column(at)
-            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_pylist()
-            for a, b in _sliced(batch, sizes, BATCH):
-                column = pa.array([decoder.decode(x or []) for x in lists.slice(a, b - a).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, column], names=[*batch.schema.names, text])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
+def digests(ids: str, decoded: str) -> tuple[Column, Column, Column]:
+    """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text; lowercase hex."""
+    listed = F.concat_ws(",", F.col(ids).cast("array<string>")).cast("binary")
+    return F.size(ids).cast("long"), F.sha2(listed, 256), F.sha2(F.col(decoded).cast("binary"), 256)
 
 
 def default_tokenizer() -> str:
@@ -345,12 +367,7 @@ def default_tokenizer() -> str:
 
 def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """Per document: number of tokens, digest of the ids and digest of the text that they decode to."""
-    path = tokenizer_path or default_tokenizer()
     docs = documents(spark, sf_dir).select("doc_id", text_of("text").alias("text"))
-    coded = decode(encode(docs, path).select("doc_id", "ids"), path)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    coded = round_trip(docs, tokenizer_path or default_tokenizer())
+    n, ids, decoded = digests("ids", "decoded")
+    return coded.select("doc_id", n.alias("n_tokens"), ids.alias("ids_sha256"), decoded.alias("decoded_sha256"))

@@ -10,7 +10,7 @@ from docspark.llm.op2_line_dedup import line_dedup
 from docspark.llm.op3_mixing import mix
 from docspark.llm.op4_quality_rules import quality_rules
 from docspark.llm.op5_ngram_join import ngram_components
-from docspark.llm.op10_bpe import decode, default_tokenizer, encode
+from docspark.llm.op10_bpe import default_tokenizer, digests, round_trip
 
 #: Near duplicates: shingles of five words, similarity in percent.
 SHINGLE, SIMILAR = 5, 80
@@ -29,6 +29,7 @@ def _named(table: DataFrame, row: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The documents that the quality rules keep: null, empty and short texts go, an empty table stays empty, repeated rows are judged alike."""
     return quality_rules(docs, known)
 
 
@@ -49,24 +50,18 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = SIMIL
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """Each document once for every pass of the schedule that takes half of its words or more."""
-    table, (row, times) = _numbered(docs, "_times")
+    """Each document once for every pass of the schedule that takes half of its words or more, written in the order of the schedule's slots. Documents without words go; repeated rows and null ids are rows of their own."""
+    table, (row, slot) = _numbered(docs, "_slot")
     _, pieces = mix(_named(table, row))
-    passes = pieces.groupBy("doc_id", "size", "pass").agg(F.sum("length").alias("n")).filter("2 * n >= size")
-    copies = passes.groupBy("doc_id").agg(F.count("*").cast("int").alias(times)).select(F.col("doc_id.row").alias(row), times)
-    return table.join(copies, row).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).select(*docs.columns)
+    passes = pieces.groupBy("doc_id", "size", "pass").agg(F.sum("length").alias("n"), F.min("slot").alias(slot)).filter("2 * n >= size")
+    copies = passes.select(F.col("doc_id.row").alias(row), slot)
+    return table.join(copies, row).orderBy(slot, row).select(*docs.columns)
 
 
 def tokens(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """doc_id, source, ids, n_tokens, and digests of the ids and of the text that they decode to."""
-    path = tokenizer_path or default_tokenizer()
-    coded = decode(encode(docs.select("doc_id", "source", "text"), path).select("doc_id", "source", "ids"), path)
-    return coded.select(
-        "doc_id",
-        "source",
-        "ids",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
-
+    """The columns of docs but the text, then ids, n_tokens, and digests of the ids and of the text that they decode to (names that are taken get underscores)."""
+    others = [c for c in docs.columns if c != "text"]
+    ids, n, a, b = fresh(docs, "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = round_trip(docs, tokenizer_path or default_tokenizer())
+    made = digests(*coded.columns[-2:])
+    return coded.select(*others, F.col(coded.columns[-2]).alias(ids), *[c.alias(x) for c, x in zip(made, (n, a, b), strict=True)])

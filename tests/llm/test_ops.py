@@ -399,10 +399,33 @@ def test_op10_round_trip():
     texts += ["".join(rng.choice("ab the") for _ in range(3)) * rng.randint(500, 9000) for _ in range(10)] + [c * 50000 + "x" for c in "ae !1="]
     for s in texts:
         own = t.encode(s, add_special_tokens=False).ids
-        assert e.encode(s) == own and e.encode(s, piece=max(7, len(s) // 9), long_run=rng.randint(4, 5000)) == own
+        assert e.encode(s) == own and e.encode(s, piece=max(7, len(s) // 9), held=rng.randint(4, 5000)) == own
         assert d.decode(own) == d.decode(own, step=3) == t.decode(own, skip_special_tokens=False)
 
 
+def test_op10_query(spark, full_dir, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from docspark.llm import op10_bpe as op10
+
+    t = Tokenizer.from_file(op10.default_tokenizer())
+    expect = Counter()
+    for i, text, *_ in rows():
+        own = t.encode(text or "", add_special_tokens=False).ids
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        expect[i, len(own), sha(",".join(map(str, own))), sha(t.decode(own, skip_special_tokens=False))] += 1
+    assert ids(op10.op10_bpe(spark, full_dir), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expect
+    clash = spark.createDataFrame([("a b", [64], "x"), (None, None, None)], "text string, ids array<int>, decoded string")
+    assert op10.decode(op10.encode(clash, op10.default_tokenizer()), op10.default_tokenizer()).columns == ["text", "ids", "decoded", "ids_", "decoded_"]
+    # every text goes through the transducer
+    fed, feed = [], op10.Transducer.feed
+    monkeypatch.setattr(op10.Transducer, "feed", lambda self, piece: [fed.append(len(piece)), feed(self, piece)][1])
+    with open(op10.default_tokenizer(), encoding="utf-8") as f:
+        encoder = op10.Encoder(op10.Vocabulary.from_json(f.read()))
+    encoder.encode("one word", piece=3)
+    assert fed == [3, 3, 2]
+
+
 def test_sql_of_llm_queries(spark):
     import duckdb
 
