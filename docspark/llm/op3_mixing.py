@@ -28,7 +28,7 @@ SHARE, CAP = 1.5, 2
 BLOCK_WORDS, SLOTS = 1024, 65536
 GOLDEN = 0.6180339887498949
 #: Slots in a range of the two-level rank; cells of the grid that finds a point's source.
-RANGE, CELLS = 4096, 1024
+RANGE, CELLS = 256, 1024
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def sizes(docs: DataFrame) -> DataFrame:
         "source",
         F.when(F.col("source").isNull(), "2").otherwise(F.concat(F.lit("1"), "source")).alias("k"),
         F.regexp_count(text_of("text"), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
+        # rows without an id are told apart by their text
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(text_of("text").cast("binary")))).cast("binary")).alias("h"),
     )
 
 
@@ -105,20 +106,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its size, its source's size and target, and the words that the mix takes of it."""
+    """Per document: its size, its source's size and target, the words that the mix takes of it, and the first and last slots of the schedule that take some (null: none)."""
     placed, pieces = mix(documents(spark, sf_dir))
-    taken = pieces.groupBy("k", "start").agg(F.sum("length").alias("taken"))
+    taken = pieces.groupBy("k", "start").agg(F.sum("length").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
     # a start is one document's in its source, among those with words
-    full = placed.filter("size > 0").join(taken, ["k", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
-    none = placed.filter("size = 0").withColumn("taken", F.lit(0))
-    return full.unionByName(none).select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    full = placed.filter("size > 0").join(taken, ["k", "start"], "left")
+    none = placed.filter("size = 0").withColumns({c: F.lit(None).cast("long") for c in ("taken", "first_slot", "last_slot")})
+    return full.unionByName(none).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "first_slot", "last_slot")
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '2' ELSE '1' || source END AS k,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), '-' || md5(coalesce(text, '')))) AS h
   FROM documents),
 s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY k),
 r AS (SELECT k, source_size, CASE (row_number() OVER (ORDER BY k) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
@@ -133,8 +134,23 @@ t AS (
   FROM l),
 p AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d)
-SELECT doc_id, source, size, source_size, target,
-       CAST(greatest(0, least(start + size, floor(target)) - start) + greatest(0, least(source_size + start + size, floor(target)) - source_size - start) AS BIGINT) AS taken
-FROM p JOIN t USING (k)
+  FROM d),
+n AS (SELECT k, CAST(ceil(floor(target) / b.block) AS BIGINT) AS needed, CAST(floor(target) AS BIGINT) AS words, b.block, b.slots FROM t,
+      (SELECT block, CAST((words + block - 1) // block AS BIGINT) AS slots FROM (SELECT words, greatest(1, least(1024, words // 65536)) AS block FROM (SELECT CAST(sum(floor(target)) AS BIGINT) AS words FROM t))) b),
+spans AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY k), 0.0) AS lo FROM (
+  SELECT *, CAST(sum(needed) OVER (ORDER BY k) AS DOUBLE) / CAST(sum(needed) OVER () AS DOUBLE) AS hi FROM n WHERE needed > 0)),
+points AS (SELECT slot, slot * 0.6180339887498949::DOUBLE - floor(slot * 0.6180339887498949::DOUBLE) AS x FROM (SELECT unnest(range((SELECT max(slots) FROM n))) AS slot)),
+ranked AS (SELECT slot, k, needed, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS block FROM points JOIN spans ON x >= lo AND x < hi),
+late AS (SELECT n.slots AS slot, n.k, unnest(range(CAST(coalesce(h.had, 0) AS BIGINT), n.needed)) AS block FROM n LEFT JOIN (SELECT k, count(*) AS had FROM ranked GROUP BY k) h USING (k)),
+schedule AS (SELECT slot, k, block FROM ranked WHERE block < needed UNION ALL SELECT slot, k, block FROM late),
+pieces AS (
+  SELECT doc_id, k, start, size, lo, hi, bl, unnest(range(CAST(lo // bl AS BIGINT), CAST((hi - 1) // bl + 1 AS BIGINT))) AS block FROM (
+    SELECT p.doc_id, p.k, p.start, p.size, pass * source_size + p.start AS lo, least(pass * source_size + p.start + p.size, n.words) AS hi, n.block AS bl
+    FROM p JOIN t USING (k) JOIN n USING (k), (VALUES (0), (1)) v(pass) WHERE p.size > 0) WHERE lo < hi),
+took AS (
+  SELECT k, start, sum(least(hi, (pieces.block + 1) * bl) - greatest(lo, pieces.block * bl)) AS taken, min(slot) AS first_slot, max(slot) AS last_slot
+  FROM pieces JOIN schedule USING (k, block) GROUP BY k, start)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END AS BIGINT) AS taken, source,
+       CASE WHEN size > 0 THEN first_slot END AS first_slot, CASE WHEN size > 0 THEN last_slot END AS last_slot
+FROM p JOIN t USING (k) LEFT JOIN took USING (k, start)
 """

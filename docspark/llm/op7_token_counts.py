@@ -4,22 +4,33 @@ A batch is a table of changes: an insert adds a document's count, a delete subtr
 Totals are sums, so a batch is first summed by key (map-side, a hot source combines to one row a task) and only those sums
 are stored, one folder per batch. The folder's _SUCCESS marker is the commit: a batch that is committed is not applied
 again, one that was cut off is overwritten by its next attempt. Totals add up the base and all batches committed since;
-`compact` folds batches into a new base whose marker names them, in one step that can be repeated.
+`compact` folds batches into a new base whose marker names them, in one step that can be repeated, and deletes what it replaces.
+
+Tokens are those of real vocabularies, each a tokenizer version with totals of its own: byte-pair ranks from files, whose
+content goes to the tasks as a broadcast. `counted` adds the counts of texts in Arrow batches, whole texts, no shuffle.
 
 Cases: null source or language are keys of their own. A null text counts zero tokens but one document. Null counts count
-as zero. Totals without documents and tokens are left out. Empty batches commit and change nothing.
+as zero. Rows that repeat count as often as they stand there; other columns are not read. Totals without documents and tokens are left out. Empty batches commit and change nothing.
 """
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Iterator
+
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docspark.llm.common import documents, exists, labels, new_path, stored, text_of
+from docspark.llm.common import delete, documents, exists, fresh, labels, new_path, stored, text_of
+from docspark.llm.op10_bpe import PATTERN
 
 KEYS = ("source", "lang", "tokenizer")
-#: Counters by tokenizer version: a pattern, and what it counts.
-WORDS_1, WORDS_2, ALNUM_1 = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D|]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Tokenizer versions: vocabulary files by name.
+VERSIONS = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
+SPACES = " \t\n\x0b\x0c\r"
 
 
 class TokenRollup:
@@ -64,17 +75,55 @@ class TokenRollup:
 
     def compact(self) -> None:
         parts, folded = self._parts()
-        n = sum(x.startswith("base=") for x in self._committed())
+        n = max([int(x[5:]) + 1 for x in self._committed() if x.startswith("base=")], default=0)
         at = f"{self.path}/base={n:08d}"
         self.totals().write.mode("overwrite").parquet(f"{at}/totals")
         batches = sorted(folded | {x[6:] for x in parts if x.startswith("batch=")})
         self.spark.createDataFrame([(b,) for b in batches], "batch string").write.mode("overwrite").parquet(f"{at}/batches")
+        old = [x for x in self._committed() if x.startswith("base=")] + [f"batch={b}" for b in batches]
         marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
         marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(marker, True).close()
+        for x in old:  # the new base holds their sums and names
+            delete(self.spark, f"{self.path}/{x}")
+
+
+def default_vocabularies() -> dict[str, str]:
+    """Tokenizer version: path of its file."""
+    import public_tokenizers
+
+    return {name.split(".")[0]: public_tokenizers.path(name) for name in VERSIONS}
+
+
+_LOADED: dict[str, tiktoken.Encoding] = {}
 
 
-def count(pattern: str, text: str = "text") -> Column:
-    return F.regexp_count(text_of(text), F.lit(pattern)).cast("long")
+def _encoding(name: str, content: bytes, pattern: str) -> tiktoken.Encoding:
+    """The encoding of this Python worker, built once."""
+    if name not in _LOADED:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+        _LOADED[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _LOADED[name]
+
+
+def counted(docs: DataFrame, vocabularies: dict[str, str], text: str = "text") -> DataFrame:
+    """docs without its text, with a struct column `tokens` of counts by tokenizer version (as many as there are vocabularies) at its end."""
+    contents = {}
+    for name, path in vocabularies.items():
+        with open(path, "rb") as f:
+            contents[name] = f.read()
+    sent, at = docs.sparkSession.sparkContext.broadcast(contents), docs.columns.index(text)
+    keep, (out,) = [c for c in range(len(docs.columns)) if c != at], fresh(docs, "tokens")
+    names = [*[docs.columns[i] for i in keep], out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encodings = [_encoding(name, content, PATTERN) for name, content in sent.value.items()]
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            counts = [pa.array([len(e.encode_ordinary(t)) for t in texts], pa.int64()) for e in encodings]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.StructArray.from_arrays(counts, list(contents))], names=names)
+
+    fields = [docs.schema[i] for i in keep]
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.StructType([T.StructField(n, T.LongType()) for n in contents]))]))
 
 
 def signed(rows: DataFrame, sign: int, **tokens: Column) -> DataFrame:
@@ -88,26 +137,19 @@ def revised(rows: DataFrame, tokenizer: str, old: Column, new: Column) -> DataFr
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive; then the counts of one tokenizer version are revised (a bar no longer makes a word), toxic documents are taken down, and two batches are sent again, to no effect."""
+    """All documents arrive; then texts with white space at their ends are revised to the texts without, toxic documents are taken down, and two batches are sent again, to no effect."""
+    vocabularies = default_vocabularies()
     rollup = TokenRollup(spark, new_path(spark, "rollup"))
-    docs = stored(documents(spark, sf_dir).select("doc_id", "source", "lang", count(WORDS_1).alias("w1"), count(WORDS_2).alias("w2"), count(ALNUM_1).alias("a1")), "counts")
-    arrive = signed(docs, 1, words=F.col("w1"), alnum=F.col("a1"))
-    revise = revised(docs, "words", F.col("w1"), F.col("w2"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", text_of("text").alias("text"))
+    docs = stored(counted(docs.withColumn("spaced", F.col("text") != F.btrim("text", F.lit(SPACES))), vocabularies), "counts")
+    spaced = documents(spark, sf_dir).select("source", "lang", "doc_id", F.btrim(text_of("text"), F.lit(SPACES)).alias("text"), text_of("text").alias("was")).filter("text <> was").drop("was")
+    after = stored(counted(spaced, vocabularies), "revised")
+    one = lambda rows, sign: signed(rows, sign, **{v: F.col("tokens")[v] for v in vocabularies})
     toxic = labels(spark, sf_dir).filter("toxic = 1").select("doc_id").distinct()
-    delete = signed(docs.join(toxic, "doc_id", "left_semi"), -1, words=F.col("w2"), alnum=F.col("a1"))
-    for batch, changes in (("arrive", arrive), ("revise", revise), ("arrive", arrive), ("delete", delete)):
+    revise = one(after, 1).unionByName(one(docs.filter("spaced"), -1))
+    delete_ = one(docs.filter("NOT spaced").unionByName(after, allowMissingColumns=True).join(toxic, "doc_id", "left_semi"), -1)
+    for batch, changes in (("arrive", one(docs, 1)), ("revise", revise), ("arrive", one(docs, 1)), ("delete", delete_)):
         rollup.commit(batch, changes)
     rollup.compact()
-    rollup.commit("delete", delete)
+    rollup.commit("delete", delete_)
     return rollup.totals()
-
-
-SQL = r"""
-WITH d AS (
-  SELECT source, lang,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D|]+')) AS words,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS alnum
-  FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
-e AS (SELECT source, lang, 'words' AS tokenizer, words AS n FROM d UNION ALL SELECT source, lang, 'alnum', alnum FROM d)
-SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM e GROUP BY ALL
-"""

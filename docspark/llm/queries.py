@@ -25,4 +25,4 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op3_mixing": op3.SQL, "op7_token_counts": op7.SQL, "op8_exact_dedup": op8.SQL}
+ORACLES: dict[str, str] = {"op3_mixing": op3.SQL, "op8_exact_dedup": op8.SQL}
