@@ -11,7 +11,7 @@ follow in both sets), and a lossless bound on parity bitmaps (64 bits, 128 above
 is verified on the words themselves.
 
 Families of many similar lines must not become all their pairs: first each set meets only the earliest sets of its size band
-in PROBES lists, LEADERS of each, which settles nearly all members of a family. Then one join of the lists with themselves pairs sets that are
+in lists at PROBES, LEADERS of each, which settles nearly all members of a family. Then one join of the lists with themselves pairs sets that are
 not settled with all others; both of its sides read one shuffle.
 
 Rarity needs no shuffle of words: counts by hash bucket, combined in each map task, fill a table of fixed size. It only
@@ -36,8 +36,9 @@ from docspark.llm.op8_exact_dedup import bit_filter, let_through
 PERCENT = 80
 #: Buckets of the rarity table.
 TABLE = 1 << 18
-#: Of a set's prefix, how many lists the first round looks at; how far sizes in one of its bands differ; parts of a list that have a leader each.
-PROBES, BAND, LEADERS = 3, 1.25, 16
+#: Places of a set's prefix whose lists the first round looks at, as a share of its end and so many before (words that a copy adds are rare and come first, so
+#: families meet at the end); how far sizes in one of its bands differ; parts of a list that have a leader each.
+PROBES, BAND, LEADERS = ((1.0, 0), (1.0, 1), (1.0, 2), (0.75, 0), (0.5, 0), (0.0, 0)), 1.25, 16
 #: Sets of more words carry bitmaps of 128 and of 256 bits.
 HALF, WIDE = 32, 160
 BITMAPS = ("b", "b1", "b2", "b3")
@@ -99,9 +100,9 @@ def _need(percent: int) -> Column:
     return F.ceil(percent * (F.col("xn") + F.col("yn")) / F.lit(100 + percent) - 1e-9)
 
 
-def _possible(percent: int) -> Column:
-    """Length, positional and bitmap filters for sets x and y that share a word at places xi and yi of their order."""
-    ahead = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) + F.least("xi", "yi")
+def _possible(percent: int, first: bool) -> Column:
+    """Length, positional and bitmap filters for sets x and y that share a word at places xi and yi of their order. first: the pair need pass at its first common word only, before which nothing is shared."""
+    ahead = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) + (F.lit(0) if first else F.least("xi", "yi"))
     length = F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent
     d, h, w, q = (F.col(f"x{b}").bitwiseXOR(F.col(f"y{b}")) for b in BITMAPS)
     wide = F.bit_count(d.bitwiseXOR(h).bitwiseXOR(w).bitwiseXOR(q)) + F.bit_count(h.bitwiseXOR(q)) + F.bit_count(w.bitwiseXOR(q)) + F.bit_count(q)
@@ -130,13 +131,13 @@ def _postings(sets: DataFrame, *columns: Column) -> DataFrame:
 
 
 def _leader_pairs(first: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of each set y and the earliest sets x of its list and size band, one for each of LEADERS parts, in PROBES lists of y."""
+    """Pairs (x, y) of each set y and the earliest sets x of its list and size band, one for each of LEADERS parts, in lists of y at PROBES."""
     end = F.size("prefix") - 1
-    probed = first.filter("prefix IS NOT NULL").withColumn("i", F.explode(F.array_distinct(F.array(*[F.floor(end * k / (PROBES - 1)).cast("int") for k in range(PROBES)]))))
+    probed = first.filter("prefix IS NOT NULL").withColumn("i", F.explode(F.array_distinct(F.array(*[F.greatest(F.floor(end * share).cast("int") - less, F.lit(0)) for share, less in PROBES]))))
     probed = probed.select("sid", "ord", "n", *BITMAPS, "i", F.get("prefix", F.col("i")).alias("t"), F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int").alias("band"))
     leaders = probed.groupBy("t", "band", F.pmod(F.xxhash64("sid"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("ord", F.col("sid").alias("x"), *[F.col(c).alias(f"x{c}") for c in ("n", *BITMAPS, "i")])).alias("x")).select("t", "band", "x.*").drop("ord")
     y = probed.select("t", "band", F.col("sid").alias("y"), *[F.col(c).alias(f"y{c}") for c in ("n", *BITMAPS, "i")])
-    return y.join(leaders, ["t", "band"]).filter((F.col("x") != F.col("y")) & _possible(percent)).select("x", "y").distinct()
+    return y.join(leaders, ["t", "band"]).filter((F.col("x") != F.col("y")) & _possible(percent, False)).select("x", "y").distinct()
 
 
 def _open_pairs(first: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
@@ -146,7 +147,7 @@ def _open_pairs(first: DataFrame, settled: DataFrame, percent: int) -> DataFrame
     lists = _postings(marked.unionByName(first.filter(~maybe)), F.col("ord.id").alias("o"))
     side = lambda p: lists.select("t", F.abs("n").alias(f"{p}n"), F.col("n").alias(f"{p}m"), F.col("sid").alias(p), *[F.col(c).alias(f"{p}{c}") for c in ("o", *BITMAPS, "i")])
     before = (F.col("xo") <= F.when(F.col("ym") > 0, F.col("yo"))) | (F.col("yo").isNull() & (F.col("ym") > F.abs("xm") * 0))
-    return side("x").join(side("y"), "t").filter((F.col("x") != F.col("y")) & before & _possible(percent)).select("x", "y").distinct()
+    return side("x").join(side("y"), "t").filter((F.col("x") != F.col("y")) & before & _possible(percent, True)).select("x", "y").distinct()
 
 
 def removed_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
