@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,7 +47,13 @@ def metadata(files: DataFrame) -> DataFrame:
     })
     if "content" in files.columns:
         df = df.withColumn("hash_md5", F.md5("content")).drop("content")
-    return df.withColumn("doc_id", F.format_string("doc_%08d", F.row_number().over(W.orderBy("path")) - 1))
+    # the rank of a path in two levels: by its first characters behind those that all paths share, then inside
+    ends = df.agg(F.min("path"), F.max("path")).first()
+    part = F.substring("path", 1, len(os.path.commonprefix([x or "" for x in ends])) + 3)
+    sizes = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy("path")) - 1
+    return df.withColumn("_part", part).join(before, "_part").withColumn("doc_id", F.format_string("doc_%08d", place)).drop("_part", "_before")
 
 
 def contingency(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
@@ -70,12 +77,18 @@ def stratified_split(df: DataFrame, stratum: str, key: str, shares: dict[str, fl
     if abs(sum(shares.values()) - 1) > 1e-8:
         raise ValueError("shares must sum to 1")
     order = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))
-    place = (F.row_number().over(W.partitionBy(stratum).orderBy(order, key)) - 1) / F.count("*").over(W.partitionBy(stratum))
+    # ranks in two levels, by the digest's first characters and inside: no task holds a stratum
+    df = df.withColumn("_order", order).withColumn("_part", F.substring("_order", 1, 3)).withColumn("_stratum", F.struct(F.col(stratum).alias("s")))
+    sizes = df.groupBy("_stratum", "_part").agg(F.count("*").alias("_n"))
+    own = W.partitionBy("_stratum")
+    sizes = sizes.select("_stratum", "_part", F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(own).alias("_all"))
+    df = df.join(sizes, ["_stratum", "_part"])
+    place = (F.col("_before") + F.row_number().over(W.partitionBy("_stratum", "_part").orderBy("_order", key)) - 1) / F.col("_all")
     out, edge = F.lit(list(shares)[-1]), 1.0
     for name in reversed(list(shares)[:-1]):
         edge = sum(list(shares.values())[: list(shares).index(name) + 1])
         out = F.when(F.col("_place") < edge, name).otherwise(out)
-    return df.withColumn("_place", place).withColumn("split", out).drop("_place")
+    return df.withColumn("_place", place).withColumn("split", out).drop("_place", "_order", "_part", "_stratum", "_before", "_all")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
@@ -94,5 +107,5 @@ def coverage(base: DataFrame, ready: DataFrame, key: str) -> tuple[DataFrame, Da
 
 
 def first_of(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
+    """The first row of each key; the combiner keeps one row of a key in each task, so a large group is no large task. Rows with null keys are a group."""
+    return df.groupBy(*[F.col(c).alias(f"_{i}") for i, c in enumerate(key)]).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.operators import cleaning as C
+from docspark.operators import corrections as K
 from docspark.plans.extract import _R, rendered
+from docspark.session import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +53,48 @@ def x11_clean_names(spark, d):
 def x27_tag_round_trip(spark, d):
     t = C.tagged({"invoice_number": F.col("c"), "total_amount": F.col("total").cast("string")})
     return rendered(spark, d).withColumn("t", t).select("k", C.untagged(F.col("t"), "invoice_number").alias("invoice_number"), C.untagged(F.col("t"), "total_amount").alias("total_amount"))
+
+
+def _noted(spark, d):
+    """doc_id, the words of each whole text behind a line of labels and values that varies with the id, and the fields that were read."""
+    i = F.col("doc_id")
+    day = lambda n: F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % n).cast("int")), "yyyy-MM-dd")
+    line = (
+        F.when(i % 6 == 0, F.concat(F.lit("Invoice date: "), day(300), F.lit(" x x x x Payment due "), day(200)))
+        .when(i % 6 == 1, F.concat(F.lit("Due: "), day(100), F.lit(" Total: $ "), i, F.lit(".50")))
+        .when(i % 6 == 2, F.concat(F.lit("issued "), day(77), F.lit(" Invoice No: INV-"), i))
+        .when(i % 6 == 3, F.concat(day(50), F.lit(" and "), day(60)))
+        .otherwise(F.lit("no labels"))
+    )
+    words = F.split(F.concat_ws(" ", line, F.coalesce("text", F.lit(""))), r"\s+")
+    return table(spark, d, "documents").select(
+        "doc_id",
+        words.alias("words"),
+        F.when(i % 3 == 0, day(200)).otherwise("").alias("invoice_date"),
+        F.when(i % 6 == 0, day(200)).when(i % 5 == 1, "9-3/22").otherwise("").alias("due_date"),
+        F.when(i % 2 == 0, F.concat(F.lit("INV-"), i)).otherwise("TO").alias("invoice_number"),
+        F.when(i % 7 == 0, "Acme Ltd info@acme.test").otherwise("Acme Ltd").alias("issuer_name"),
+        F.lit("Bo Lee").alias("recipient_name"),
+        F.when(i % 5 == 0, "24.09").when(i % 5 == 1, "").otherwise("$ 90.00").alias("total_amount"),
+    )
+
+
+@query()
+def x14_x15_dates(spark, d):
+    return K.arbitrate_dates(K.fallback_dates(_noted(spark, d))).select("doc_id", "invoice_date", "due_date")
+
+
+@query()
+def x17_validate_and_correct(spark, d):
+    return K.validate_and_correct(_noted(spark, d)).drop("words")
+
+
+@query(
+    "SELECT o_orderkey AS k, "
+    + ", ".join(f"CASE WHEN (o_orderkey * 7 + {i * 13}) % 101 >= {round(100 * t)} THEN '{f}' || o_orderkey ELSE '' END AS {f}, round((o_orderkey * 7 + {i * 13}) % 101 / 100.0::DOUBLE, 4) AS {f}_conf" for i, (f, t) in enumerate(K.THRESHOLDS.items()))
+    + " FROM orders"
+)
+def p07_j08_gate(spark, d):
+    k = F.col("o_orderkey")
+    given = [c for i, f in enumerate(K.THRESHOLDS) for c in (F.concat(F.lit(f), k).alias(f), ((k * 7 + i * 13) % 101 / F.lit(100.0)).alias(f"{f}_conf"))]
+    return K.gate(table(spark, d, "orders").select(k.alias("k"), *given))
