@@ -113,3 +113,32 @@ def first_value(*xs: Column) -> Column:
 def size_label(n: Column) -> Column:
     """Bytes as B, KB or MB."""
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1048576, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1048576))
+
+
+# The characters of white space and of digits, in any script.
+_SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_DIGIT = r"\p{Nd}\x{B2}\x{B3}\x{B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}"
+
+
+def stripped(x: Column) -> Column:
+    return F.regexp_replace(x, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+
+
+def token_flags(c: Column) -> dict[str, Column]:
+    """The twelve flags of a stripped token; none holds for an empty one."""
+    n = F.length(c)
+    flags = {
+        "numeric": c.rlike(f"^[{_DIGIT}]+$"),
+        "alpha": c.rlike(r"^\p{L}+$"),
+        "alnum": c.rlike(r"^[\p{L}\p{N}]+$"),
+        "upper": (n > 1) & c.rlike(r"\p{IsUppercase}") & ~c.rlike(r"[\p{IsLowercase}\p{Lt}]"),
+        "punct": F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}{_SPACE}]", "")) / n >= F.lit(0.3),
+        "short": n <= 2,
+        "long": n >= 12,
+        "currency": c.rlike(rf"^[$€£¥₹]?[{_SPACE}]*\p{{Nd}}[\p{{Nd}},.]*$"),
+        "date": c.rlike(rf"^(?:\p{{Nd}}{{1,2}}[\-/]\p{{Nd}}{{1,2}}[\-/]\p{{Nd}}{{2,4}}|\p{{Nd}}{{4}}[\-/]\p{{Nd}}{{1,2}}[\-/]\p{{Nd}}{{1,2}}|\p{{Nd}}{{1,2}}[{_SPACE}]+[A-Za-z]{{3,9}}[{_SPACE}]+\p{{Nd}}{{2,4}})$"),
+        "email": c.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"),
+        "url": c.rlike(r"(?iu)^(https?://|www\.)"),
+        "phone": c.rlike(rf"^\+?\p{{Nd}}[\p{{Nd}}{_SPACE}().-]{{6,}}\p{{Nd}}$"),
+    }
+    return {k: (n > 0) & x for k, x in flags.items()}

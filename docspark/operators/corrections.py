@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions.text import DASH
+from docspark.operators import cleaning
+from docspark.operators.cleaning import ADDRESS_WORDS
 from docspark.operators.selection import invoice_number
 
 # Least confidences by field, what a date and an amount look like in running text, labels of dates and of totals.
@@ -147,3 +149,33 @@ def validate_and_correct(df: DataFrame, words: str = "words", notes: str = "vali
     found = F.btrim(F.regexp_extract(text, TOTAL, 1))
     df = act(df, "RULE5 total_amount", (F.col("total_amount") == "") & F.coalesce(_number(found) >= 1, F.lit(False)), total_amount=found)
     return df.drop("_text", "_sorted", "_once", "_unique", *PREPARED)
+
+
+# Words before the "to" that leads to a recipient.
+TO_TRIGGERS = ("bill", "billed", "sold", "send", "ship")
+NAME_WINDOW = 6
+
+
+def fallback_recipient(df: DataFrame, words: str = "words", most: int = NAME_TOKENS) -> DataFrame:
+    """df with recipient_name, an empty one being taken from the words behind the first "bill to" (or the like) that a name follows; a word joined to the "to" counts. A name ends before an address word, a number, or an address of mail or web. Null names and words count as empty."""
+    w, name = F.coalesce(F.col(words), F.array().cast("array<string>")), F.coalesce("recipient_name", F.lit(""))
+    bare = lambda t: F.btrim(t, F.lit(":.,-"))
+    stops = lambda t: F.lower(t).rlike("^(?:" + "|".join(ADDRESS_WORDS) + "|http)") | t.rlike(r"^\d+$") | t.contains("@")
+    df = df.withColumn("_words", w)
+
+    def parts(i: Column) -> Column:
+        head = F.filter(F.array(F.regexp_replace(F.get(F.col("_words"), i + 1), r"(?i)^to[:\s]*", "")), lambda t: t != "")
+        rest = F.filter(F.transform(F.slice("_words", i + 3, NAME_WINDOW), bare), lambda t: t != "")
+        end = F.coalesce(_first(F.filter(F.transform(rest, lambda t, j: F.when(stops(t), j)), lambda j: j.isNotNull())), F.size(rest))
+        return F.concat(head, F.slice(rest, 1, F.greatest(F.least(end, most - F.size(head)), F.lit(0))))
+
+    places = F.filter(F.transform("_words", lambda t, i: F.when(bare(F.lower(t)).isin(*TO_TRIGGERS) & F.lower(F.get(F.col("_words"), i + 1)).startswith("to"), i)), lambda i: i.isNotNull())
+    found = F.btrim(F.array_join(_first(F.filter(F.transform(places, parts), lambda p: F.size(p) > 0)), " "), F.lit(",:. "))
+    return df.withColumn("recipient_name", F.when(name == "", F.coalesce(found, F.lit(""))).otherwise(name)).drop("_words")
+
+
+def clean_fields(df: DataFrame, words: str = "words") -> DataFrame:
+    """df (six string fields and an array of words) with each field cleaned, then recipient and dates filled from the words."""
+    kinds = {"invoice_number": cleaning.invoice_number, "invoice_date": cleaning.date, "due_date": cleaning.date, "issuer_name": cleaning.name, "recipient_name": cleaning.name, "total_amount": cleaning.amount}
+    df = df.withColumns({f: clean(F.trim(F.coalesce(f, F.lit("")))) for f, clean in kinds.items()})
+    return arbitrate_dates(fallback_dates(fallback_recipient(df, words), words), words)

@@ -171,3 +171,30 @@ def f17_iou_next_word(spark, d):
     df = words(spark, d).withColumns({f"{c}2": F.lead(c).over(w) for c in names}).filter("left2 IS NOT NULL")
     a, b = [F.col(c) for c in names], [F.col(f"{c}2") for c in names]
     return df.select("doc_id", F.col("word_id").cast("long").alias("word_id"), F.round(N.iou(a, b), 9).alias("iou"), N.boxes_close(a, b).alias("close"))
+
+
+_FLAGS = {
+    "numeric": r"regexp_full_match(text, '[0-9]+')",
+    "alphabetic": r"regexp_full_match(text, '\p{L}+')",
+    "alphanumeric": r"regexp_full_match(text, '[\p{L}\p{N}]+')",
+    "uppercase": r"length(text) > 1 AND regexp_matches(text, '\p{Lu}') AND NOT regexp_matches(text, '[\p{Ll}\p{Lt}]')",
+    "punctuation_heavy": r"length(regexp_replace(text, '[\p{L}\p{N}]', '', 'g')) / length(text) >= 0.3",
+    "short": "length(text) <= 2",
+    "long": "length(text) >= 12",
+    "currency": r"regexp_full_match(text, '[$€£¥₹]?[0-9][0-9,.]*')",
+    "date_like": r"regexp_full_match(text, '[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}|[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}')",
+    "email_like": r"regexp_full_match(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')",
+    "url_like": r"regexp_matches(text, '(?i)^(https?://|www\.)')",
+    "phone_like": r"regexp_full_match(text, '\+?[0-9][0-9().-]{6,}[0-9]')",
+}
+_RATIOS, _COUNTS = list(_FLAGS)[:9], ["currency", "date_like", "email_like", "url_like", "phone_like"]
+
+
+@query(f"WITH {_RAW} SELECT doc_id, " + ", ".join([f"round(avg(({_FLAGS[k]})::INT), 6) AS {k}_token_ratio" for k in _RATIOS] + [f"count(*) FILTER ({_FLAGS[k]})::DOUBLE AS {k}_token_count" for k in _COUNTS]) + " FROM words GROUP BY doc_id")
+def l02_token_features(spark, d):
+    return _rounded(layout.token_features(words(spark, d)))
+
+
+@query("SELECT doc_id, image_width, image_height, round(image_width / image_height, 6) AS aspect_ratio, image_width * image_height AS area, CASE WHEN image_height >= image_width THEN 1.0::DOUBLE ELSE 0.0 END AS portrait_vs_landscape_flag FROM (SELECT doc_id, CAST(600 + doc_id % 900 AS DOUBLE) AS image_width, CAST(500 + n_chars % 1300 AS DOUBLE) AS image_height FROM documents)")
+def l06_image_features(spark, d):
+    return _rounded(layout.image_features(table(spark, d, "documents").select("doc_id", "n_chars"), 600 + F.col("doc_id") % 900, 500 + F.col("n_chars") % 1300).drop("n_chars"))

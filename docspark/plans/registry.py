@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docspark.plans import catalog, classify, clean, extract, ocr, select, text
+from docspark.plans import catalog, classify, clean, extract, ocr, rules, select, text
 
-MODULES = (text, ocr, classify, extract, clean, select, catalog)
+MODULES = (text, ocr, classify, extract, clean, rules, select, catalog)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -172,29 +172,10 @@ def f05_token_flags(spark, d):
 
 
 #: Fixed values, as Python's str methods have them: white space, and digits that are no decimals.
-_SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_DIGIT = r"\p{Nd}\x{B2}\x{B3}\x{B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}"
 
 
 @query()
 def f05_all_token_flags(spark, d):
     """The twelve flags over every word of every text, in any script. f05_token_flags counts words of ASCII signs only, as its SQL does; DuckDB has no classes that match these."""
-    w = F.regexp_replace("w", f"^[{_SPACE}]+|[{_SPACE}]+$", "")
-    n = F.length("c")
-    c = F.col("c")
-    flags = {
-        "numeric": c.rlike(f"^[{_DIGIT}]+$"),
-        "alpha": c.rlike(r"^\p{L}+$"),
-        "alnum": c.rlike(r"^[\p{L}\p{N}]+$"),
-        "upper": (n > 1) & c.rlike(r"\p{IsUppercase}") & ~c.rlike(r"[\p{IsLowercase}\p{Lt}]"),
-        "punct": F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}{_SPACE}]", "")) / n >= F.lit(0.3),
-        "short": n <= 2,
-        "long": n >= 12,
-        "currency": c.rlike(rf"^[$€£¥₹]?[{_SPACE}]*\p{{Nd}}[\p{{Nd}},.]*$"),
-        "date": c.rlike(rf"^(?:\p{{Nd}}{{1,2}}[\-/]\p{{Nd}}{{1,2}}[\-/]\p{{Nd}}{{2,4}}|\p{{Nd}}{{4}}[\-/]\p{{Nd}}{{1,2}}[\-/]\p{{Nd}}{{1,2}}|\p{{Nd}}{{1,2}}[{_SPACE}]+[A-Za-z]{{3,9}}[{_SPACE}]+\p{{Nd}}{{2,4}})$"),
-        "email": c.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"),
-        "url": c.rlike(r"(?iu)^(https?://|www\.)"),
-        "phone": c.rlike(rf"^\+?\p{{Nd}}[\p{{Nd}}{_SPACE}().-]{{6,}}\p{{Nd}}$"),
-    }
-    words = _docs(spark, d).select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("w")).select("doc_id", "w", w.alias("c"))
-    return words.groupBy("doc_id").agg(F.count("w").alias("n"), *[F.count_if((n > 0) & x).alias(f"n_{k}") for k, x in flags.items()])
+    words = _docs(spark, d).select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("w")).select("doc_id", "w", T.stripped(F.col("w")).alias("c"))
+    return words.groupBy("doc_id").agg(F.count("w").alias("n"), *[F.count_if(x).alias(f"n_{k}") for k, x in T.token_flags(F.col("c")).items()])
