@@ -67,3 +67,25 @@ def context(words: DataFrame, before: int, after: int, partition: str = "doc_id"
     """words with column context: the words from `before` places ahead up to `after` places on, joined by blanks."""
     w = W.partitionBy(partition).orderBy(order).rowsBetween(-before, after)
     return words.withColumn("context", F.array_join(F.collect_list("text").over(w), " "))
+
+
+def batch_status(metadata: DataFrame, words: DataFrame, processed: DataFrame, cache: DataFrame) -> DataFrame:
+    """A row for each document of metadata (doc_id, file_path or source_path, perhaps split and class_name): status, error, num_words, avg_conf, cache_hit. What is in cache (doc_id, num_words, avg_conf) is not counted again;
+    other documents are ok if processed (doc_id) has them, also without words, and failed with zeros otherwise: a failure is a row and stops nothing. Each of the tables but words has one row for a document."""
+    path = next((c for c in ("file_path", "source_path") if c in metadata.columns), None)
+    if "doc_id" not in metadata.columns or path is None:
+        raise ValueError("metadata must have doc_id, and file_path or source_path")
+    extra = [F.col(c) if c in metadata.columns else F.lit(None).cast("string").alias(c) for c in ("split", "class_name")]
+    base = metadata.select("doc_id", F.col(path).alias("file_path"), *extra)
+    hit = cache.select("doc_id", F.col("num_words").alias("_n"), F.col("avg_conf").alias("_c"), F.lit(True).alias("_hit"))
+    counted = words.join(cache, "doc_id", "left_anti").groupBy("doc_id").agg(F.count("*").alias("_words"), F.avg("conf").alias("_conf"))
+    df = base.join(hit, "doc_id", "left").join(processed.select("doc_id", F.lit(True).alias("_done")), "doc_id", "left").join(counted, "doc_id", "left")
+    ok, n, conf = F.col("_hit").isNotNull() | F.col("_done").isNotNull(), F.coalesce("_n", "_words", F.lit(0)), F.coalesce("_c", "_conf", F.lit(0.0))
+    return df.select(
+        *base.columns,
+        F.when(ok, "ok").otherwise("failed").alias("status"),
+        F.when(~ok, "no OCR output").alias("error"),
+        F.when(ok, n).otherwise(0).alias("num_words"),
+        F.when(ok, conf).otherwise(0.0).alias("avg_conf"),
+        F.col("_hit").isNotNull().alias("cache_hit"),
+    )

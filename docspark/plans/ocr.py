@@ -198,3 +198,16 @@ def l02_token_features(spark, d):
 @query("SELECT doc_id, image_width, image_height, round(image_width / image_height, 6) AS aspect_ratio, image_width * image_height AS area, CASE WHEN image_height >= image_width THEN 1.0::DOUBLE ELSE 0.0 END AS portrait_vs_landscape_flag FROM (SELECT doc_id, CAST(600 + doc_id % 900 AS DOUBLE) AS image_width, CAST(500 + n_chars % 1300 AS DOUBLE) AS image_height FROM documents)")
 def l06_image_features(spark, d):
     return _rounded(layout.image_features(table(spark, d, "documents").select("doc_id", "n_chars"), 600 + F.col("doc_id") % 900, 500 + F.col("n_chars") % 1300).drop("n_chars"))
+
+
+@query(f"""WITH {_RAW}, w AS (SELECT doc_id, count(*) AS n, avg(conf) AS c FROM words GROUP BY doc_id)
+SELECT d.doc_id, 'scan-' || d.doc_id AS file_path, CAST(NULL AS VARCHAR) AS split, d.source AS class_name, CASE WHEN d.doc_id % 5 = 0 OR d.doc_id % 7 <> 3 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN d.doc_id % 5 <> 0 AND d.doc_id % 7 = 3 THEN 'no OCR output' END AS error,
+ CASE WHEN d.doc_id % 5 = 0 THEN 11 WHEN d.doc_id % 7 = 3 THEN 0 ELSE coalesce(n, 0) END AS num_words, round(CASE WHEN d.doc_id % 5 = 0 THEN 90 WHEN d.doc_id % 7 = 3 THEN 0 ELSE coalesce(c, 0) END, 6) AS avg_conf, d.doc_id % 5 = 0 AS cache_hit FROM documents d LEFT JOIN w USING (doc_id)""")
+def x32_ocr_batch(spark, d):
+    """Every fifth document comes from the cache; of the others, those of one remainder of seven have no OCR output."""
+    docs = table(spark, d, "documents")
+    raw = raw_words(spark, d).filter("doc_id % 7 <> 3")
+    metadata = docs.select("doc_id", F.concat(F.lit("scan-"), "doc_id").alias("file_path"), F.col("source").alias("class_name"))
+    cache = docs.filter("doc_id % 5 = 0").select("doc_id", F.lit(11).cast("long").alias("num_words"), F.lit(90.0).alias("avg_conf"))
+    words = ocr.prepare_words(raw, F.lit(WIDTH), F.lit(HEIGHT))
+    return ocr.batch_status(metadata, words, docs.select("doc_id").filter("doc_id % 7 <> 3"), cache).withColumn("avg_conf", F.round("avg_conf", 6))

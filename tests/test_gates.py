@@ -84,3 +84,20 @@ def test_stacking_gives_an_unseen_label_probability_zero(spark):
     out = G.stacking_probabilities(df, model, known, ["p0"], ["budget", "form", "invoice"]).collect()
     assert known == ["form", "invoice"]
     assert all(r.stack[0] == 0 and abs(sum(r.stack) - 1) < 1e-9 and r.stack[1 + r.doc_id % 2] > 0.9 for r in out)
+
+
+def test_batch_status_rows(spark):
+    from docspark.operators.ocr import batch_status
+
+    words = spark.createDataFrame([(1, 80.0), (1, 60.0), (2, 10.0)], "doc_id long, conf double")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    cache = spark.createDataFrame([(2, 7, 50.0)], "doc_id long, num_words long, avg_conf double")
+    out = batch_status(ids(1, 2, 3, 4).withColumn("source_path", F.lit("p")), words, ids(1, 2, 3), cache)
+    assert {r.doc_id: (r.status, r.error, r.num_words, r.avg_conf, r.cache_hit) for r in out.collect()} == {
+        1: ("ok", None, 2, 70.0, False),
+        2: ("ok", None, 7, 50.0, True),
+        3: ("ok", None, 0, 0.0, False),
+        4: ("failed", "no OCR output", 0, 0.0, False),
+    }
+    with pytest.raises(ValueError):
+        batch_status(ids(1), words, ids(), cache)
