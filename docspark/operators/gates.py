@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -194,3 +194,11 @@ def ablation(variants: Mapping[str, DataFrame]) -> DataFrame:
     for df in named[1:]:
         every = every.unionByName(df)
     return metrics(every, by=("variant", "split"))
+
+
+def top_importances(spark: SparkSession, model: RandomForestClassificationModel, names: Sequence[str], n: int = 25) -> DataFrame:
+    """feature, importance of the model's n most important features, by name where equal. The model has one number a feature, so this is a short table."""
+    values = model.featureImportances.toArray().tolist()
+    if len(values) != len(names):
+        raise ValueError(f"{len(names)} names for {len(values)} features")
+    return spark.createDataFrame(list(zip(names, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,3 +178,12 @@ def m16_stacking(spark, d):
     model, known = G.fit_stacking(b.filter("doc_id % 2 = 0"), names)
     out = G.stacking_probabilities(b.filter("doc_id % 2 = 1"), model, known, names)
     return out.select("doc_id", "true_label", N.first_max(F.col("stack"), LABELS).alias("pred_label"), "stack")
+
+
+@query()
+def w09_top_importances(spark, d):
+    """Of a forest over the three branches' probabilities and an array of fifteen digits without meaning, fitted on all orders, the 25 most important features."""
+    digits = F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.pmod(F.xxhash64("doc_id", i), F.lit(10)).cast("double"))
+    x = branches(spark, d).select(array_to_vector(F.concat(G.stacked(["p0", "p1", "p2"]), digits)).alias("x"), G.index_of(F.col("true_label"), LABELS).cast("double").alias("y"))
+    model = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=20, maxDepth=6, seed=42).fit(x)
+    return G.top_importances(spark, model, [*[f"p{b}_{l}" for b in range(3) for l in LABELS], *[f"digit_{i}" for i in range(15)]])

@@ -101,3 +101,12 @@ def test_batch_status_rows(spark):
     }
     with pytest.raises(ValueError):
         batch_status(ids(1), words, ids(), cache)
+
+
+def test_importances_are_the_first_25_in_order(spark):
+    from docspark.plans.gates import QUERIES
+
+    rows = QUERIES["w09_top_importances"](spark, "/root/testdata/sf0.001").collect()
+    values = [r.importance for r in rows]
+    assert len(rows) == 25 and values == sorted(values, reverse=True) and 0 < sum(values) <= 1 + 1e-9
+    assert rows[0].feature.startswith("p")
