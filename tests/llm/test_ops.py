@@ -44,6 +44,7 @@ def ids(df, *columns):
 def write(df, path):
     df.write.parquet(f"{path}/documents.parquet")
     df.sparkSession.createDataFrame([(0, 1, 0), (9, 0, 1), (None, 1, None), (10, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    df.sparkSession.createDataFrame([(0, BASE), (1, None), (2, "two k1 K2 two")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path)
 
 
