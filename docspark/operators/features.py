@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
@@ -12,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.functions.text import normalized
+from docspark.sources.store import spread, stored
 
 
 def let(value: Column, body) -> Column:
@@ -49,16 +52,28 @@ def char_grams(text: Column, lo: int = 3, hi: int = 5) -> Column:
     return F.flatten(F.transform(words, of))
 
 
+def counted(grams: Column) -> Column:
+    """array<struct<term, tf>> of an array of terms: each with the number of its places, in the terms' order; the array is sorted and its runs are measured."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda a: F.transform(a, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(a, k + 1), n) - i).alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    return F.when(F.size(grams) > 0, let(F.sort_array(grams), runs)).otherwise(none)
+
+
 def tfidf(docs: DataFrame, grams: Column, min_df: int = 2, max_features: int | None = None) -> DataFrame:
-    """doc_id, term, weight: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), each document scaled to length 1. With max_features the most frequent terms (by occurrences, then by name) are kept. Terms are counted per document before they are shuffled."""
-    n = docs.agg(F.count("*")).scalar()
-    counts = docs.select("doc_id", F.explode(grams).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """doc_id, term, weight: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), each document scaled to length 1. With max_features the most frequent terms (by occurrences, then by name) are kept. A row is a document: its terms are counted in the row, the counts are stored once, and read for the terms' frequencies and for the weights, which are shuffled to their document once."""
+    counts = stored(spread(docs).select("doc_id", F.explode(counted(grams)).alias("t")).select("doc_id", "t.term", "t.tf"), "counts")
+    n = docs.count()
     df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     if max_features:
         df = df.orderBy(F.desc("total"), "term").limit(max_features)
-    raw = counts.join(df, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1))
-    norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    w = (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)
+    lists = counts.join(df, "term").groupBy("doc_id").agg(F.collect_list(F.struct("term", w.alias("w"))).alias("t"), F.sqrt(F.sum(w * w)).alias("norm"))
+    return lists.select("doc_id", "norm", F.explode("t").alias("x")).select("doc_id", "x.term", (F.col("x.w") / F.col("norm")).alias("weight"))
 
 
 def vocabulary(docs: DataFrame, tokens: Column, size: int = 30000) -> DataFrame:
@@ -93,12 +108,24 @@ def classify(model: PipelineModel, docs: DataFrame, text: str = "text") -> DataF
     return indexed.withColumn("pred_label", F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int"))).select(*docs.columns, "pred_label", "probabilities")
 
 
-def topics(docs: DataFrame, tokens: Column, k: int = 10, iterations: int = 20, seed: int = 7) -> DataFrame:
-    """doc_id and an array of k topic shares that sum to 1; a document without known terms has equal shares. Terms are words and pairs that occur in 3 documents or more and in 95 of 100 at most. Each iteration draws as many documents as there are, and replaces the topics as a batch does."""
-    rows = docs.select("doc_id", topic_terms(tokens).alias("_t"))
-    x = CountVectorizer(inputCol="_t", outputCol="features", minDF=3, maxDF=0.95, vocabSize=30000).fit(rows).transform(rows).select("doc_id", "features").persist()
-    model = LDA(k=k, maxIter=iterations, seed=seed, subsamplingRate=1.0, learningDecay=1e-9, learningOffset=1.0, optimizeDocConcentration=False).fit(x)
-    x.unpersist()
-    share = model.transform(x).select("doc_id", vector_to_array("topicDistribution").alias("topics"))
-    known = F.aggregate("topics", F.lit(0.0), lambda a, b: a + b) > 0
-    return share.withColumn("topics", F.when(known, F.col("topics")).otherwise(F.array_repeat(F.lit(1.0 / k), k)))
+def fit_topics(train: DataFrame, tokens: Column, k: int = 10, iterations: int = 20, seed: int = 7) -> Callable[[DataFrame], DataFrame]:
+    """Topics of the training rows (doc_id, and what tokens needs); the result gives doc_id and an array of k topic shares that sum to 1 for any rows. A document without known terms has equal shares. Terms are words and pairs that occur in 3 training documents or more and in 95 of 100 at most. Each iteration draws as many documents as there are, and replaces the topics as a batch does."""
+
+    def terms(df: DataFrame) -> DataFrame:
+        return spread(df).select("doc_id", topic_terms(tokens).alias("_t"))
+
+    rows = stored(terms(train), "topic-terms")
+    counts = CountVectorizer(inputCol="_t", outputCol="features", minDF=3, maxDF=0.95, vocabSize=30000).fit(rows)
+    model = LDA(k=k, maxIter=iterations, seed=seed, subsamplingRate=1.0, learningDecay=1e-9, learningOffset=1.0, optimizeDocConcentration=False).fit(counts.transform(rows))
+
+    def shares(df: DataFrame) -> DataFrame:
+        share = model.transform(counts.transform(terms(df))).select("doc_id", vector_to_array("topicDistribution").alias("topics"))
+        known = F.aggregate("topics", F.lit(0.0), lambda a, b: a + b) > 0
+        return share.withColumn("topics", F.when(known, F.col("topics")).otherwise(F.array_repeat(F.lit(1.0 / k), k)))
+
+    return shares
+
+
+def topics(docs: DataFrame, tokens: Column, k: int = 10, iterations: int = 20, seed: int = 7, train: DataFrame | None = None) -> DataFrame:
+    """doc_id and topic shares of docs, by topics of the training rows, or of docs themselves."""
+    return fit_topics(docs if train is None else train, tokens, k, iterations, seed)(docs)

@@ -201,7 +201,10 @@ def m01_word_tfidf(spark, d):
     return _profile(X.tfidf(docs, X.word_grams(normalized(F.col("text")))))
 
 
-@query()
+_CHARS = "flatten(list_transform(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: flatten(list_transform([3, 4, 5], lambda k: list_transform(range(1, length(w) + 4 - k), lambda i: substr(' ' || w || ' ', i, k))))))"
+
+
+@query("WITH " + _tfidf_sql(_CHARS))
 def m02_char_tfidf(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return _profile(X.tfidf(docs, X.char_grams(normalized(F.col("text")))))
@@ -244,7 +247,10 @@ def m17_language_probabilities(spark, d):
 
 @query()
 def m10_topics(spark, d):
-    return X.topics(table(spark, d, "documents"), tokens(F.col("text")), k=5, iterations=20)
+    """Topic shares of all documents, by topics of the training split."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    train = C.stratified_split(docs, "lang", "doc_id", {"train": 0.7, "val": 0.15, "test": 0.15}).filter("split = 'train'")
+    return X.topics(docs, tokens(F.col("text")), k=5, iterations=20, train=train)
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
