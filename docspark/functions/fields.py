@@ -65,9 +65,26 @@ def is_phone(raw: Column) -> Column:
     return (n >= 7) & x.rlike(r"^[+(]?[\d\s\-.()]{7,}\d$") | n.isin(10, 11)
 
 
-def invoice_number(raw: Column) -> Column:
+def is_date_like(raw: Column) -> Column:
+    """Whether a lenient reader of dates takes the string for one, whole or in part: what `date` reads; a number of up to four digits but 0, as a day or a year; six digits as day, month and year in the order that their sizes allow; two numbers joined by - or / as month and day, or with a year; a month's name, alone or with a number."""
     x = without_ocr_marks(raw)
-    return F.when(F.length(x).between(2, 40) & x.rlike("[A-Za-z0-9]") & ~is_phone(x) & date(x).isNull(), x)
+    two, six, named = r"^(\d{1,4})[/\-](\d{1,4})$", r"^(\d{2})(\d{2})(\d{2})$", rf"(?i)^(?:{MONTH}[\s.,\-/]{{0,2}}\d{{0,4}}|\d{{1,4}}[\s.,\-/]{{0,2}}{MONTH})$"
+    part = lambda p, i: F.regexp_extract(x, p, i).try_cast("int")
+    year = lambda y: F.when(y < 70, 2000 + y).when(y < 100, 1900 + y).otherwise(y)
+    real = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", year(y), m, d), "yyyy-MM-dd").isNotNull()
+    a, b, c = (part(six, i) for i in (1, 2, 3))
+    as_six = F.when(a > 31, real(a, b, c)).when(a > 12, real(c, b, a)).otherwise(real(c, a, b))
+    p, q = part(two, 1), part(two, 2)
+    as_two = F.when(p > 31, q.between(1, 12)).when(q > 31, p.between(1, 12)).otherwise(real(F.lit(2000), p, q))
+    partial = F.when(x.rlike(r"^\d{1,4}$"), x.try_cast("int") > 0).when(x.rlike(six), as_six).when(x.rlike(two), as_two).otherwise(x.rlike(named))
+    return F.coalesce(date(raw).isNotNull() | partial, F.lit(False))
+
+
+def invoice_number(raw: Column, strict_compat: bool = False) -> Column:
+    """The string without OCR marks if it has 2 to 40 signs, a letter or digit among them, and is neither a phone number nor a date; with strict_compat, nor date-like, so that short numbers are rejected."""
+    x = without_ocr_marks(raw)
+    other = ~is_date_like(raw) if strict_compat else date(x).isNull()
+    return F.when(F.length(x).between(2, 40) & x.rlike("[A-Za-z0-9]") & ~is_phone(x) & other, x)
 
 
 def name(raw: Column) -> Column:
@@ -220,7 +237,3 @@ def keep_symbol(merged: Column, two: Column, one: Column) -> Column:
 def decimal_point(x: Column) -> Column:
     """A currency sign, digits, a comma and two digits: the comma is a decimal point."""
     return F.when(x.rlike(r"^[£$€]\d+,\d{2}$"), F.replace(x, F.lit(","), F.lit("."))).otherwise(x)
-
-
-def pick(*xs: Column) -> Column:
-    return F.coalesce(first_value(*xs), F.lit(""))

@@ -35,6 +35,27 @@ def fields(spans_: DataFrame) -> DataFrame:
     return spans_.groupBy("doc_id", "field").agg(F.max_by("text", "start").alias("text"))
 
 
+def decoded_fields(tokens: DataFrame) -> DataFrame:
+    """doc_id, field, text, conf of tags (doc_id, pos, word, tag, conf), read leniently. B starts a span; I goes on with the span of its field, or starts one if another field's is open. With no span open, an I is appended to what its field has from earlier spans, and starts a span if it has nothing. Of several spans of a field the last stands, with what was appended to it; conf is the mean over all words of the field, those of earlier spans too. Spans of blank words only count for nothing."""
+    doc, field = W.partitionBy("doc_id").orderBy("pos"), F.when(F.col("tag") != "O", F.substring("tag", 3, 1 << 20))
+    full = F.trim(F.coalesce("word", F.lit(""))) != ""
+    df = tokens.withColumn("_f", field).withColumn("_o", F.sum((F.col("tag") == "O").cast("int")).over(doc))
+    segment = W.partitionBy("doc_id", "_o").orderBy("pos")
+    df = df.withColumn("_first", F.min(F.when(full, F.col("pos"))).over(W.partitionBy("doc_id", "_f"))).withColumn("_start", F.min("pos").over(W.partitionBy("doc_id", "_o")))
+    loose = F.col("tag").startswith("I-") & F.coalesce(F.col("_first") < F.col("_start"), F.lit(False))
+    # a segment starts with its O, which is no word of it: what is loose from its first word on is appended
+    df = df.withColumn("_loose", F.sum(F.when(loose | (F.col("tag") == "O"), 0).otherwise(1)).over(segment) == 0).filter("_f IS NOT NULL")
+    rest = W.partitionBy("doc_id", "_o", "_loose").orderBy("pos")
+    new = F.col("tag").startswith("B-") | ~F.col("_f").eqNullSafe(F.lag("_f").over(rest))
+    df = df.withColumn("_n", F.when(F.col("_loose"), F.col("pos")).otherwise(F.sum(new.cast("int")).over(rest)))
+    words = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("word", F.lit("")).alias("word"))))
+    parts = df.groupBy("doc_id", F.col("_f").alias("field"), "_o", "_loose", "_n").agg(F.min("pos").alias("pos"), F.trim(F.array_join(F.transform(words, lambda x: x["word"]), " ")).alias("text"), F.sum("conf").alias("total"), F.count("conf").alias("n"))
+    parts = parts.filter(F.col("_loose") | (F.col("text") != ""))
+    steps = F.array_sort(F.collect_list(F.struct("pos", "_loose", "text")))
+    text = F.aggregate(steps, F.lit(""), lambda t, x: F.when(x["_loose"], F.concat(t, F.lit(" "), x["text"])).otherwise(x["text"]))
+    return parts.groupBy("doc_id", "field").agg(text.alias("text"), (F.sum("total") / F.sum("n")).alias("conf"))
+
+
 def first_subtoken(subtokens: DataFrame) -> DataFrame:
     """Of the sub-tokens (doc_id, word_id, pos) of a word the first."""
     return subtokens.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "word_id").orderBy("pos"))).filter("_n = 1").drop("_n")

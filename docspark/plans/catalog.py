@@ -151,7 +151,15 @@ def x02_x03_bio_spans(spark, d):
 
 @query(f"WITH {_TAGS} SELECT doc_id, field, arg_max(text, start) AS text FROM spans GROUP BY doc_id, field")
 def x36_decoded_fields(spark, d):
-    return S.fields(S.spans(tagged(spark, d)))
+    return S.decoded_fields(tagged(spark, d)).select("doc_id", "field", "text")
+
+
+@query()
+def x02_x36_lenient_fields(spark, d):
+    """Fields of all words, whose tags a hash of word and place gives: runs that break off, orphans and switches."""
+    h = F.pmod(F.xxhash64("word", "pos"), F.lit(11)).cast("int")
+    tag = F.element_at(F.array(*map(F.lit, ["O", "O", "O", "O", "B-ALPHA", "I-ALPHA", "I-ALPHA", "I-BETA", "B-BETA", "I-GAMMA", "O"])), h + 1)
+    return S.decoded_fields(tagged(spark, d).withColumn("tag", tag)).withColumn("conf", F.round("conf", 9))
 
 
 @query(f"WITH {_TAGS}, l AS (SELECT unnest(['O', 'B-ALPHA', 'I-ALPHA', 'B-BETA', 'I-BETA', 'B-DELTA']) AS tag), c AS (SELECT l.tag, count(t.tag) AS n FROM l LEFT JOIN tags t ON l.tag = t.tag GROUP BY l.tag) SELECT tag, n, round(100 * n / sum(n) OVER (), 2) AS percent FROM c")

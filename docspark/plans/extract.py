@@ -76,6 +76,25 @@ def v05_v06_numbers_and_names(spark, d):
     return rendered(spark, d).select("k", V.invoice_number(F.col("c")).alias("number"), V.name(F.col("n")).alias("name"))
 
 
+_CANDIDATE = """s AS (SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN o_orderkey::VARCHAR WHEN 1 THEN o_orderkey % 40 || '-' || o_orderkey % 35 WHEN 2 THEN right('000000' || o_orderkey * 7919 % 1000000, 6)
+ WHEN 3 THEN 'INV-' || o_orderkey WHEN 4 THEN (o_orderkey % 120)::VARCHAR WHEN 5 THEN o_orderkey % 12 + 1 || '/' || 1990 + o_orderkey % 50 ELSE (o_orderkey * 104729 % 100000000)::VARCHAR END AS c FROM orders),
+n AS (SELECT *, split_part(replace(c, '/', '-'), '-', 1) AS p, split_part(replace(c, '/', '-'), '-', 2) AS q, substr(c, 1, 2) AS a, substr(c, 3, 2) AS b, substr(c, 5, 2) AS e FROM s),
+y AS (SELECT k, c, CASE WHEN regexp_matches(c, '^[0-9]{1,4}$') THEN c::INT > 0
+ WHEN regexp_matches(c, '^[0-9]{6}$') THEN CASE WHEN a > '31' THEN try_cast('20' || a || '-' || b || '-' || e AS DATE) WHEN a > '12' THEN try_cast('20' || e || '-' || b || '-' || a AS DATE) ELSE try_cast('20' || e || '-' || a || '-' || b AS DATE) END IS NOT NULL
+ WHEN regexp_matches(c, '^[0-9]+[/-][0-9]+$') THEN CASE WHEN p::INT > 31 THEN q::INT BETWEEN 1 AND 12 WHEN q::INT > 31 THEN p::INT BETWEEN 1 AND 12 ELSE try_cast('2000-' || p || '-' || q AS DATE) IS NOT NULL END
+ ELSE false END AS date_like FROM n)"""
+
+
+@query(f"WITH {_CANDIDATE} SELECT k, date_like, CASE WHEN length(c) >= 2 AND NOT date_like AND NOT {_PHONE('c')} THEN c END AS number FROM y")
+def v04_v05_strict(spark, d):
+    """Numbers of orders as keys, pairs, six digits, years and long numbers: which are dates in part, and which are left as invoice numbers."""
+    k = F.col("o_orderkey")
+    t = lambda x: x.cast("string")
+    shapes = [t(k), F.concat(t(k % 40), F.lit("-"), t(k % 35)), F.lpad(t(k * 7919 % 1_000_000), 6, "0"), F.concat(F.lit("INV-"), t(k)), t(k % 120), F.concat(t(k % 12 + 1), F.lit("/"), t(1990 + k % 50)), t(k * 104729 % 100_000_000)]
+    c = F.element_at(F.array(*shapes), (k % 7 + 1).cast("int"))
+    return table(spark, d, "orders").select(k.alias("k"), V.is_date_like(c).alias("date_like"), V.invoice_number(c, strict_compat=True).alias("number"))
+
+
 @query("SELECT c_custkey, c_nationkey % 2 = 1 AS differ FROM customer")
 def v07_differ(spark, d):
     c = table(spark, d, "customer")
