@@ -10,6 +10,8 @@ from docspark.functions.text import DASH
 from docspark.operators import evaluation as E
 from docspark.operators import layout as L
 from docspark.operators import merging as M
+from docspark.operators.envelope import answers
+from docspark.operators.native import native_fields
 from docspark.session import table
 
 QUERIES: dict = {}
@@ -222,3 +224,53 @@ SELECT field, round_even(100 * avg((p = t)::INT), 1) AS exact, round_even(100 *
 def a21_match_rates(spark, d):
     s = M.side_by_side(extractions(spark, d), ["improved", "two_stage"])
     return E.match_rates(s.select("doc_id", *[F.col("improved")[f].alias(f"predicted_{f}") for f in E.FIELDS], *[F.col("two_stage")[f].alias(f"true_{f}") for f in E.FIELDS]))
+
+
+@query()
+def x18_native_fields(spark, d):
+    """Fields of native pages over all orders: lines of number, dates, recipient and total in eight layouts, with names of customers and suppliers."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    iso, dotted, words = F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "dd.MM.yyyy"), F.date_format(day, "MMMM d, yyyy")
+    due, total = F.date_format(F.date_add(day, 30), "yyyy-MM-dd"), F.format_number("o_totalprice", 2)
+    lines = lambda *xs: F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in xs])
+    shop = F.concat(F.lit("Shop "), k % 97)
+    pages = [
+        lines(shop, F.concat(F.lit("Invoice No: INV-"), k), F.concat(F.lit("Date: "), iso), "Bill To:", F.col("c_name"), F.concat(F.lit("Grand Total: $"), total)),
+        lines(F.concat(F.lit("INVOICE # A-"), k), F.concat(F.lit("issued "), words), F.concat(F.lit("Payment due: "), due), "billed to", F.col("c_name"), F.concat(F.lit("Total ** "), total, F.lit(" EUR"))),
+        lines("Date", "To", "Ship To", iso, F.col("c_name"), F.concat(F.lit("Amount due: "), total, F.lit(" £"))),
+        lines("Order Date", "Order Number", "Due Date", iso, F.concat(F.lit("N"), k), due, F.concat(F.lit("Balance due "), total)),
+        lines(shop, F.concat(F.lit("INVOICE "), 10000 + k), dotted, "invoice", F.concat(F.lit("Total due: "), k % 60, F.lit(".09"))),
+        lines(F.concat(F.lit("+49 30 "), 1000000 + k), shop, "Ship to", F.col("c_name"), F.concat(F.lit("Total due by "), due), total),
+        lines(F.concat(k, F.lit(" Main Street")), "Invoice number: none", F.concat(F.lit("payable by "), due), F.concat(F.lit("Total due 0."), k % 10)),
+        lines(shop, F.concat(F.lit("Due date: "), iso), F.concat(F.lit("Date "), iso), "To", F.col("c_name")),
+    ]
+    page = F.element_at(F.array(*pages), (k % 8 + 1).cast("int"))
+    return native_fields(o.join(c, "o_custkey", "left").select(k.alias("k"), page.alias("text"))).drop("text")
+
+
+_ENDING = "['.pdf', '.png', '.PDF', '.txt', '.jpg', '.webp'][doc_id % 6 + 1]"
+_UPLOADS = f"""u AS (SELECT 'd' || doc_id || {_ENDING} AS filename, lower({_ENDING}) AS ending, strlen(text) AS size, lang IS NOT NULL AS ready, length(text) >= 100 AS long, doc_id % 7 <> 3 AS readable, doc_id % 11 <> 5 AS told, doc_id % 3 = 0 AS invoice, doc_id % 5 <> 2 AS hybrid, doc_id % 4 <> 1 AS fallback FROM documents
+ UNION ALL SELECT 'c' || conv_id || '-' || turn || '.png', '.png', strlen(text), true, false, conv_id % 7 <> 3, conv_id % 11 <> 5, role = 'user', turn % 2 = 0, turn % 3 <> 1 FROM conversations),
+s AS (SELECT *, CASE WHEN ending = '.txt' THEN 400 WHEN NOT ready THEN 503 WHEN coalesce(size, 0) = 0 THEN 400 WHEN ending = '.pdf' AND long THEN 200 WHEN NOT readable THEN 422 WHEN NOT told OR invoice AND NOT hybrid AND NOT fallback THEN 500 ELSE 200 END AS status FROM u)"""
+
+
+@query(f"""WITH {_UPLOADS} SELECT filename, status, CASE WHEN status = 200 THEN CASE WHEN ending = '.pdf' AND long THEN 'native_pdf_text' WHEN NOT invoice THEN 'classified' WHEN hybrid THEN 'hybrid' ELSE 'one_stage_fallback' END END AS mode,
+ status = 200 AND (ending = '.pdf' AND long OR invoice) AS is_invoice, status <> 200 OR NOT (ending = '.pdf' AND long) AND invoice AND NOT hybrid AS has_error,
+ status = 200 AND NOT (ending = '.pdf' AND long) AND invoice AS has_model_fields FROM s""")
+def s13_x28_x30_answers(spark, d):
+    """Answers to uploads: all documents, with endings, missing models and failures by their ids, and all turns of conversations as images."""
+    m = F.create_map(F.lit("total_amount"), F.lit("1"))
+    kind = "struct<filename:string,size:long,readable:boolean,pages:array<string>,models_ready:boolean,pred_label:string,confidence:double,hybrid:map<string,string>,one_stage:map<string,string>>"
+
+    def uploads(df: DataFrame, name, pages, ready, key, invoice, hybrid, fallback) -> DataFrame:
+        label = F.when(key % 11 != 5, F.when(invoice, "invoice").otherwise("form"))
+        row = F.struct(name, F.octet_length("text"), key % 7 != 3, pages, ready, label, F.lit(0.5), F.when(hybrid, m), F.when(fallback, m))
+        return df.select(row.cast(kind).alias("u")).select("u.*")
+
+    i, c, t = F.col("doc_id"), F.col("conv_id"), F.col("turn")
+    ends = F.element_at(F.array(*map(F.lit, [".pdf", ".png", ".PDF", ".txt", ".jpg", ".webp"])), (i % 6 + 1).cast("int"))
+    first = uploads(table(spark, d, "documents"), F.concat(F.lit("d"), i, ends), F.array("text"), F.col("lang").isNotNull(), i, i % 3 == 0, i % 5 != 2, i % 4 != 1)
+    second = uploads(table(spark, d, "conversations"), F.concat(F.lit("c"), c, F.lit("-"), t, F.lit(".png")), F.lit(None), F.lit(True), c, F.col("role") == "user", t % 2 == 0, t % 3 != 1)
+    out = answers(first.unionByName(second))
+    return out.select("filename", F.col("status").cast("int").alias("status"), "mode", "is_invoice", F.col("error").isNotNull().alias("has_error"), F.coalesce(F.col("mode").isin("hybrid", "one_stage_fallback") & F.col("fields").isNotNull(), F.lit(False)).alias("has_model_fields"))
