@@ -229,7 +229,7 @@ def _read(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFram
                     [part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "fp", "prefix", "bits", "wide"]
                 )
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    rows = docs.select("doc_id", key_of("text").alias("key"), "text")
     return rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("key long, n long, fp binary, prefix array<long>, bits array<long>, wide array<long>").fields]))
 
 
@@ -238,6 +238,11 @@ def wide_longs(n: int) -> int:
     return 1 << (2 * ((n // 64).bit_length() // 2) + 1)
 
 
+def key_of(text: str) -> Column:
+    """64 bits that name a text; where two texts share them, the class's own text is told by the fingerprint of its set."""
+    return F.xxhash64(text)
+
+
 def _possible(percent: int) -> Column:
     """Whether bitmaps xa and xb (of one width) of sets of na and nb shingles allow the overlap that they need."""
     differ = F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
@@ -256,8 +261,8 @@ def _search(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     # the text of each class that is left, once for every query that asks for it
     asked = left.unionByName(left.select("a", F.col("a").alias("b")).distinct())
     names = stored(asked.select(F.col("b").alias("sid")).distinct().join(classes.select("sid", "key", "fp"), "sid"), "asked")
-    held = docs.select("text").withColumn("key", F.xxhash64("text")).filter(let_through(bit_filter(names.select("key")), F.col("key")))
-    texts = stored(held.join(names, "key").select(F.col("sid").alias("b"), "fp", "text").groupBy("b", "fp").agg(F.min("text").alias("text")), "texts")
+    held = docs.select("text").withColumn("key", key_of("text")).filter(let_through(bit_filter(names.select("key")), F.col("key")))
+    texts = stored(held.join(names, "key").select(F.col("sid").alias("b"), "fp", "text").groupBy("b", "fp", F.xxhash64(F.lit(1), "text").alias("other_key")).agg(F.min("text").alias("text")).drop("other_key"), "texts")
     rows = asked.join(texts, "b").select("a", (F.col("a") != F.col("b")).alias("other"), "b", "fp", "text")
     rows = rows.repartition("a").sortWithinPartitions("a", "other", "b")
 
@@ -278,8 +283,8 @@ def _search(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
                 hashes, begin = made.shingles(part.column("text"))
                 for i, (a, other, b, fp) in enumerate(zip(*[part.column(c).to_pylist() for c in ("a", "other", "b", "fp")], strict=True)):
                     s = np.unique(hashes[begin[i] : begin[i + 1]])
-                    if _name(s) != fp:
-                        raise ValueError("two texts with one 64-bit hash")
+                    if _name(s) != fp:  # another text that shares the class's hash
+                        continue
                     if not other:
                         if names:
                             yield flush()

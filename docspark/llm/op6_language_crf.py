@@ -5,8 +5,9 @@ have a weight of their own), plus learned transitions between the languages of n
 the probability of each language at each word. So code-switched texts get word labels (`label_words`), and a text gets the
 language with the most probability over its words, that mean being the score (`identify`).
 
-Training: at most PER_LANGUAGE texts of each of at most MAX_LANGUAGES languages, taken by a hash of the id from rows that are
-not held out; the texts are whole. They are cut into segments, and segments of different languages are chained, so that transitions are learned;
+Training: at most PER_LANGUAGE texts with CHARACTERS characters of each of the MAX_LANGUAGES languages with most rows, taken by a
+hash of the id from rows that are not held out; the texts are whole, very long ones are not in the sample. A language beyond
+that number is not learned, and never predicted. They are cut into segments, and segments of different languages are chained, so that transitions are learned;
 AdaGrad on the driver, on the exact gradient from forward-backward. The model has a fixed size and is broadcast.
 
 Prediction: one pass, no shuffle. Scores of words are kept in a cache of bounded size. Chains are cut into blocks of BLOCK
@@ -37,6 +38,8 @@ HASHED, LEXICON = 1 << 15, 2000
 PER_LANGUAGE, BLOCK, CHAIN = 300, 64, 48
 #: At most this many languages can be learned.
 MAX_LANGUAGES = 200
+#: Characters of a language's sample.
+CHARACTERS = 2_000_000
 CACHE = 300_000
 WORDS_AT_ONCE = 400_000
 UND = "und"
@@ -198,16 +201,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageCRF:
-    """docs: doc_id, text, lang. Ids of the sample are chosen first (at most per_language of each), then their texts fetched."""
-    usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, characters: int = CHARACTERS) -> LanguageCRF:
+    """docs: doc_id, text, lang. Ids of the sample are chosen first, then their texts fetched: of each of the MAX_LANGUAGES languages with most rows (by name where equal) the first rows by a hash of the id, at most per_language, as long as they have no more than `characters` together. A text of more than a twentieth of that is not in the sample."""
+    usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.length("text") <= characters // 20))
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
     first = W.partitionBy("lang").orderBy(*order)
+    languages = [r.lang for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
     # short rows choose: a row is named by id, language and text; repeated ones are taken once
-    chosen = usable.select("doc_id", "lang", F.xxhash64("text").alias("h")).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))).filter(F.col("r") <= per_language)
-    languages = [r.lang for r in chosen.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    short = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    chosen = usable.filter(F.col("lang").isin(languages)).select("doc_id", "lang", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    chosen = chosen.withColumn("r", F.row_number().over(short)).filter(F.col("r") <= per_language)
+    chosen = chosen.withColumn("n", F.sum("n").over(short.rowsBetween(W.unboundedPreceding, 0))).filter(F.col("n") <= characters)
     rows = usable.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen.select("doc_id", "lang", "h").distinct()), ["doc_id", "lang", "h"])
     rows = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).select("doc_id", "lang", "text").collect()
     return fit([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))])

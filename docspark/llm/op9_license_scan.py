@@ -2,9 +2,10 @@ r"""License scans by diagonal voting.
 
 All rolling k-grams of a document's words are joined, as hashes, with the positions of the same k-grams in license
 templates; the words of a hit are compared as well. A hit at document word p and template word t votes for the diagonal
-p - t: an untouched copy puts all its votes on one diagonal, inserted or lost words move the rest to others near by. Each hit
-opens a span of STRETCH times the template, in which hits count whose diagonal is no farther away than the span is longer than
-the template: so many words may have been inserted or lost. A span is verified if it holds at least COVER of the template's
+p - t: an untouched copy puts all its votes on one diagonal, inserted or lost words move the rest to others near by. Votes are
+aggregated by document, template and diagonal; neighbouring diagonals, no farther apart than a span may be longer than the
+template, are merged, and bundles with fewer votes than a span needs go. In the rest spans are verified: each hit opens one of
+STRETCH times the template, in which hits of near diagonals count, and it has to hold at least COVER of the template's
 k-grams, and the last one of a notice with a slash in its name, since versions stand there. Of overlapping spans of one template, or of templates that differ in a version or a clause, those with most votes stay, and of these
 the fullest.
 
@@ -122,8 +123,16 @@ def spans(read: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K, co
     each = read.select("doc_id", "th", "w", F.posexplode(_grams(F.col("w"), k)).alias("p", "h"))
     hits = each.join(F.broadcast(known), "h").filter(F.array_join(F.slice("w", F.col("p") + 1, k), " ") == F.col("gram"))
     votes = hits.select("doc_id", "th", "name", "label", "family", "p", "t", "n_grams", "length").distinct()
+    # votes by diagonal, then neighbouring diagonals of a template as one: all hits of a verified span are among them
+    template = ["doc_id", "th", "name", "label", "family", "n_grams", "length"]
+    lines = votes.groupBy(*template, (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_list(F.struct("p", "t")).alias("hits"))
+    along = W.partitionBy("doc_id", "th", "name").orderBy("diagonal")
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > (stretch - 1) * F.col("length"), F.lit(True))
+    merged = lines.withColumn("bundle", F.sum(far.cast("int")).over(along))
+    merged = merged.withColumn("total", F.sum(F.size("hits")).over(W.partitionBy("doc_id", "th", "name", "bundle"))).filter(F.col("total") >= cover * F.col("n_grams"))
+    votes = merged.select(*template, "bundle", F.explode("hits").alias("hit")).select(*template, "bundle", "hit.p", "hit.t")
     # the window's bound is loose, the words are counted below
-    ahead = W.partitionBy("doc_id", "th", "name").orderBy(F.col("p") / (stretch * F.col("length"))).rangeBetween(0, 1)
+    ahead = W.partitionBy("doc_id", "th", "name", "bundle").orderBy(F.col("p") / (stretch * F.col("length"))).rangeBetween(0, 1)
     opened = votes.withColumn("near", F.collect_list(F.struct("p", "t")).over(ahead)).filter(F.size("near") >= cover * F.col("n_grams"))
     p, d, length = F.col("p"), F.col("p") - F.col("t"), F.col("length")
     inside = F.filter("near", lambda x: (x["p"] + k - p <= stretch * length) & (F.abs(x["p"] - x["t"] - d) <= (stretch - 1) * length))
