@@ -211,3 +211,37 @@ def x32_ocr_batch(spark, d):
     cache = docs.filter("doc_id % 5 = 0").select("doc_id", F.lit(11).cast("long").alias("num_words"), F.lit(90.0).alias("avg_conf"))
     words = ocr.prepare_words(raw, F.lit(WIDTH), F.lit(HEIGHT))
     return ocr.batch_status(metadata, words, docs.select("doc_id").filter("doc_id % 7 <> 3"), cache).withColumn("avg_conf", F.round("avg_conf", 6))
+
+
+def _parts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All documents, and the words, lines and blocks of those that OCR could read."""
+    l = lines(spark, d)  # noqa: E741
+    return table(spark, d, "documents"), words(spark, d), l, ocr.blocks(l)
+
+
+_L01_L05 = f"""WITH {_RAW}{_LINES}{_BLOCKS},
+w AS (SELECT doc_id, count(*) AS num_words, count(*) FILTER (trim(text) <> '') AS num_nonempty_words, avg(conf) AS avg_word_confidence, quantile_cont(conf, 0.5) AS median_word_confidence, avg((conf < 50)::INT) AS low_confidence_word_ratio, avg(length(text)) AS avg_chars_per_word,
+ least(1, greatest(0, 1 - sum(norm_width * norm_height))) AS blank, count(*) FILTER (length(text) <= 15 AND regexp_matches(text, '^[A-Za-z][A-Za-z\\s]*:?$') AND norm_left < 0.35) AS isolated, avg((norm_top < 0.33)::INT) AS header, avg((norm_top > 0.66)::INT) AS footer FROM words GROUP BY doc_id),
+b AS (SELECT doc_id, round_even(norm_left * 20, 0) AS bin, count(*) AS n, count(*) FILTER (regexp_matches(text, '[0-9]')) AS digits FROM words GROUP BY ALL),
+c AS (SELECT doc_id, count(*) FILTER (digits >= 3) AS aligned, count(*) FILTER (n >= 5) AS repeated FROM b GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS num_lines, avg(length(text)) AS chars, avg((length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1) > 0.25 OR regexp_matches(text, '\\s{{2,}}'))::INT) AS table_like, avg((contains(text, ':'))::INT) AS colons,
+ count(*) FILTER (regexp_matches(text, '^[A-Za-z][A-Za-z\\s]{{0,25}}:$')) AS labels, avg(n_words) / (avg(n_words) + stddev_pop(n_words) + 1e-6) AS consistency FROM lines GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS num_blocks FROM blocks GROUP BY doc_id),
+f AS (SELECT doc_id, coalesce(num_words, 0) AS num_words, coalesce(num_nonempty_words, 0) AS num_nonempty_words, coalesce(num_lines, 0) AS num_lines, coalesce(num_blocks, 0) AS num_blocks, coalesce(avg_word_confidence, 0) AS avg_word_confidence,
+ coalesce(median_word_confidence, 0) AS median_word_confidence, coalesce(low_confidence_word_ratio, 0) AS low_confidence_word_ratio, coalesce(num_words, 0) / greatest(coalesce(num_lines, 0), 1) AS avg_words_per_line, coalesce(avg_chars_per_word, 0) AS avg_chars_per_word, coalesce(chars, 0) AS avg_chars_per_line,
+ coalesce(aligned, 0) AS aligned_numeric_column_count_estimate, coalesce(table_like, 0) AS table_like_line_ratio, coalesce(repeated, 0) AS repeated_x_alignment_count, coalesce(colons, 0) AS repeated_colon_label_ratio, coalesce(blank, 1) AS blank_space_ratio_approx, coalesce(labels, 0) AS short_label_count,
+ coalesce(isolated, 0) AS isolated_field_like_count, coalesce(consistency, 0) AS row_consistency_score, coalesce(header, 0) AS header_block_prominence, coalesce(footer, 0) AS footer_block_prominence
+ FROM (SELECT doc_id FROM documents) LEFT JOIN w USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id))
+SELECT doc_id, {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in (*layout.BASIC, *layout.FORM))} FROM f"""
+
+
+@query(_L01_L05)
+def l01_l05_basic_and_form(spark, d):
+    return _rounded(layout.basic_and_form_features(*_parts(spark, d)))
+
+
+@query()
+def l07_feature_table(spark, d):
+    """All features of all documents; one remainder of nine could not be read."""
+    docs, w, l, b = _parts(spark, d)  # noqa: E741
+    return layout.feature_table(docs, w, l, b, docs.filter("doc_id % 9 <> 4"))
