@@ -40,6 +40,16 @@ def boxes_close(a: list[Column], b: list[Column], limit: int = 50) -> Column:
     return near(0) & near(1)
 
 
+def box(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column, cut: bool = False) -> Column:
+    """array<int> x0, y0, x1, y1 on the 0..1000 grid. Rounded, a box without width or height gets one unit, but for the grid's end; cut off, ends in the wrong order change places."""
+    grid = box_floor if cut else box_round
+    x0, y0, x1, y1 = grid(left, width), grid(top, height), grid(right, width), grid(bottom, height)
+    if cut:
+        return F.array(F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1))
+    grown = lambda a, b: F.when(b <= a, F.least(F.lit(1000), a + 1)).otherwise(b)
+    return F.array(x0, y0, grown(x0, x1), grown(y0, y1))
+
+
 def softmax(x: Column) -> Column:
     """Of an array<double>, shifted by its largest entry."""
     e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))

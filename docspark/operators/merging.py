@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions import fields as V
 from docspark.functions.text import DASH
 from docspark.operators.evaluation import FIELDS
+from docspark.operators.selection import invoice_number
 
 #: Which source goes first, by field, in the merge of three.
 PRIORITY = {f: ("two_stage", "improved", "baseline") for f in FIELDS} | {"issuer_name": ("baseline", "improved", "two_stage"), "recipient_name": ("improved", "two_stage", "baseline")}
@@ -66,6 +67,38 @@ def merge_two(df: DataFrame, candidates: Column | None = None) -> DataFrame:
     return df.withColumn("swap_suspected", F.coalesce(swap, F.lit(False))).withColumn("issuer_name", F.when(F.col("swap_suspected"), DASH).otherwise(F.col("issuer_name")))
 
 
+# What a date looks like, short codes of invoices, and labels in front of a recipient.
+DATE_SHAPE = r"^(?:\d{4}[-/]\d{2}[-/]\d{2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{1,2}-[A-Za-z]{3}-\d{2,4})$"
+SHORT_CODE = r"\b[A-Z]{2,}-\d{3,}\b"
+RECIPIENT_NOISE = r"(?i)\b(?:invoice|bill\s+to|ship\s+to|to|from)\b\s*#?:?"
+WORD_CANDIDATE = r"\b[A-Z0-9][A-Z0-9/\-]{2,}\b"
+
+
+def clean_recipient(x: Column) -> Column:
+    """Without labels, codes and marks, written once, and of several capitalised words their last chunk; the value itself if nothing is left, '' for none."""
+    s = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), RECIPIENT_NOISE, " "), SHORT_CODE, " ")
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, "[#:/]+", " "), r"\s+", " "), F.lit(" ,.-"))
+    s = V.once(s, tail=True)
+    chunk = F.try_element_at(F.regexp_extract_all(s, F.lit(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"), 0), F.lit(-1))
+    return F.when(V.is_empty(x), "").otherwise(F.coalesce(chunk, F.nullif(s, F.lit("")), x))
+
+
+def post_merge(df: DataFrame) -> DataFrame:
+    """The merged fields (FIELDS, structs two_stage and improved, array words) set right: the recipient is cleaned; the invoice number is chosen anew among the merged, both stages' and the words' candidates, unless it says the invoice date; without one, a short code in the recipient's name serves, else the dash. Null words count as none."""
+    text = F.array_join(F.coalesce("words", F.array().cast("array<string>")), " ")
+    df = df.withColumn("recipient_name", clean_recipient(F.col("recipient_name")))
+    one, two = F.col("improved"), F.col("two_stage")
+    of = lambda c, f: F.coalesce(c[f], F.lit(""))
+    own = F.coalesce("invoice_number", F.lit(""))
+    labelled = F.create_map(*[x for k, v in (("invoice_number", own), ("recipient_name", F.col("recipient_name")), ("one_stage_invoice_number", of(one, "invoice_number")), ("two_stage_invoice_number", of(two, "invoice_number"))) for x in (F.lit(k), v)])
+    given = F.filter(F.transform(F.array(own, of(one, "invoice_number"), of(two, "invoice_number"), F.col("recipient_name"), of(one, "recipient_name"), of(two, "recipient_name")), lambda v: F.trim(v)), lambda v: v != "")
+    df = df.withColumn("_number", invoice_number(own, text, labelled, F.concat(given, F.regexp_extract_all(text, F.lit(WORD_CANDIDATE), 0))))
+    plain = lambda x: F.lower(F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), "[^0-9A-Za-z]", ""))
+    date_in = F.trim("_number").rlike(DATE_SHAPE) & F.trim(F.coalesce("invoice_date", F.lit(""))).rlike(DATE_SHAPE) & (plain(F.col("_number")) == plain(F.col("invoice_date")))
+    number = F.when(V.is_empty(F.col("_number")) | date_in, F.nullif(F.regexp_extract("recipient_name", SHORT_CODE, 0), F.lit(""))).otherwise(F.col("_number"))
+    return df.withColumn("invoice_number", F.coalesce(number, F.lit(DASH))).drop("_number")
+
+
 def export_rows(df: DataFrame) -> DataFrame:
     """doc_id, field, value: the non-empty fields, for a CSV."""
     return df.unpivot(["doc_id"], FIELDS, "field", "value").filter(~V.is_empty(F.col("value")))

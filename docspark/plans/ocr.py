@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import numeric as N
-from docspark.operators import layout, ocr
+from docspark.operators import layout, ocr, records
 from docspark.session import table
 
 QUERIES: dict = {}
@@ -245,3 +245,14 @@ def l07_feature_table(spark, d):
     """All features of all documents; one remainder of nine could not be read."""
     docs, w, l, b = _parts(spark, d)  # noqa: E741
     return layout.feature_table(docs, w, l, b, docs.filter("doc_id % 9 <> 4"))
+
+
+@query(f"""WITH {_RAW}, b AS (SELECT doc_id, word_id, CAST(least(1000, greatest(0, round_even("left" * 1000.0 / 1000, 0))) AS INT) AS x0, CAST(least(1000, greatest(0, round_even(top * 1000.0 / 1400, 0))) AS INT) AS y0,
+ CAST(least(1000, greatest(0, round_even("right" * 1000.0 / 1000, 0))) AS INT) AS x1, CAST(least(1000, greatest(0, round_even(bottom * 1000.0 / 1400, 0))) AS INT) AS y1, text FROM words),
+g AS (SELECT doc_id, string_agg(text || ' ' || x0 || ' ' || y0 || ' ' || CASE WHEN x1 <= x0 THEN least(1000, x0 + 1) ELSE x1 END || ' ' || CASE WHEN y1 <= y0 THEN least(1000, y0 + 1) ELSE y1 END, chr(10) ORDER BY word_id) AS s, count(*) AS n FROM b WHERE word_id < 256 GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 1) AS n, md5(coalesce(s, 'empty 0 0 1 1')) AS h FROM (SELECT doc_id FROM documents) LEFT JOIN g USING (doc_id)""")
+def x29_f15_records(spark, d):
+    """Words and boxes of all documents, 256 words at most of each, as the records of a training set."""
+    r = records.dataset_records(table(spark, d, "documents").select("doc_id"), words(spark, d), F.lit(WIDTH), F.lit(HEIGHT))
+    rows = F.zip_with("words", "boxes", lambda w, b: F.concat_ws(" ", w, F.concat_ws(" ", b.cast("array<string>"))))
+    return r.select("doc_id", F.size("words").cast("long").alias("n"), F.md5(F.array_join(rows, "\n").cast("binary")).alias("h"))
