@@ -41,18 +41,40 @@ MAX_LANGUAGES = 200
 #: Characters of a language's sample.
 CHARACTERS = 2_000_000
 CACHE = 300_000
+#: Feature texts of a kind whose indices are kept, and scores added up at once for words that are not in the cache.
+NAMES, SCORES = 400_000, 1 << 21
 WORDS_AT_ONCE = 400_000
 UND = "und"
 #: Runs of letters with the marks that follow them.
 WORD = regex.compile(r"(?:\p{L}\p{M}*+)++")
 
 
+class _Hashed(dict):
+    """Index of a feature by its text; the kind of feature is hashed before the text. Emptied when it has NAMES entries."""
+
+    def __init__(self, kind: str):
+        super().__init__()
+        self.start = zlib.crc32(kind.encode())
+
+    def __missing__(self, text: str) -> int:
+        if len(self) >= NAMES:
+            self.clear()
+        found = self[text] = zlib.crc32(text.encode("utf-8", "replace"), self.start) % HASHED
+        return found
+
+
+BIAS, PREFIX, SUFFIX, GRAM = (_Hashed(kind) for kind in ("bias", "p", "s", "n"))
+
+
 def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Indices: a bias, affixes, n-grams with word ends, and the lexicon entry after the hashed ones."""
+    """Indices: a bias, affixes, n-grams with word ends, and the lexicon entry after the hashed ones. Each text counts once of its kind, in the order of the word."""
     b = f"<{word}>"
-    names = {"bias"} | {f"p{word[:i]}" for i in (1, 2, 3)} | {f"s{word[-i:]}" for i in (1, 2, 3, 4)} | {f"n{b[i : i + n]}" for n in (2, 3) for i in range(len(b) - n + 1)}
-    out = [zlib.crc32(x.encode("utf-8", "replace")) % HASHED for x in sorted(names)]
-    return out + [HASHED + lexicon[word]] if word in lexicon else out
+    grams = dict.fromkeys([*[b[i : i + 2] for i in range(len(b) - 1)], *[b[i : i + 3] for i in range(len(b) - 2)]])
+    prefixes, suffixes = dict.fromkeys((word[:1], word[:2], word[:3])), dict.fromkeys((word[-1:], word[-2:], word[-3:], word[-4:]))
+    out = [BIAS[""], *map(PREFIX.__getitem__, prefixes), *map(SUFFIX.__getitem__, suffixes), *map(GRAM.__getitem__, grams)]
+    if word in lexicon:
+        out.append(HASHED + lexicon[word])
+    return out
 
 
 class LanguageCRF:
@@ -68,19 +90,23 @@ class LanguageCRF:
         """exp of the scores of each word, the largest 1. The cache is emptied between calls only."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        found = list(map(self.cache.get, words))
-        if None in found:
-            for i, at in enumerate(found):
-                if at is None:
-                    w = words[i]
-                    if (at := self.cache.get(w)) is None:
-                        at = self.cache[w] = len(self.cache)
-                        if at >= len(self.table):
-                            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                        s = self.weights[word_features(w, self.lexicon)].sum(0)
-                        self.table[at] = np.exp(s - s.max())
-                    found[i] = at
-        return self.table[found]
+        self._learn([w for w in dict.fromkeys(words) if w not in self.cache])
+        return self.table[list(map(self.cache.__getitem__, words))]
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds different words to the cache and their rows to the table, as many at once as SCORES allows."""
+        at = len(self.cache)
+        self.cache.update(zip(words, range(at, at + len(words)), strict=True))
+        if (more := at + len(words) - len(self.table)) > 0:
+            self.table = np.concatenate([self.table, np.zeros((max(more, len(self.table)), self.table.shape[1]))])
+        most, flat, starts = SCORES // max(1, self.table.shape[1]), [], []
+        for i, w in enumerate(words):
+            starts.append(len(flat))
+            flat += word_features(w, self.lexicon)
+            if len(flat) >= most or i + 1 == len(words):
+                s = np.add.reduceat(self.weights[flat], starts)
+                self.table[at : at + len(starts)] = np.exp(s - s.max(1, keepdims=True))
+                at, flat, starts = at + len(starts), [], []
 
     def posteriors(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Probabilities of languages at each word: e has the emissions of chains of these lengths, one after the other."""
@@ -96,36 +122,41 @@ def chain_posteriors(e: np.ndarray, lengths: np.ndarray, a: np.ndarray, block: i
     n, k = e.shape
     per = -(-lengths // block)
     first = np.concatenate([[0], np.cumsum(per)])
+    nb = int(first[-1])
+    # blocks by falling length: those that have a word at a place are the first ones
+    size = np.full(nb, block)
+    size[first[1:][per > 0] - 1] = (lengths - (per - 1) * block)[per > 0]
+    place = np.empty(nb, dtype=np.int64)
+    place[np.argsort(-size, kind="stable")] = np.arange(nb)
+    have = [int((size > i).sum()) for i in range(block)]
     row = np.repeat(np.arange(len(lengths)), lengths)
     inside = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    b, t = first[row] + inside // block, inside % block
-    nb = int(first[-1])
-    filled = np.full((nb, block, k), np.nan)
-    filled[b, t] = e
-    used = ~np.isnan(filled[:, :, 0])
-    filled[~used] = 1.0
+    b, t = place[first[row] + inside // block], inside % block
+    filled = np.ones((block, nb, k))
+    filled[t, b] = e
     # the product of each block's transfer matrices; beyond a chain's end nothing changes
     p = np.broadcast_to(np.eye(k), (nb, k, k)).copy()
     for i in range(block):
-        u = used[:, i]
-        q = (p[u] @ a) * filled[u, i][:, None, :]
-        p[u] = q / np.maximum(q.sum((1, 2), keepdims=True), 1e-300)
+        m = have[i]
+        q = (p[:m].reshape(-1, k) @ a).reshape(-1, k, k) * filled[i, :m, None, :]
+        np.divide(q, np.maximum(q.sum((1, 2), keepdims=True), 1e-300), out=p[:m])
     into, out = np.full((nb, k), 1.0 / k), np.full((nb, k), 1.0 / k)
     for j in range(1, int(per.max(initial=0))):
         at = first[:-1][per > j] + j
-        into[at] = _scaled(np.einsum("bi,bij->bj", into[at - 1], p[at - 1]))
+        into[place[at]] = _scaled(np.einsum("bi,bij->bj", into[place[at - 1]], p[place[at - 1]]))
         back = first[1:][per > j] - 1 - j
-        out[back] = _scaled(np.einsum("bij,bj->bi", p[back + 1], out[back + 1]))
-    forward, state = np.empty((nb, block, k)), into
+        out[place[back]] = _scaled(np.einsum("bij,bj->bi", p[place[back + 1]], out[place[back + 1]]))
+    forward, state = np.empty((block, nb, k)), into
     for i in range(block):
-        new = _scaled((state @ a) * filled[:, i])
-        state = np.where(used[:, i, None], new, state)
-        forward[:, i] = state
+        m = have[i]
+        state[:m] = _scaled((state[:m] @ a) * filled[i, :m])
+        forward[i, :m] = state[:m]
     state = out
     for i in range(block - 1, -1, -1):
-        forward[:, i] *= state
-        state = np.where(used[:, i, None], _scaled((filled[:, i] * state) @ a.T), state)
-    return _scaled(forward[b, t])
+        m = have[i]
+        forward[i, :m] *= state[:m]
+        state[:m] = _scaled((filled[i, :m] * state[:m]) @ a.T)
+    return _scaled(forward[t, b])
 
 
 def fit(texts: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, seed: int = 11) -> LanguageCRF:
