@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,18 @@ def first_max(p: Column, labels: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, labels)), F.array_position(p, F.array_max(p)).cast("int"))
 
 
+def aligned(p: Column, classes: Sequence[str], labels: Sequence[str]) -> Column:
+    """Probabilities p in the order of classes, brought into the order of labels and divided by their sum (by 1 when that is 0); a label that is no class has 0."""
+    at = {c: i for i, c in enumerate(classes)}
+    return normalized(F.array(*[F.coalesce(F.get(p, F.lit(at[x])).cast("double"), F.lit(0.0)) if x in at else F.lit(0.0) for x in labels]))
+
+
+def unit(v: Column, least: float = 1e-12) -> Column:
+    """A vector divided by its length and a little more."""
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(v, lambda x: x / (length + least))
+
+
 def margin(p: Column) -> Column:
     """Largest less second largest entry; 0 with fewer than two."""
     s = F.sort_array(p, asc=False)

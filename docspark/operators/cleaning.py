@@ -82,3 +82,30 @@ def tagged(fields: dict[str, Column]) -> Column:
 
 def untagged(text: Column, field: str) -> Column:
     return F.trim(F.regexp_extract(text, rf"(?s)<s_{field}>(.*?)</s_{field}>", 1))
+
+
+# Fixed values of the first cleaner: its patterns, words that end a name by their start, words in front of one.
+FIRST_DATE = r"\d{1,2}[-/][A-Za-z]{3,9}[-/]\d{2,4}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}[-/]\d{2}[-/]\d{2}"
+FIRST_AMOUNT = r"(?i)\d[\d,\.]+\s*(?:USD|EUR|GBP|CAD|AUD)|(?:USD|EUR|GBP|CAD|AUD)\s*\d[\d,\.]+|[$€£]\s*\d[\d,\.]+"
+FIRST_NUMBER = r"\d[\d,\.]+"
+FIRST_STOPS = "tel phone fax email e-mail site web http https www address addr gstin gst vat".split()
+FIRST_LABELS = "bill to billed sold send from by".split()
+
+
+def first_cleaner(field: str, raw: Column, most: int = 4) -> Column:
+    """The cleaner before the present one: a first date, amount, last word, or name of at most four words; the trimmed value itself where nothing is found, the dash for none."""
+    v = F.btrim(raw, F.lit(" \t\n\r\x0b\x0c"))
+    if field.endswith("_date"):
+        out = F.coalesce(_found(v, FIRST_DATE), v)
+    elif field == "total_amount":
+        out = F.coalesce(F.trim(_found(v, FIRST_AMOUNT)), _found(v, FIRST_NUMBER), v)
+    elif field == "invoice_number":
+        out = F.coalesce(F.try_element_at(_words(v), F.lit(-1)), v)
+    else:
+        bare = lambda t: F.btrim(F.lower(t), F.lit(":.,-"))
+        w, stops = _words(v), "^(?:" + "|".join(FIRST_STOPS) + ")"
+        before = lambda found, among: F.coalesce(F.nullif(F.array_position(F.transform(among, found), True), F.lit(0)) - 1, F.size(among)).cast("int")
+        rest = F.slice(w, before(lambda t: ~bare(t).isin(FIRST_LABELS), w) + 1, F.greatest(F.size(w), F.lit(1)))
+        kept = F.slice(rest, 1, F.least(before(lambda t: bare(t).rlike(stops) | bare(t).rlike("^[0-9]+$"), rest), F.lit(most)))
+        out = F.when(F.size(kept) > 0, F.btrim(F.array_join(kept, " "), F.lit(",:. "))).otherwise(v)
+    return F.when(F.coalesce(raw, F.lit("")).isin("", "—"), "—").otherwise(out)

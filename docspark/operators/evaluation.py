@@ -117,6 +117,12 @@ def histogram(df: DataFrame, column: str, bins: int, lo: float = 0.0, hi: float
     return df.filter(F.col(column).between(lo, hi)).groupBy(*by, b.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def confidence_summary(df: DataFrame, by: str, column: str = "conf", sure: float = 0.70) -> DataFrame:
+    """by, n, mean, least, most, and the percent of rows of `sure` or more; rows without a value do not count."""
+    c = F.col(column)
+    return df.filter(c.isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"), (100 * F.avg((c >= sure).cast("int"))).alias("sure_percent"))
+
+
 def missing_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     row = df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns])
     return row.unpivot([], list(columns), "column", "missing")

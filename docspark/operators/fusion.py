@@ -18,6 +18,12 @@ def prediction_table(df: DataFrame, probabilities: str, split: str, model: str,
     return df.select("doc_id", "true_label", first_max(p, list(labels)).alias("pred_label"), F.lit(split).alias("split"), F.lit(model).alias("model_name"), *[F.get(p, F.lit(i)).alias(f"confidence_{x}") for i, x in enumerate(labels)])
 
 
+def formatted_predictions(df: DataFrame, predicted: str, probabilities: dict[str, str], split: str, model: str, labels: Sequence[str] = LABELS) -> DataFrame:
+    """The prediction table of a model that knows some labels only: predicted is its label column, probabilities maps labels to columns; other labels have confidence 0."""
+    confidences = [(F.col(probabilities[x]) if x in probabilities else F.lit(0.0)).alias(f"confidence_{x}") for x in labels]
+    return df.select("doc_id", "true_label", F.col(predicted).alias("pred_label"), F.lit(split).alias("split"), F.lit(model).alias("model_name"), *confidences)
+
+
 def _confidences(labels: Sequence[str]) -> Column:
     return F.array(*[F.col(f"confidence_{x}") for x in labels])
 

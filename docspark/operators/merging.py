@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,8 @@ def merge_hybrid(df: DataFrame) -> DataFrame:
     )
 
 
-def merge_two(df: DataFrame, candidates: Column | None = None) -> DataFrame:
-    """Baseline and improved results: improved first for numbers, dates and totals, baseline first for names; noisy recipients are replaced or cleaned; an issuer that equals the recipient gives way (swap_suspected)."""
+def merge_two(df: DataFrame, candidates: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Baseline and improved results: improved first for numbers, dates and totals, baseline first for names; noisy recipients are replaced or cleaned; an issuer that equals the recipient gives way (swap_suspected). Columns `keep` pass through."""
     b, i = F.col("baseline"), F.col("improved")
     first = lambda x, y: F.when(V.is_empty(x), y).otherwise(x)
     cleaned = V.without_noise(b["recipient_name"])
@@ -62,11 +64,34 @@ def merge_two(df: DataFrame, candidates: Column | None = None) -> DataFrame:
     number = F.when(V.is_label_only(F.coalesce(number, F.lit(""))), F.coalesce(F.trim(fallback), F.lit(DASH))).otherwise(number)
     total = first(i["total_amount"], b["total_amount"])
     total = F.when(V.is_empty(total), total).otherwise(V.decimal_point(F.trim(total)))
-    df = df.select("doc_id", number.alias("invoice_number"), first(i["invoice_date"], b["invoice_date"]).alias("invoice_date"), first(i["due_date"], b["due_date"]).alias("due_date"), first(b["issuer_name"], i["issuer_name"]).alias("issuer_name"), recipient.alias("recipient_name"), total.alias("total_amount"))
+    df = df.select("doc_id", *keep, number.alias("invoice_number"), first(i["invoice_date"], b["invoice_date"]).alias("invoice_date"), first(i["due_date"], b["due_date"]).alias("due_date"), first(b["issuer_name"], i["issuer_name"]).alias("issuer_name"), recipient.alias("recipient_name"), total.alias("total_amount"))
     swap = ~V.is_empty(F.col("issuer_name")) & ~V.is_empty(F.col("recipient_name")) & (F.lower(F.trim("issuer_name")) == F.lower(F.trim("recipient_name")))
     return df.withColumn("swap_suspected", F.coalesce(swap, F.lit(False))).withColumn("issuer_name", F.when(F.col("swap_suspected"), DASH).otherwise(F.col("issuer_name")))
 
 
+def merge_batch(df: DataFrame, candidates: Column | None = None) -> DataFrame:
+    """merge_two for every row, and source_<field>: whether the value is the baseline's, the improved one's, or was made by a rule (cleaned)."""
+    text = lambda x: F.coalesce(x, F.lit(""))
+    merged = merge_two(df, candidates, ("baseline", "improved"))
+    b, i = F.col("baseline"), F.col("improved")
+
+    def label(f: str, value: Column, name: Column) -> Column:
+        return F.when(text(F.col(f)) == text(value), name).otherwise("cleaned").alias(f"source_{f}")
+
+    out = []
+    for f in ("invoice_number", "invoice_date", "due_date", "total_amount"):
+        base = V.is_empty(i[f]) & ~V.is_empty(b[f])
+        out.append(label(f, F.when(base, b[f]).otherwise(i[f]), F.when(base, "baseline").otherwise("improved")))
+    issuer = F.when(V.is_empty(b["issuer_name"]), i["issuer_name"]).otherwise(b["issuer_name"])
+    out.append(label("issuer_name", issuer, F.when(text(issuer) == text(b["issuer_name"]), "baseline").otherwise("improved")))
+    x, y = b["recipient_name"], i["recipient_name"]
+    noisy, better = V.is_noisy(x), ~V.is_empty(y) & ~V.is_noisy(y)
+    cleaned = V.without_noise(x)
+    value = F.when(noisy, F.when(better, y).when(V.is_empty(cleaned), x).otherwise(cleaned)).when(V.is_empty(x), y).otherwise(x)
+    out.append(label("recipient_name", value, F.when(noisy, F.when(better, "improved").otherwise("cleaned")).when(V.is_empty(x), "improved").otherwise("baseline")))
+    return merged.select(*[c for c in merged.columns if c not in ("baseline", "improved")], *out)
+
+
 # What a date looks like, short codes of invoices, and labels in front of a recipient.
 DATE_SHAPE = r"^(?:\d{4}[-/]\d{2}[-/]\d{2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{1,2}-[A-Za-z]{3}-\d{2,4})$"
 SHORT_CODE = r"\b[A-Z]{2,}-\d{3,}\b"

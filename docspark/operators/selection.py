@@ -44,9 +44,10 @@ def regions(tokens: DataFrame, least: float = REGION_CONFIDENCE, fields: Sequenc
     return spine.join(found, ["doc_id", "field"], "left").withColumns({"confidence": F.coalesce("confidence", F.lit(0.0)), "words": F.coalesce("words", F.array().cast("array<string>"))})
 
 
-def words_in(regions_: DataFrame, words: DataFrame, padding: int, least: int = 10) -> DataFrame:
+def words_in(regions_: DataFrame, words: DataFrame, padding: int | Column, least: int = 10) -> DataFrame:
     """doc_id, field, text: words whose centre lies in the padded box of a field, in order. Boxes narrower or lower than `least` after padding give nothing."""
     b = F.col("box")
+    padding = F.lit(padding) if isinstance(padding, int) else padding
     r = regions_.filter("box IS NOT NULL").select("doc_id", "field", *[F.greatest(F.lit(0), b[i] - padding).alias(f"b{i}") for i in (0, 1)], *[F.least(F.lit(1000), b[i] + padding).alias(f"b{i}") for i in (2, 3)])
     r = r.filter((F.col("b2") - F.col("b0") >= least) & (F.col("b3") - F.col("b1") >= least))
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
@@ -85,3 +86,20 @@ def span_f1(predicted: DataFrame, true: DataFrame) -> DataFrame:
     c = both.agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count("p").alias("np"), F.count("t").alias("nt"))
     p, r = safe_div(F.col("tp"), F.col("np")), safe_div(F.col("tp"), F.col("nt"))
     return c.select(p.alias("precision"), r.alias("recall"), safe_div(2 * F.col("tp"), F.col("np") + F.col("nt")).alias("f1"))
+
+
+def span_report(predicted: DataFrame, true: DataFrame) -> DataFrame:
+    """field, precision, recall, f1, support for each field of spans (doc_id, start, end, field), and rows `micro avg` (all spans), `macro avg` (plain mean over fields) and `weighted avg` (by support)."""
+    keys = ["doc_id", "start", "end", "field"]
+    both = predicted.select(*keys, F.lit(1).alias("p")).join(true.select(*keys, F.lit(1).alias("t")), keys, "full")
+    per = both.groupBy("field").agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count("p").alias("np"), F.count("t").alias("support"))
+
+    def scored(df: DataFrame) -> DataFrame:
+        return df.select("field", safe_div(F.col("tp"), F.col("np")).alias("precision"), safe_div(F.col("tp"), F.col("support")).alias("recall"), safe_div(2 * F.col("tp"), F.col("np") + F.col("support")).alias("f1"), "support")
+
+    fields = scored(per)
+    micro = scored(per.agg(F.lit("micro avg").alias("field"), *[F.sum(c).alias(c) for c in ("tp", "np", "support")]))
+    names = ("precision", "recall", "f1")
+    macro = fields.agg(F.lit("macro avg").alias("field"), *[F.avg(c).alias(c) for c in names], F.sum("support").alias("support"))
+    weighted = fields.agg(F.lit("weighted avg").alias("field"), *[safe_div(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in names], F.sum("support").alias("support"))
+    return fields.unionByName(micro).unionByName(macro).unionByName(weighted)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docspark.plans import catalog, classify, clean, extract, gates, models, ocr, rules, select, text
+from docspark.plans import catalog, classify, clean, datasets, extract, gates, models, ocr, rules, select, text
 
-MODULES = (text, ocr, classify, extract, clean, rules, select, catalog, gates, models)
+MODULES = (text, ocr, classify, extract, clean, rules, select, catalog, gates, models, datasets)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

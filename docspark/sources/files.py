@@ -60,3 +60,19 @@ def missing_from_cache(base: DataFrame, cache: DataFrame, key: str = "doc_id") -
 def is_native_pdf(pages: str = "pages", least: int = 100) -> Column:
     """Whether the texts of an array of pages have `least` signs together."""
     return F.aggregate(F.transform(pages, lambda p: F.length(F.coalesce(p, F.lit("")))), F.lit(0), lambda a, n: a + n) >= least
+
+
+def write_json(df: DataFrame, path: str, append: bool = False) -> None:
+    """Rows as JSON lines, null fields kept; `append` adds files to what is there."""
+    df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """JSON lines in a given schema, so no pass infers one; a broken line is a row of nulls."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def read_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """What write_splits wrote; of one split only its folder is read."""
+    df = spark.read.parquet(path)
+    return df if split is None else df.filter(F.col("split") == split)
