@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +36,19 @@ def label_in_path(path: Column, labels: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(F.lower(path).contains(x), x) for x in labels])
 
 
+def range_part(df: DataFrame, column: str, side: int = 16) -> Column:
+    """Number of the range that a string falls into; ranges are in order, and bounded by the side * side values of least hash. They only deal out the work: equal values share a range, and what is exact stays exact whatever the bounds. One job finds them, as for any sort; a row is compared with side bounds twice."""
+    drawn = df.filter(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(column)).limit(side * side).collect()
+    bounds = sorted({r[0] for r in drawn})
+    if not bounds:
+        return F.lit(0)
+    blocks = [bounds[i : i + side] for i in range(0, len(bounds), side)]
+    reached = lambda among: F.coalesce(F.size(F.filter(among, lambda b: b <= F.col(column))), F.lit(0))
+    literal = lambda values: F.array(*map(F.lit, values))
+    block = reached(literal([b[0] for b in blocks]))
+    return block * (side + 1) + F.greatest(F.lit(0), reached(F.get(F.array(*map(literal, blocks)), block - 1)))
+
+
 def metadata(files: DataFrame) -> DataFrame:
     """files (path, length, maybe content): doc_id by order of the path, class, split, extension, digest of the content if it was read."""
     path = F.col("path")
@@ -47,9 +59,8 @@ def metadata(files: DataFrame) -> DataFrame:
     })
     if "content" in files.columns:
         df = df.withColumn("hash_md5", F.md5("content")).drop("content")
-    # the rank of a path in two levels: by its first characters behind those that all paths share, then inside
-    ends = df.agg(F.min("path"), F.max("path")).first()
-    part = F.substring("path", 1, len(os.path.commonprefix([x or "" for x in ends])) + 3)
+    # the rank of a path in two levels: by ranges of paths, then inside
+    part = range_part(df, "path")
     sizes = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy("path")) - 1

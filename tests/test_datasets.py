@@ -163,3 +163,17 @@ def test_first_cleaner(spark):
     for field, pairs in cases.items():
         df = spark.createDataFrame([(x,) for x in pairs], "x string")
         assert [r[0] for r in df.select(first_cleaner(field, F.col("x"))).collect()] == list(pairs.values()), field
+
+
+def test_ranges_of_paths_are_many_and_in_order(spark):
+    from docspark.operators.catalog import metadata, range_part
+
+    rng = random.Random(3)
+    paths = [f"/data/{rng.choice(['train', 'test'])}/invoices/{rng.choice('éa')}{rng.randrange(4000)}.png" for _ in range(3000)]
+    df = spark.createDataFrame([(p, 1) for p in paths], "path string, length int")
+    got = sorted((r.path, r.part) for r in df.select("path", range_part(df, "path").alias("part")).collect())
+    parts = [p for _, p in got]
+    assert parts == sorted(parts) and len(set(parts)) > 200 and max(map(parts.count, set(parts))) < 120
+    made = sorted(metadata(df).collect(), key=lambda r: r.doc_id)
+    assert [r.path for r in made] == sorted(paths) and made[-1].doc_id == "doc_00002999"
+    assert metadata(df.limit(0)).count() == 0
