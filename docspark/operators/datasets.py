@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions.numeric import unit
+from docspark.functions.numeric import unit_vector
 from docspark.operators.catalog import stratified_split
 
 SPLITS = ("train", "val", "test")
@@ -61,4 +61,4 @@ def mean_vectors(df: DataFrame, by: str, vector: str, weight: str) -> DataFrame:
     e = df.select(by, F.col(weight).cast("double").alias("_w"), F.posexplode(vector).alias("_i", "_x"))
     sums = e.groupBy(by, "_i").agg((F.sum(F.col("_x").cast("double") * F.col("_w")) / F.greatest(F.sum("_w"), F.lit(1e-9))).alias("_m"))
     rows = sums.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_v"))  # one entry a place of the vector
-    return rows.select(by, unit(F.transform("_v", lambda v: v["_m"])).alias(vector))
+    return rows.select(by, unit_vector(F.transform("_v", lambda v: v["_m"])).alias(vector))

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from docspark.functions import fields as V
+from docspark.functions import numeric as N
 from docspark.operators import merging as M
 from docspark.operators import sequences as S
 from docspark.operators.evaluation import FIELDS
@@ -32,6 +33,13 @@ def test_numbers_and_anchors(spark):
     assert one(spark, V.amounts_in, "$1234.56") == [["$123"]]
 
 
+def test_share_of_a_page_and_unit_vectors(spark):
+    df = spark.createDataFrame([(5.0, 10), (20.0, 10), (-1.0, 10), (5.0, 0), (None, 10)], "x double, size int")
+    assert [r[0] for r in df.select(N.unit(F.col("x"), F.col("size"))).collect()][:4] == [0.5, 1.0, 0.0, 0.0]
+    r = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<double>, b array<double>").select(N.unit_vector(F.col("a")), N.unit_vector(F.col("b"))).first()
+    assert [round(x, 9) for x in r[0]] == [0.6, 0.8] and r[1] == [0.0, 0.0]
+
+
 def merged(spark, baseline, improved, candidates=None):
     row = [tuple(d.get(f) for f in FIELDS) for d in (baseline, improved)]
     kind = "struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">"
