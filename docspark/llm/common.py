@@ -6,6 +6,8 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,16 +85,38 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+#: Paths stored within the innermost stored_alone.
+_WITHIN: ContextVar[list[str] | None] = ContextVar("within", default=None)
+
+
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if (within := _WITHIN.get()) is not None:
+        within.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The stored result of make. Tables that are stored on the way are deleted: nothing but the result may be read afterwards."""
+    outer, made = _WITHIN.get(), []
+    token = _WITHIN.set(made)
+    try:
+        out = stored(make(), name)
+    finally:
+        _WITHIN.reset(token)
+    *passing, own = made
+    if outer is not None:
+        outer.append(own)
+    for path in passing:
+        delete(spark, path)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that nothing refers to any more; it notices when the driver collects its garbage."""
     gc.collect()

@@ -12,7 +12,8 @@ is verified on the words themselves.
 
 Families of many similar lines must not become all their pairs: first each set meets only the earliest sets of its size band
 in lists at PROBES, LEADERS of each, which settles nearly all members of a family. Then one join of the lists with themselves pairs sets that are
-not settled with all others; both of its sides read one shuffle.
+not settled with all others; both of its sides read one shuffle. Both rounds take the lists in PASSES parts, one after the other, so
+that the lists of one part only lie on disk at a time; tables of a round are deleted when it is done.
 
 Rarity needs no shuffle of words: counts by hash bucket, combined in each map task, fill a table of fixed size. It only
 steers the order, any order gives the same result. Sets are named by 128 bits over 56-bit hashes of their words.
@@ -25,12 +26,14 @@ columns pass through, whatever their names. An empty table gives an empty result
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents, fresh, stored, text_of
+from docspark.llm.common import documents, fresh, stored, stored_alone, text_of
 from docspark.llm.op8_exact_dedup import bit_filter, let_through
 
 PERCENT = 80
@@ -39,6 +42,8 @@ TABLE = 1 << 18
 #: Places of a set's prefix whose lists the first round looks at, as a share of its end and so many before (words that a copy adds are rare and come first, so
 #: families meet at the end); how far sizes in one of its bands differ; parts of a list that have a leader each.
 PROBES, BAND, LEADERS = ((1.0, 0), (1.0, 1), (1.0, 2), (0.75, 0), (0.5, 0), (0.0, 0)), 1.25, 16
+#: Parts of the lists, by word, that are joined one after the other.
+PASSES = 3
 #: Sets of more words carry bitmaps of 128 and of 256 bits.
 HALF, WIDE = 32, 160
 BITMAPS = ("b", "b1", "b2", "b3")
@@ -126,25 +131,36 @@ def _verify(pairs: DataFrame, first: DataFrame, lines: DataFrame, percent: int)
     return same.select(F.when(F.col("xo") < F.col("yo"), F.col("y")).otherwise(F.col("x")).alias("sid")).distinct()
 
 
+def _in_passes(pairs: Callable[[Column], DataFrame]) -> DataFrame:
+    """The pairs of all lists; each call gets the condition that tells the lists of its pass by their word t."""
+    parts = [stored(pairs(F.pmod("t", F.lit(PASSES)) == i), "pairs") for i in range(PASSES)]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def _postings(sets: DataFrame, *columns: Column) -> DataFrame:
     return sets.filter("prefix IS NOT NULL").select("sid", "n", *BITMAPS, *columns, F.posexplode("prefix").alias("i", "t"))
 
 
-def _leader_pairs(first: DataFrame, percent: int) -> DataFrame:
+def _leader_pairs(first: DataFrame, percent: int, part: Column) -> DataFrame:
     """Pairs (x, y) of each set y and the earliest sets x of its list and size band, one for each of LEADERS parts, in lists of y at PROBES."""
     end = F.size("prefix") - 1
     probed = first.filter("prefix IS NOT NULL").withColumn("i", F.explode(F.array_distinct(F.array(*[F.greatest(F.floor(end * share).cast("int") - less, F.lit(0)) for share, less in PROBES]))))
-    probed = probed.select("sid", "ord", "n", *BITMAPS, "i", F.get("prefix", F.col("i")).alias("t"), F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int").alias("band"))
+    probed = probed.select("sid", "ord", "n", *BITMAPS, "i", F.get("prefix", F.col("i")).alias("t"), F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int").alias("band")).filter(part)
     leaders = probed.groupBy("t", "band", F.pmod(F.xxhash64("sid"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("ord", F.col("sid").alias("x"), *[F.col(c).alias(f"x{c}") for c in ("n", *BITMAPS, "i")])).alias("x")).select("t", "band", "x.*").drop("ord")
     y = probed.select("t", "band", F.col("sid").alias("y"), *[F.col(c).alias(f"y{c}") for c in ("n", *BITMAPS, "i")])
     return y.join(leaders, ["t", "band"]).filter((F.col("x") != F.col("y")) & _possible(percent, False)).select("x", "y").distinct()
 
 
-def _open_pairs(first: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) in a list of which y is not settled and x does not belong to a later document. Settled sets have a negative n; the condition needs both sides, so both read one shuffle of the lists."""
+def _marked(first: DataFrame, settled: DataFrame) -> DataFrame:
+    """sid, n (negative if the set is settled), BITMAPS, o (id of its document), prefix."""
     maybe = let_through(bit_filter(settled.select(F.col("sid").alias("key"))), F.col("sid"))
     marked = first.filter(maybe).join(settled.withColumn("is", F.lit(True)), "sid", "left").withColumn("n", F.when(F.col("is"), -F.col("n")).otherwise(F.col("n"))).drop("is")
-    lists = _postings(marked.unionByName(first.filter(~maybe)), F.col("ord.id").alias("o"))
+    return marked.unionByName(first.filter(~maybe)).filter("prefix IS NOT NULL").select("sid", "n", *BITMAPS, F.col("ord.id").alias("o"), "prefix")
+
+
+def _open_pairs(marked: DataFrame, percent: int, part: Column) -> DataFrame:
+    """Pairs (x, y) in a list of which y is not settled and x does not belong to a later document. The condition needs both sides' marks, so both read one shuffle of the lists."""
+    lists = _postings(marked, F.col("o")).filter(part)
     side = lambda p: lists.select("t", F.abs("n").alias(f"{p}n"), F.col("n").alias(f"{p}m"), F.col("sid").alias(p), *[F.col(c).alias(f"{p}{c}") for c in ("o", *BITMAPS, "i")])
     before = (F.col("xo") <= F.when(F.col("ym") > 0, F.col("yo"))) | (F.col("yo").isNull() & (F.col("ym") > F.abs("xm") * 0))
     return side("x").join(side("y"), "t").filter((F.col("x") != F.col("y")) & before & _possible(percent, True)).select("x", "y").distinct()
@@ -158,8 +174,14 @@ def removed_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     # of equal sets the first line stands for all; the combiner keeps one row of a set in each task
     first = sets.groupBy("s1", "s2").agg(F.min(rank).alias("ord"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITMAPS], F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
     first = stored(first.withColumn("sid", F.monotonically_increasing_id()), "first")
-    settled = stored(_verify(stored(_leader_pairs(first, percent), "pairs"), first, lines, percent), "settled")
-    rest = _verify(stored(_open_pairs(first, settled, percent), "pairs"), first, lines, percent)
+    spark = rows.sparkSession
+    settled = stored_alone(spark, lambda: _verify(stored_alone(spark, lambda: _in_passes(lambda part: _leader_pairs(first, percent, part)), "pairs"), first, lines, percent), "settled")
+
+    def open_pairs() -> DataFrame:
+        marked = stored(_marked(first, settled), "marked")
+        return _in_passes(lambda part: _open_pairs(marked, percent, part))
+
+    rest = stored_alone(spark, lambda: _verify(stored_alone(spark, open_pairs, "pairs"), first, lines, percent), "rest")
     similar = stored(settled.unionByName(rest).distinct().withColumn("similar", F.lit(True)), "similar")
     fate = first.select("sid", "s1", "s2", "ord", "copies").join(similar, "sid", "left").filter("similar OR copies > 1").select("s1", "s2", "ord", F.coalesce("similar", F.lit(False)).alias("similar"))
     own = sets.select("row", "doc_id", "at", "s1", "s2").join(fate, ["s1", "s2"])
@@ -185,9 +207,13 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text and more) with the lines removed, and columns removed_lines and total_lines (renamed if taken)."""
     row, gone, total, number, key, name = fresh(docs, "_row", "removed_lines", "total_lines", "_number", "_key", "_name")
     table = docs.withColumn(row, F.xxhash64(F.col("text")))
-    removed = removed_lines(table.select(F.col(row).alias("row"), "doc_id", "text"), percent)
-    per = removed.groupBy("row", "doc_id").agg(F.collect_set("at").alias(gone))  # at most the lines of one document
-    per = stored(per.withColumnsRenamed({"row": key, "doc_id": name}), "removed")
+
+    def by_document() -> DataFrame:
+        removed = removed_lines(table.select(F.col(row).alias("row"), "doc_id", "text"), percent)
+        per = removed.groupBy("row", "doc_id").agg(F.collect_set("at").alias(gone))  # at most the lines of one document
+        return per.withColumnsRenamed({"row": key, "doc_id": name})
+
+    per = stored_alone(docs.sparkSession, by_document, "removed")
     lines = F.split(F.col("text"), "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

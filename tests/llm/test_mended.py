@@ -69,3 +69,17 @@ def test_op9_base_columns_by_scan(spark, tmp_path):
         own, every = set(filter(None, r.base_labels.split(","))), set(filter(None, r.labels.split(",")))
         assert own <= every and 0 <= r.score <= 1 and (r.score == 1 or not own)
     assert Counter(r.doc_id for r in out).most_common(1)[0][1] == 1
+
+
+def test_op2_lists_in_any_number_of_passes(spark, monkeypatch):
+    from docspark.llm import op2_line_dedup as op2
+
+    rng = random.Random(5)
+    lines = [[f"w{rng.randint(0, 30)}" for _ in range(rng.randint(5, 9))] for _ in range(30)]
+    rows = [(i, "\n".join(" ".join([*rng.choice(lines), *[f"n{i}"] * rng.randint(0, 1)]) for _ in range(4))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for passes in (1, 3):
+        monkeypatch.setattr(op2, "PASSES", passes)
+        found.append(sorted(tuple(r) for r in op2.line_dedup(df).collect()))
+    assert found[0] == found[1] and any(r[2] for r in found[0])
