@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import documents, stored
+from docspark.llm.common import documents, stored, stored_alone
 from docspark.llm.components import connected_components
 from docspark.llm.op8_exact_dedup import bit_filter, let_through
 
@@ -302,7 +302,11 @@ def _search(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
 
 def ngram_components(docs: DataFrame, k: int = K, percent: int = PERCENT, sketch_size: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id, fp (equal for equal sets) for every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    return stored_alone(docs.sparkSession, lambda: _components(docs.select("doc_id", "text"), k, percent, sketch_size), "components")
+
+
+def _components(docs: DataFrame, k: int, percent: int, sketch_size: int) -> DataFrame:
+    spark = docs.sparkSession
     read = stored(_read(docs, k, percent, _sketch(docs, k, sketch_size)), "sets")
     # of equal sets one stands for all: the combiner keeps one row of a set in each task
     classes = read.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("key", "n", "prefix", "bits", "wide")])
@@ -315,8 +319,8 @@ def ngram_components(docs: DataFrame, k: int = K, percent: int = PERCENT, sketch
     bits = classes.select("sid", "bits")
     chain = chain.distinct().join(bits.select(F.col("sid").alias("a"), F.col("bits").alias("xa")), "a").join(bits.select(F.col("sid").alias("b"), F.col("bits").alias("xb")), "b").filter(_possible(percent))
     chain = stored(chain.select("a", "b"), "chain")
-    first = stored(_search(chain, classes, docs, k, percent), "links")
-    parts = stored(connected_components(first), "parts")
+    first = stored_alone(spark, lambda: _search(chain, classes, docs, k, percent), "links")
+    parts = stored_alone(spark, lambda: connected_components(first), "parts")
     labelled = shared.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("s", "sid", "n", F.coalesce("component", "sid").alias("c"))
     apart = W.partitionBy("s")
     labelled = labelled.withColumn("lo", F.min("c").over(apart)).withColumn("hi", F.max("c").over(apart)).filter("lo <> hi").select("s", "sid", "n", "c")
@@ -325,8 +329,8 @@ def ngram_components(docs: DataFrame, k: int = K, percent: int = PERCENT, sketch
     y = labelled.select("s", F.col("sid").alias("b"), F.col("n").alias("na"), F.col("c").alias("cb"), F.col("bits").alias("xb"))
     later = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("b") < F.col("a"))
     rest = x.join(y, (x["s"] == y["s"]) & (F.col("ca") != F.col("cb")) & later & near & _possible(percent)).select("a", "b").distinct().join(chain, ["a", "b"], "left_anti")
-    edges = first.unionByName(_search(rest, classes, docs, k, percent))
-    parts = connected_components(stored(edges, "links"))
+    edges = stored_alone(spark, lambda: first.unionByName(_search(rest, classes, docs, k, percent)), "links")
+    parts = stored_alone(spark, lambda: connected_components(edges), "parts")
     named = classes.select("sid", "fp", "least").join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("fp", "least", F.coalesce("component", "sid").alias("c"))
     named = stored(named, "named")
     names = named.join(named.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("fp", "component_id")

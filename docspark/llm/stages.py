@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import fresh, stored
+from docspark.llm.common import fresh, stored, stored_alone
 from docspark.llm.op2_line_dedup import line_dedup
 from docspark.llm.op3_mixing import mix
 from docspark.llm.op4_quality_rules import quality_rules
@@ -52,9 +52,13 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = SIMIL
 def mix_sources(docs: DataFrame) -> DataFrame:
     """Each document once for every pass of the schedule that takes half of its words or more, written in the order of the schedule's slots. Documents without words go; repeated rows and null ids are rows of their own."""
     table, (row, slot) = _numbered(docs, "_slot")
-    _, pieces = mix(_named(table, row))
-    passes = pieces.groupBy("doc_id", "size", "pass").agg(F.sum("length").alias("n"), F.min("slot").alias(slot)).filter("2 * n >= size")
-    copies = passes.select(F.col("doc_id.row").alias(row), slot)
+
+    def taken() -> DataFrame:
+        _, pieces = mix(_named(table, row))
+        passes = pieces.groupBy("doc_id", "size", "pass").agg(F.sum("length").alias("n"), F.min("slot").alias(slot)).filter("2 * n >= size")
+        return passes.select(F.col("doc_id.row").alias(row), slot)
+
+    copies = stored_alone(docs.sparkSession, taken, "copies")
     return table.join(copies, row).orderBy(slot, row).select(*docs.columns)
 
 

@@ -1,5 +1,6 @@
 """Operators against brute force where keys clash, languages are many, and base phrases overlap."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -71,6 +72,22 @@ def test_op9_base_columns_by_scan(spark, tmp_path):
     assert Counter(r.doc_id for r in out).most_common(1)[0][1] == 1
 
 
+def test_passing_tables_are_deleted(spark):
+    """What op2, op5 and the mixing stage store on the way is gone before the next stage; their lists, classes and blocks were left until the session ended."""
+    from docspark.llm import stages
+    from docspark.llm.common import shared_dir
+    from docspark.llm.op2_line_dedup import line_dedup
+    from docspark.llm.op5_ngram_join import ngram_components
+
+    at = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    rows = [(i, f"a b c d e f g h i j k{i % 3}\nsome line of words number {i % 4}", "xyz"[i % 3]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for make, kept in [(line_dedup, {"removed", "repeated"}), (ngram_components, {"components"}), (stages.mix_sources, {"numbered", "copies"})]:
+        before = set(os.listdir(at))
+        assert make(df).count() > 0
+        assert {x.split("-")[1] for x in set(os.listdir(at)) - before if x.startswith("docspark-")} == kept
+
+
 def test_op2_lists_in_any_number_of_passes(spark, monkeypatch):
     from docspark.llm import op2_line_dedup as op2
 
