@@ -8,8 +8,8 @@ at least T - L times in the long lists by binary probes, stopping when T can't b
 Distributed, the shortest lists are those of a document's rarest shingles, n - ceil(t n) + 1 of them: every link shares one.
 Only these are shuffled, as (shingle, document) rows; rarity is read from a table of counts per hash bucket over all documents.
 Of equal sets one stands for all (copies are never paired). First neighbours in the lists are searched, and the links found
-are merged to components; then, list by list, pairs of documents of different components. A pair goes to the search only if a
-lossless bound on bitmaps of the sets allows T; the texts of these documents are read from the input again. In the search
+are merged to components; then, list by list, pairs of documents of different components, each at the first shingle that they share and seldom again.
+A pair goes to the search only if lossless bounds, by the place of that shingle and by bitmaps of the sets, allow T; the texts of these documents are read from the input again. In the search
 the candidates of a query, in blocks, form inverted lists; short ones are merged, long ones probed. Links between documents that are connected
 already are not looked for; components are exact all the same.
 
@@ -42,6 +42,8 @@ SKETCH = 1 << 18
 #: Longs of the bitmap that goes with the lists; of the second one that sets above WIDE_FROM shingles have, by their size.
 BITMAP_LONGS = 8
 WIDE_FROM = 512
+#: Shingles of a set that go with each of its rows in the lists, to tell whether a pair has met before.
+BEFORE = 4
 #: Bytes of text that are hashed at once (more for a longer word), documents and candidates in a block.
 SPAN, DOCUMENTS, CANDIDATES = 1 << 20, 1000, 512
 MU = 0.0085
@@ -243,11 +245,15 @@ def key_of(text: str) -> Column:
     return F.xxhash64(text)
 
 
+def _need(percent: int) -> Column:
+    """The overlap that sets of na and nb shingles need."""
+    return F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - 1e-9)
+
+
 def _possible(percent: int) -> Column:
     """Whether bitmaps xa and xb (of one width) of sets of na and nb shingles allow the overlap that they need."""
     differ = F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - 1e-9)
-    return differ <= F.col("na") + F.col("nb") - 2 * need
+    return differ <= F.col("na") + F.col("nb") - 2 * _need(percent)
 
 
 def _search(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -300,6 +306,26 @@ def _search(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _labelled(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """Lists (s, sid, n, i: place of s in the order of the set) that hold more than one component, with the component c, and `before`: up to BEFORE such shingles of the set ahead of s."""
+    w = W.partitionBy("s")
+    rows = shared.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("s", "sid", "n", "i", F.coalesce("component", "sid").alias("c"))
+    rows = rows.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).filter("lo <> hi").select("s", "sid", "n", "i", "c")
+    return rows.withColumn("before", F.collect_list("s").over(W.partitionBy("sid").orderBy("i").rowsBetween(-BEFORE, -1)))
+
+
+def _met(labelled: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in a list that are of different components and may link. The first shingle that both sets have bounds what they share by what follows
+    it in each; a list is skipped for a pair if one of the shingles just before is common too, since the pair has met there. Its first list is never skipped."""
+    x = labelled.select("s", F.col("sid").alias("a"), F.col("n").alias("nb"), F.col("c").alias("ca"), F.col("i").alias("ia"), F.col("before").alias("ea"), F.col("bits").alias("xa"))
+    y = labelled.select("s", F.col("sid").alias("b"), F.col("n").alias("na"), F.col("c").alias("cb"), F.col("i").alias("ib"), F.col("before").alias("eb"), F.col("bits").alias("xb"))
+    later = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("b") < F.col("a"))
+    near = F.col("na") * 100 >= F.col("nb") * percent
+    follow = F.least(F.col("nb") - F.col("ia"), F.col("na") - F.col("ib")) >= _need(percent)
+    on = (x["s"] == y["s"]) & (F.col("ca") != F.col("cb")) & later & near & follow & ~F.arrays_overlap("ea", "eb") & _possible(percent)
+    return x.join(y, on).select("a", "b")
+
+
 def ngram_components(docs: DataFrame, k: int = K, percent: int = PERCENT, sketch_size: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id, fp (equal for equal sets) for every row of docs (doc_id, text)."""
     return stored_alone(docs.sparkSession, lambda: _components(docs.select("doc_id", "text"), k, percent, sketch_size), "components")
@@ -311,8 +337,8 @@ def _components(docs: DataFrame, k: int, percent: int, sketch_size: int) -> Data
     # of equal sets one stands for all: the combiner keeps one row of a set in each task
     classes = read.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("key", "n", "prefix", "bits", "wide")])
     classes = stored(classes.withColumn("sid", F.monotonically_increasing_id()), "classes")
-    lists = classes.select("sid", "n", F.explode("prefix").alias("s"))
-    shared = stored(lists.withColumn("c", F.count("*").over(W.partitionBy("s"))).filter("c > 1").select("s", "sid", "n"), "lists")
+    lists = classes.select("sid", "n", F.posexplode("prefix").alias("i", "s"))
+    shared = stored(lists.withColumn("c", F.count("*").over(W.partitionBy("s"))).filter("c > 1").select("s", "sid", "n", "i"), "lists")
     near = F.col("na") * 100 >= F.col("nb") * percent
     w = W.partitionBy("s").orderBy("n", "sid")
     chain = shared.select(F.lag("sid").over(w).alias("b"), F.lag("n").over(w).alias("na"), F.col("sid").alias("a"), F.col("n").alias("nb")).filter("b IS NOT NULL").filter(near)
@@ -321,14 +347,8 @@ def _components(docs: DataFrame, k: int, percent: int, sketch_size: int) -> Data
     chain = stored(chain.select("a", "b"), "chain")
     first = stored_alone(spark, lambda: _search(chain, classes, docs, k, percent), "links")
     parts = stored_alone(spark, lambda: connected_components(first), "parts")
-    labelled = shared.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("s", "sid", "n", F.coalesce("component", "sid").alias("c"))
-    apart = W.partitionBy("s")
-    labelled = labelled.withColumn("lo", F.min("c").over(apart)).withColumn("hi", F.max("c").over(apart)).filter("lo <> hi").select("s", "sid", "n", "c")
-    labelled = stored(labelled.join(bits, "sid"), "lists")
-    x = labelled.select("s", F.col("sid").alias("a"), F.col("n").alias("nb"), F.col("c").alias("ca"), F.col("bits").alias("xa"))
-    y = labelled.select("s", F.col("sid").alias("b"), F.col("n").alias("na"), F.col("c").alias("cb"), F.col("bits").alias("xb"))
-    later = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("b") < F.col("a"))
-    rest = x.join(y, (x["s"] == y["s"]) & (F.col("ca") != F.col("cb")) & later & near & _possible(percent)).select("a", "b").distinct().join(chain, ["a", "b"], "left_anti")
+    labelled = stored(_labelled(shared, parts).join(bits, "sid"), "lists")
+    rest = _met(labelled, percent).distinct().join(chain, ["a", "b"], "left_anti")
     edges = stored_alone(spark, lambda: first.unionByName(_search(rest, classes, docs, k, percent)), "links")
     parts = stored_alone(spark, lambda: connected_components(edges), "parts")
     named = classes.select("sid", "fp", "least").join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("fp", "least", F.coalesce("component", "sid").alias("c"))

@@ -100,3 +100,38 @@ def test_op2_lists_in_any_number_of_passes(spark, monkeypatch):
         monkeypatch.setattr(op2, "PASSES", passes)
         found.append(sorted(tuple(r) for r in op2.line_dedup(df).collect()))
     assert found[0] == found[1] and any(r[2] for r in found[0])
+
+
+def test_op5_a_pair_meets_once(spark, monkeypatch):
+    """Sets near the threshold share many rare shingles; the join must not give a row for each of them."""
+    from docspark.llm import op5_ngram_join as op5
+
+    rng, rows = random.Random(11), []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(300)]
+        for j in range(30):
+            words = list(base)
+            for at in rng.sample(range(300), rng.randint(3, 8)):
+                words[at] = f"x{family}_{j}_{at}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, met = [], op5._met
+
+    def counted(labelled, percent):
+        out = met(labelled, percent)
+        seen.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(op5, "_met", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op5.ngram_components(df).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    names = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) and names[a] != names[b]:
+                low, high = sorted((names[a], names[b]))
+                names = [low if n == high else n for n in names]
+    assert got == {i: (len(sets[i]), names[i]) for i in range(len(rows))}
+    assert len(set(names)) > 3
+    [(made, distinct)] = seen
+    assert 0 < distinct <= made <= 3 * distinct
