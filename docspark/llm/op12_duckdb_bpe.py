@@ -12,7 +12,7 @@ or later whatever happens elsewhere, for that would have to grow into one token
 matches contracts all such pairs (of overlapping equals, as in aaaa, every other one from the left). Matches longer than BLOCK
 bytes are merged in blocks, each with the lookahead that settles its tokens (see op10).
 
-Results of short matches are kept in a memo of bounded size; a query has at most ROWS octets, or one block. Decoding joins ids
+Results of short matches are kept in a memo of bounded size: a slot for each, whose ids stand in one array; a text's ids are gathered from it. A query has at most ROWS octets, or one block. Decoding joins ids
 with the table of tokens and aggregates their bytes in order of position, at most IDS ids a query. No query spills, for DuckDB
 has no folder of its own: memory is that of a batch. No shuffle; the rank file's two tables are broadcast, their size is the
 vocabulary's. In a file that isn't proper a long match is merged whole, with all its rounds in memory.
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -128,8 +128,9 @@ class Database:
 
         self.ranks, self.pieces, self.latin = ranks, regex.compile(ranks.pattern), ranks.pattern == default_pattern()
         self.whole = {t: i for i, t in ranks.tokens.items()}
+        self.is_id = np.isin(np.arange(max(ranks.tokens) + 1), list(ranks.tokens))
         self.of_byte = np.array([self.whole[bytes([b])] for b in range(256)], np.int32)
-        self.memo: dict[str, list[int]] = {}
+        self._forget()
         self.con = duckdb.connect(":memory:", config={"threads": 1, "temp_directory": ""})
         a, b, made = ranks.merges.T
         self._table("merges", a=a, b=b, made=made)
@@ -142,8 +143,18 @@ class Database:
         rows = pa.table(columns)  # noqa: F841  the query finds it by its name
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
 
-    def _merged(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of words, all of them short or all long, by one recursive query."""
+    def _forget(self) -> None:
+        """An empty memo: memo has each match's slot, whose ids are pool[begin[slot] : begin[slot + 1]]."""
+        self.memo: dict[str, int] = {}
+        self.pool, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _keep(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.memo.update(zip(words, range(len(self.begin) - 1, len(self.begin) - 1 + len(words)), strict=True))
+        self.pool = np.concatenate([self.pool, ids])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the words has, all of them short or all long, and the ids, by one recursive query."""
         sizes = np.array([len(w) for w in words])
         ends = np.cumsum(sizes)
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
@@ -151,52 +162,69 @@ class Database:
         after[ends - 1] = -1
         of, n = np.repeat(np.arange(len(words), dtype=np.int32), sizes), np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
         octets = pa.table({"word": of, "n": n.astype(np.int32), "id": ids, "after": after})  # noqa: F841  the query finds it by its name
-        return self.con.sql(self.long_sql if self.ranks.proper and len(words[0]) > SHORT else ENCODE).to_arrow_table()["ids"].to_pylist()
+        lists = self.con.sql(self.long_sql if self.ranks.proper and len(words[0]) > SHORT else ENCODE).to_arrow_table()["ids"].combine_chunks()
+        return pa.compute.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
 
-    def _long(self, word: bytes) -> list[int]:
+    def _long(self, word: bytes) -> np.ndarray:
         """The ids of a word of any length, block by block."""
-        out: list[int] = []
+        out: list[np.ndarray] = []
         while len(word) > BLOCK + self.lookahead:
-            used = 0
-            for i in self._merged([word[: BLOCK + self.lookahead]])[0]:
-                if used + len(self.ranks.tokens[i]) > BLOCK:
-                    break
-                used += len(self.ranks.tokens[i])
-                out.append(i)
-            word = word[used:]
-        return out + self._merged([word])[0]
+            ids = self._merged([word[: BLOCK + self.lookahead]])[1]
+            ends = np.cumsum([len(self.ranks.tokens[i]) for i in ids.tolist()])
+            settled = int(np.searchsorted(ends, BLOCK, "right"))
+            out.append(ids[:settled])
+            word = word[ends[settled - 1] :]
+        return np.concatenate([*out, self._merged([word])[1]])
 
     def words_of(self, text: str) -> list[str]:
         return (LATIN if self.latin and not NOT_LATIN.search(text) else self.pieces).findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.memo) > CACHE:
-            self.memo.clear()
+            self._forget()
         split = [self.words_of(t) for t in texts]
-        own: dict[str, list[int]] = {}  # long matches aren't kept
-        queue: list[tuple[str, bytes]] = []
-        size = 0
-        new = [(w, w.encode()) for w in set(chain.from_iterable(split)) - self.memo.keys()]
-        for w, data in sorted(new, key=lambda x: len(x[1])):  # words of a query need like numbers of rounds
-            if (i := self.whole.get(data)) is not None:
-                self.memo[w] = [i]
-            elif self.ranks.proper and len(data) > SHORT:
-                own[w] = self._long(data)
-            else:
-                queue.append((w, data))
-                size += len(data)
-                if size >= ROWS:
-                    self._drain(queue, own)
-                    size = 0
-        self._drain(queue, own)
-        known = {**self.memo, **own}.__getitem__ if own else self.memo.__getitem__
-        return [np.fromiter(chain.from_iterable(map(known, words)), np.int32) for words in split]
-
-    def _drain(self, queue: list[tuple[str, bytes]], own: dict[str, list[int]]) -> None:
-        if queue:
-            for (w, data), ids in zip(queue, self._merged([d for _, d in queue]), strict=True):
-                (self.memo if len(data) <= SHORT else own)[w] = ids
-            queue.clear()
+        words = list(chain.from_iterable(split))
+        slots = self._slots(words)
+        new = np.flatnonzero(slots < 0)
+        long = self._learn({words[i] for i in new.tolist()})
+        slots[new] = self._slots([words[i] for i in new.tolist()])
+        sizes = np.diff(self.begin)[slots]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.begin[slots] - (ends - sizes), sizes) + np.arange(len(slots) and ends[-1])]
+        if long:  # long matches aren't kept; they have the last slots
+            for w in long:
+                del self.memo[w]
+            self.begin = self.begin[: len(self.memo) + 1]
+            self.pool = self.pool[: self.begin[-1]]
+        at = np.append(0, ends)[np.cumsum([0, *map(len, split)])]
+        return [ids[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+
+    def _learn(self, new: set[str]) -> list[str]:
+        """Put matches into the memo, the long ones that are no tokens last; these are returned."""
+        coded = [(w, w.encode()) for w in new]
+        known = [(w, i) for w, data in coded if (i := self.whole.get(data)) is not None]
+        self._keep([w for w, _ in known], np.ones(len(known), np.int64), np.array([i for _, i in known], np.int32))
+        rest = sorted((x for x in coded if x[0] not in self.memo), key=lambda x: len(x[1]))  # words of a query need like numbers of rounds
+        long = [x for x in rest if len(x[1]) > SHORT]
+        self._drain(rest[: len(rest) - len(long)])
+        if self.ranks.proper:
+            for w, data in long:
+                ids = self._long(data)
+                self._keep([w], np.array([len(ids)]), ids)
+        else:
+            self._drain(long)
+        return [w for w, _ in long]
+
+    def _drain(self, queue: list[tuple[str, bytes]]) -> None:
+        start = size = 0
+        for i, (_, data) in enumerate(queue, 1):
+            size += len(data)
+            if size >= ROWS or i == len(queue):
+                self._keep([w for w, _ in queue[start:i]], *self._merged([d for _, d in queue[start:i]]))
+                start, size = i, 0
 
     def decode(self, lists: list[np.ndarray]) -> list[bytes]:
         out = [[] for _ in lists]
@@ -205,7 +233,7 @@ class Database:
         for at in range(0, len(ids), IDS):
             step = slice(at, at + IDS)
             coded = pa.table({"part": of[step], "pos": np.arange(len(ids[step]), dtype=np.int32), "id": ids[step]})
-            if set(np.unique(ids[step]).tolist()) - self.ranks.tokens.keys():
+            if ids[step].min() < 0 or ids[step].max() >= len(self.is_id) or not self.is_id[ids[step]].all():
                 raise ValueError("an id is not in the vocabulary")
             for part, data in zip(*self.con.sql(DECODE).to_arrow_table().to_pydict().values(), strict=True):
                 out[part].append(data)

@@ -135,3 +135,25 @@ def test_op5_a_pair_meets_once(spark, monkeypatch):
     assert len(set(names)) > 3
     [(made, distinct)] = seen
     assert 0 < distinct <= made <= 3 * distinct
+
+
+def test_op12_memo_holds_slots_of_short_matches(monkeypatch):
+    """Ids are gathered from arrays, not from a list object for each match; long matches leave nothing behind, and a memo that is full starts again."""
+    import tiktoken
+
+    from docspark.llm import op12_duckdb_bpe as op12
+
+    monkeypatch.setattr(op12, "CACHE", 60)
+    with open(op12.default_ranks(), "rb") as f:
+        database = op12.Database(op12.ranks_of(f.read(), op12.default_pattern()))
+    library = tiktoken.Encoding("test", pat_str=op12.default_pattern(), mergeable_ranks={b: i for i, b in database.ranks.tokens.items()}, special_tokens={})
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcxyzéß", k=n))
+    for _ in range(6):
+        texts = ["", " ", *[" ".join(word(rng.choice([1, 3, 9, 20, 200])) for _ in range(rng.randint(0, 12))) for _ in range(8)], word(5000)]
+        ids = database.encode(texts)
+        assert [x.tolist() for x in ids] == [library.encode_ordinary(t) for t in texts]
+        assert database.decode(ids) == [t.encode() for t in texts]
+        assert all(isinstance(slot, int) and len(w.encode()) <= op12.SHORT for w, slot in database.memo.items())
+        assert sorted(database.memo.values()) == list(range(len(database.begin) - 1)) and database.begin[-1] == len(database.pool)
+    assert database.encode([]) == []
