@@ -10,10 +10,10 @@ sets only, so they go no further. Pairs that meet in a word pass the length filt
 follow in both sets), and a lossless bound on parity bitmaps (64 bits, 128 above HALF words, 256 above WIDE); what is left
 is verified on the words themselves.
 
-Families of many similar lines must not become all their pairs: first each set meets only the earliest sets of its size band
-in lists at PROBES, LEADERS of each, which settles nearly all members of a family. Then one join of the lists with themselves pairs sets that are
-not settled with all others; both of its sides read one shuffle. Both rounds take the lists in PASSES parts, one after the other, so
-that the lists of one part only lie on disk at a time; tables of a round are deleted when it is done.
+Families of many similar lines must not become all their pairs: first each set meets only the NEAR sets before it in lists at PROBES, each of one
+size band and part, in the order of the word beside the list's own, then of documents: members of a family stand side by side there, and all but the first of them are settled. Then one join
+of the lists with themselves pairs sets that are not settled with all others; both of its sides read one shuffle. It takes the lists in PASSES parts,
+one after the other, so that the lists of one part only lie on disk at a time; tables of a round are deleted when it is done.
 
 Rarity needs no shuffle of words: counts by hash bucket, combined in each map task, fill a table of fixed size. It only
 steers the order, any order gives the same result. Sets are named by 128 bits over 56-bit hashes of their words.
@@ -30,7 +30,7 @@ from collections.abc import Callable
 from functools import reduce
 from math import log2
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import documents, fresh, stored, stored_alone, text_of
@@ -40,12 +40,12 @@ PERCENT = 80
 #: Buckets of the rarity table.
 TABLE = 1 << 18
 #: Places of a set's prefix whose lists the first round looks at, as a share of its end and so many before (words that a copy adds are rare and come first, so
-#: families meet at the end); how far sizes in one of its bands differ; parts of a list that have a leader each.
-PROBES, BAND, LEADERS = ((1.0, 0), (1.0, 1), (1.0, 2), (0.75, 0), (0.5, 0), (0.0, 0)), 1.25, 16
+#: families meet at the end); how far sizes in one of its bands differ; parts of a list, dealt by set and place, so that no list is one task's; sets that each set meets there.
+PROBES, BAND, PARTS, NEAR = ((1.0, 0), (1.0, 1), (1.0, 2), (0.75, 0), (0.5, 0), (0.0, 0)), 1.25, 8, 2
 #: Parts of the lists, by word, that are joined one after the other.
-PASSES = 3
+PASSES = 2
 #: Sets of more words carry bitmaps of 128 and of 256 bits.
-HALF, WIDE = 32, 160
+HALF, WIDE = 64, 160
 BITMAPS = ("b", "b1", "b2", "b3")
 ODD = r"[\t\x0B\f\r]"
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -69,8 +69,8 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _rarity(rows: DataFrame) -> list[int]:
-    """By bucket of a word's hash, 4 log2 of the number of its words over all texts; one scan, at most TABLE rows of two numbers to the driver."""
-    words = rows.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
+    """By bucket of a word's hash, 4 log2 of the number of texts that have its words, a text once for each; one scan, at most TABLE rows of two numbers to the driver."""
+    words = rows.select(F.explode(F.array_distinct(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " "))).alias("w")).filter("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(TABLE - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
     table = [0] * TABLE
     for b, n in zip(counts.column("b").to_pylist(), counts.column("n").to_pylist(), strict=True):
@@ -126,8 +126,8 @@ def _verify(pairs: DataFrame, first: DataFrame, lines: DataFrame, percent: int)
     words = stored(words.select("sid", "ord", F.array_distinct(line_words(_plain(F.col("line")))).alias("w")), "words")
     x = words.select(F.col("sid").alias("x"), F.col("ord").alias("xo"), F.col("w").alias("xw"))
     y = words.select(F.col("sid").alias("y"), F.col("ord").alias("yo"), F.col("w").alias("yw"))
-    common = F.size(F.array_intersect("xw", "yw"))
-    same = pairs.join(x, "x").join(y, "y").filter(common * 100 >= percent * (F.size("xw") + F.size("yw") - common))
+    # common words of 100 + percent make up percent of both sizes; written so that words are compared once
+    same = pairs.join(x, "x").join(y, "y").filter(F.size(F.array_intersect("xw", "yw")) * (100 + percent) >= percent * (F.size("xw") + F.size("yw")))
     return same.select(F.when(F.col("xo") < F.col("yo"), F.col("y")).otherwise(F.col("x")).alias("sid")).distinct()
 
 
@@ -141,21 +141,25 @@ def _postings(sets: DataFrame, *columns: Column) -> DataFrame:
     return sets.filter("prefix IS NOT NULL").select("sid", "n", *BITMAPS, *columns, F.posexplode("prefix").alias("i", "t"))
 
 
-def _leader_pairs(first: DataFrame, percent: int, part: Column) -> DataFrame:
-    """Pairs (x, y) of each set y and the earliest sets x of its list and size band, one for each of LEADERS parts, in lists of y at PROBES."""
+def _near_pairs(first: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of each set y and the NEAR sets x before it in lists of y at PROBES."""
     end = F.size("prefix") - 1
     probed = first.filter("prefix IS NOT NULL").withColumn("i", F.explode(F.array_distinct(F.array(*[F.greatest(F.floor(end * share).cast("int") - less, F.lit(0)) for share, less in PROBES]))))
-    probed = probed.select("sid", "ord", "n", *BITMAPS, "i", F.get("prefix", F.col("i")).alias("t"), F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int").alias("band")).filter(part)
-    leaders = probed.groupBy("t", "band", F.pmod(F.xxhash64("sid"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("ord", F.col("sid").alias("x"), *[F.col(c).alias(f"x{c}") for c in ("n", *BITMAPS, "i")])).alias("x")).select("t", "band", "x.*").drop("ord")
-    y = probed.select("t", "band", F.col("sid").alias("y"), *[F.col(c).alias(f"y{c}") for c in ("n", *BITMAPS, "i")])
-    return y.join(leaders, ["t", "band"]).filter((F.col("x") != F.col("y")) & _possible(percent, False)).select("x", "y").distinct()
+    beside = F.get("prefix", F.when(F.col("i") > 0, F.col("i") - 1).otherwise(1))
+    band, part = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int"), F.pmod(F.xxhash64("sid", "i"), F.lit(PARTS))
+    probed = probed.select(F.get("prefix", F.col("i")).alias("t"), band.alias("band"), part.alias("part"), beside.alias("beside"), F.col("ord.id").alias("o"), F.col("sid").alias("y"), *[F.col(c).alias(f"y{c}") for c in ("n", *BITMAPS, "i")])
+    order = Window.partitionBy("t", "band", "part").orderBy("beside", "o", "y")
+    x = F.struct(F.col("y").alias("x"), *[F.col(f"y{c}").alias(f"x{c}") for c in ("n", *BITMAPS, "i")])
+    near = probed.select("y", *[f"y{c}" for c in ("n", *BITMAPS, "i")], F.array(*[F.lag(x, k).over(order) for k in range(1, NEAR + 1)]).alias("near"))
+    return near.withColumn("x", F.explode("near")).select("y", *[f"y{c}" for c in ("n", *BITMAPS, "i")], "x.*").filter(_possible(percent, False)).select("x", "y").distinct()
 
 
 def _marked(first: DataFrame, settled: DataFrame) -> DataFrame:
     """sid, n (negative if the set is settled), BITMAPS, o (id of its document), prefix."""
+    first = first.filter("prefix IS NOT NULL").select("sid", "n", *BITMAPS, F.col("ord.id").alias("o"), "prefix")
     maybe = let_through(bit_filter(settled.select(F.col("sid").alias("key"))), F.col("sid"))
-    marked = first.filter(maybe).join(settled.withColumn("is", F.lit(True)), "sid", "left").withColumn("n", F.when(F.col("is"), -F.col("n")).otherwise(F.col("n"))).drop("is")
-    return marked.unionByName(first.filter(~maybe)).filter("prefix IS NOT NULL").select("sid", "n", *BITMAPS, F.col("ord.id").alias("o"), "prefix")
+    asked = first.filter(maybe).join(settled.withColumn("is", F.lit(True)), "sid", "left").withColumn("n", F.when(F.col("is"), -F.col("n")).otherwise(F.col("n"))).drop("is")
+    return stored(asked, "marked").unionByName(first.filter(~maybe))
 
 
 def _open_pairs(marked: DataFrame, percent: int, part: Column) -> DataFrame:
@@ -175,10 +179,10 @@ def removed_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = sets.groupBy("s1", "s2").agg(F.min(rank).alias("ord"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITMAPS], F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
     first = stored(first.withColumn("sid", F.monotonically_increasing_id()), "first")
     spark = rows.sparkSession
-    settled = stored_alone(spark, lambda: _verify(stored_alone(spark, lambda: _in_passes(lambda part: _leader_pairs(first, percent, part)), "pairs"), first, lines, percent), "settled")
+    settled = stored_alone(spark, lambda: _verify(stored_alone(spark, lambda: _near_pairs(first, percent), "pairs"), first, lines, percent), "settled")
 
     def open_pairs() -> DataFrame:
-        marked = stored(_marked(first, settled), "marked")
+        marked = _marked(first, settled)
         return _in_passes(lambda part: _open_pairs(marked, percent, part))
 
     rest = stored_alone(spark, lambda: _verify(stored_alone(spark, open_pairs, "pairs"), first, lines, percent), "rest")
@@ -205,7 +209,7 @@ def _repeats(table: DataFrame, row: str, number: str) -> tuple[DataFrame, DataFr
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text and more) with the lines removed, and columns removed_lines and total_lines (renamed if taken)."""
-    row, gone, total, number, key, name = fresh(docs, "_row", "removed_lines", "total_lines", "_number", "_key", "_name")
+    row, gone, total, number, key, name, parts = fresh(docs, "_row", "removed_lines", "total_lines", "_number", "_key", "_name", "_lines")
     table = docs.withColumn(row, F.xxhash64(F.col("text")))
 
     def by_document() -> DataFrame:
@@ -214,7 +218,7 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return per.withColumnsRenamed({"row": key, "doc_id": name})
 
     per = stored_alone(docs.sparkSession, by_document, "removed")
-    lines = F.split(F.col("text"), "\n")
+    lines = F.col(parts)  # a column of its own: written out, the text would be split again for each of its lines
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     count = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
@@ -223,9 +227,10 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # documents that surely lose nothing need not be shuffled
     maybe = let_through(bit_filter(per.select(F.col(key).alias("key"))), F.col(row))
     touched = once.filter(maybe).join(per, (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(name)), "left")
-    worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(HAS_WORD), i)), lambda i: i.isNotNull())
+    worded = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.when(x.rlike(HAS_WORD), i)), lambda i: i.isNotNull())
     later = later.withColumn(gone, F.when(F.size(worded) > 0, worded))
-    return touched.select(*result).unionByName(once.filter(~maybe).withColumn(gone, F.lit(None).cast("array<int>")).select(*result)).unionByName(later.select(*result))
+    branches = [touched, once.filter(~maybe).withColumn(gone, F.lit(None).cast("array<int>")), later]
+    return reduce(DataFrame.unionByName, [b.withColumn(parts, F.split(F.col("text"), "\n")).select(*result) for b in branches])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,43 @@ def test_op2_lists_in_any_number_of_passes(spark, monkeypatch):
     assert found[0] == found[1] and any(r[2] for r in found[0])
 
 
+def test_op2_splits_a_text_once(spark):
+    """The lines that stay were taken from a new split of the text for each of them."""
+    from docspark.llm.op2_line_dedup import line_dedup
+
+    lines = [f"line{i} a b c" for i in range(3000)]
+    df = spark.createDataFrame([(1, "\n".join([*lines, "line5 a b c"]), 0), (2, "line7 a b c\nother", 0), (3, None, 0)], "doc_id long, text string, _lines int")
+    out = line_dedup(df)
+    assert "get(split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {(1, "\n".join(lines), 0, 1, 3001), (2, "other", 0, 1, 2), (3, None, 0, 0, 0)}
+
+
+def test_op2_a_family_meets_its_neighbours(spark, monkeypatch):
+    """Each member of a family met LEADERS others in each of its lists; now NEAR, and few members are left for the join of the lists."""
+    from docspark.llm import op2_line_dedup as op2
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*rng.sample(base, 58), f"x{i}"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    near, opened, old_near, old_open = [], [], op2._near_pairs, op2._open_pairs
+
+    def counted(old, to):
+        def count(*args):
+            out = old(*args)
+            to.append(out.count())
+            return out
+
+        return count
+
+    monkeypatch.setattr(op2, "_near_pairs", counted(old_near, near))
+    monkeypatch.setattr(op2, "_open_pairs", counted(old_open, opened))
+    got = {r.doc_id: r.removed_lines for r in op2.line_dedup(df).collect()}
+    assert got == {i: int(i > 0) for i, _ in rows}
+    assert 399 <= near[0] <= op2.NEAR * len(op2.PROBES) * 400
+    assert sum(opened) < 20 * 400
+
+
 def test_op5_a_pair_meets_once(spark, monkeypatch):
     """Sets near the threshold share many rare shingles; the join must not give a row for each of them."""
     from docspark.llm import op5_ngram_join as op5
