@@ -11,11 +11,12 @@ follow in both sets), and a lossless bound on parity bitmaps (64 bits, 128 above
 is verified on the words themselves.
 
 Families of many similar lines must not become all their pairs: first each set meets only the NEAR sets before it in lists at PROBES, each of one
-size band and part, in the order of the word beside the list's own, then of documents: members of a family stand side by side there, and all but the first of them are settled. Then one join
+size band and part, in the order of the word beside the list's own, then of documents: members of a family stand side by side there, and all but the first of them are settled.
+Lists of LONG sets at most are left out of this: the join may pair all of theirs, LONG for a set and list at most. Then one join
 of the lists with themselves pairs sets that are not settled with all others; both of its sides read one shuffle. It takes the lists in PASSES parts,
 one after the other, so that the lists of one part only lie on disk at a time; tables of a round are deleted when it is done.
 
-Rarity needs no shuffle of words: counts by hash bucket, combined in each map task, fill a table of fixed size. It only
+Rarity needs no shuffle of words: counts of occurrences by hash bucket, combined in each map task, fill a table of fixed size. It only
 steers the order, any order gives the same result. Sets are named by 128 bits over 56-bit hashes of their words.
 
 Cases: a null text has no lines and stays null. Null ids come last; of rows with equal ids and different texts the order is that
@@ -42,18 +43,21 @@ TABLE = 1 << 18
 #: Places of a set's prefix whose lists the first round looks at, as a share of its end and so many before (words that a copy adds are rare and come first, so
 #: families meet at the end); how far sizes in one of its bands differ; parts of a list, dealt by set and place, so that no list is one task's; sets that each set meets there.
 PROBES, BAND, PARTS, NEAR = ((1.0, 0), (1.0, 1), (1.0, 2), (0.75, 0), (0.5, 0), (0.0, 0)), 1.25, 8, 2
+#: Lists of one size band with more sets than this are looked at in the first round.
+LONG = 32
 #: Parts of the lists, by word, that are joined one after the other.
 PASSES = 2
 #: Sets of more words carry bitmaps of 128 and of 256 bits.
 HALF, WIDE = 64, 160
 BITMAPS = ("b", "b1", "b2", "b3")
-ODD = r"[\t\x0B\f\r]"
+ODD = "\t\x0b\f\r"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _plain(text: Column) -> Column:
     """White space within lines as single characters of one kind, for splits without a pattern."""
-    return F.when(text.rlike(ODD), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    odd = reduce(lambda a, b: a | b, [text.contains(c) for c in ODD])
+    return F.when(odd, F.translate(text, ODD, " " * len(ODD))).otherwise(text)
 
 
 def line_words(line: Column) -> Column:
@@ -69,8 +73,8 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _rarity(rows: DataFrame) -> list[int]:
-    """By bucket of a word's hash, 4 log2 of the number of texts that have its words, a text once for each; one scan, at most TABLE rows of two numbers to the driver."""
-    words = rows.select(F.explode(F.array_distinct(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " "))).alias("w")).filter("w <> ''")
+    """By bucket of a word's hash, 4 log2 of how often its words occur in plain texts; one scan, at most TABLE rows of two numbers to the driver."""
+    words = rows.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(TABLE - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).toArrow()
     table = [0] * TABLE
     for b, n in zip(counts.column("b").to_pylist(), counts.column("n").to_pylist(), strict=True):
@@ -84,18 +88,19 @@ def min_size(percent: int) -> int:
 
 
 def _sets(lines: DataFrame, table: list[int], percent: int) -> DataFrame:
-    """row, doc_id, at, s1, s2 (name the set), n, BITMAPS, prefix (int keys of the rarest words, rarest first; null for short sets)."""
+    """Of plain lines: row, doc_id, at, s1, s2 (name the set), n, BITMAPS, prefix (int keys of the rarest words, rarest first; null for short sets)."""
     step = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to one array
     hashes = F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)))
+    one, mask = F.lit(1).cast("long"), F.lit(TABLE - 1)
     # the step of rarity before 56 bits of the hash: sorted, these give the order and the set
-    ordered = F.transform("h", lambda h: F.shiftleft(F.get(step, h.bitwiseAND(F.lit(TABLE - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
-    df = lines.filter(F.col("line").rlike(HAS_WORD)).withColumn("line", _plain(F.col("line"))).select("row", "doc_id", "at", hashes.alias("h")).select("row", "doc_id", "at", F.sort_array(ordered).alias("t"))
+    ordered = F.transform("h", lambda h: F.shiftleft(F.coalesce(step[h.bitwiseAND(mask)], F.lit(0).cast("long")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    df = lines.filter(F.ltrim("line") != "").select("row", "doc_id", "at", hashes.alias("h")).select("row", "doc_id", "at", F.sort_array(ordered).alias("t"))
     n = F.size("t")
-    at, up = (lambda x: F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int")), (lambda x, k: F.shiftright(x, k))
-    fold = lambda on: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", on(x), at(x))))
-    one = F.lit(1).cast("long")
-    # the parity of all words, of those whose hash has bit 26, bit 27, and both: 64, 128 and 256 bits that compare sets of any sizes
-    halves = [fold(lambda x: up(x, 26).bitwiseAND(one)), fold(lambda x: up(x, 27).bitwiseAND(one)), fold(lambda x: up(x, 26).bitwiseAND(up(x, 27)).bitwiseAND(one))]
+    # few steps a word: shiftleft takes the last six bits of the place itself
+    fold = lambda on: F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", on(x), F.hash(x))))
+    low = lambda x: x.bitwiseAND(one)
+    # the parity of all words, of those whose hash has bit 0, bit 1, and both: 64, 128 and 256 bits that compare sets of any sizes
+    halves = [fold(low), fold(lambda x: low(F.shiftright(x, 1))), fold(lambda x: low(F.shiftright(x, 1).bitwiseAND(x)))]
     bitmaps = [fold(lambda x: one).alias("b"), *[F.when(n > most, h).alias(b) for h, b, most in zip(halves, BITMAPS[1:], (HALF, WIDE, WIDE), strict=True)]]
     prefix = F.transform(F.slice("t", 1, (n + F.floor(-percent * n / 100) + 1).cast("int")), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     return df.select("row", "doc_id", "at", F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), "t").alias("s2"), n.alias("n"), *bitmaps, F.when(n >= min_size(percent), prefix).alias("prefix"))
@@ -115,15 +120,16 @@ def _possible(percent: int, first: bool) -> Column:
     return length & (ahead >= _need(percent)) & (differ <= F.col("xn") + F.col("yn") - 2 * _need(percent))
 
 
-def _verify(pairs: DataFrame, first: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """sid of the later set of each pair (x, y) that is similar, by the words of a line that has the set."""
+def _verify(pairs: DataFrame, first: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """sid of the later set of each pair (x, y) that is similar, by the words of a line that has the set; only texts that have such a line are split."""
     nodes = stored(pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), "nodes")
     asked = first.filter(let_through(bit_filter(nodes.select(F.col("sid").alias("key"))), F.col("sid"))).select("sid", "ord")
     place = stored(asked.join(nodes, "sid", "left_semi").withColumn("key", F.xxhash64("ord.row", "ord.at")), "places")
-    found = lines.withColumn("key", F.xxhash64("row", "at")).filter(let_through(bit_filter(place.select("key")), F.col("key")))
+    asked_rows = rows.filter(let_through(bit_filter(place.select(F.col("ord.row").alias("key"))), F.col("row")))
+    found = _lines(asked_rows).withColumn("key", F.xxhash64("row", "at")).filter(let_through(bit_filter(place.select("key")), F.col("key")))
     same_place = (place["key"] == found["key"]) & (F.col("ord.row") == found["row"]) & (F.col("ord.at") == found["at"]) & F.col("ord.id").eqNullSafe(found["doc_id"])
     words = found.join(place, same_place).groupBy("sid").agg(F.first("ord").alias("ord"), F.first("line").alias("line"))
-    words = stored(words.select("sid", "ord", F.array_distinct(line_words(_plain(F.col("line")))).alias("w")), "words")
+    words = stored(words.select("sid", "ord", F.array_distinct(line_words(F.col("line"))).alias("w")), "words")
     x = words.select(F.col("sid").alias("x"), F.col("ord").alias("xo"), F.col("w").alias("xw"))
     y = words.select(F.col("sid").alias("y"), F.col("ord").alias("yo"), F.col("w").alias("yw"))
     # common words of 100 + percent make up percent of both sizes; written so that words are compared once
@@ -142,12 +148,13 @@ def _postings(sets: DataFrame, *columns: Column) -> DataFrame:
 
 
 def _near_pairs(first: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of each set y and the NEAR sets x before it in lists of y at PROBES."""
+    """Pairs (x, y) of each set y and the NEAR sets x before it in lists of y at PROBES with more than LONG sets of a band."""
     end = F.size("prefix") - 1
     probed = first.filter("prefix IS NOT NULL").withColumn("i", F.explode(F.array_distinct(F.array(*[F.greatest(F.floor(end * share).cast("int") - less, F.lit(0)) for share, less in PROBES]))))
-    beside = F.get("prefix", F.when(F.col("i") > 0, F.col("i") - 1).otherwise(1))
-    band, part = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int"), F.pmod(F.xxhash64("sid", "i"), F.lit(PARTS))
-    probed = probed.select(F.get("prefix", F.col("i")).alias("t"), band.alias("band"), part.alias("part"), beside.alias("beside"), F.col("ord.id").alias("o"), F.col("sid").alias("y"), *[F.col(c).alias(f"y{c}") for c in ("n", *BITMAPS, "i")])
+    probed = probed.withColumns({"t": F.get("prefix", F.col("i")), "band": F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int")}).withColumn("key", F.xxhash64("t", "band"))
+    probed = probed.filter(let_through(bit_filter(probed.groupBy("key").count().filter(F.col("count") > LONG)), F.col("key")))
+    beside, part = F.get("prefix", F.when(F.col("i") > 0, F.col("i") - 1).otherwise(1)), F.pmod(F.xxhash64("sid", "i"), F.lit(PARTS))
+    probed = probed.select("t", "band", part.alias("part"), beside.alias("beside"), F.col("ord.id").alias("o"), F.col("sid").alias("y"), *[F.col(c).alias(f"y{c}") for c in ("n", *BITMAPS, "i")])
     order = Window.partitionBy("t", "band", "part").orderBy("beside", "o", "y")
     x = F.struct(F.col("y").alias("x"), *[F.col(f"y{c}").alias(f"x{c}") for c in ("n", *BITMAPS, "i")])
     near = probed.select("y", *[f"y{c}" for c in ("n", *BITMAPS, "i")], F.array(*[F.lag(x, k).over(order) for k in range(1, NEAR + 1)]).alias("near"))
@@ -163,29 +170,30 @@ def _marked(first: DataFrame, settled: DataFrame) -> DataFrame:
 
 
 def _open_pairs(marked: DataFrame, percent: int, part: Column) -> DataFrame:
-    """Pairs (x, y) in a list of which y is not settled and x does not belong to a later document. The condition needs both sides' marks, so both read one shuffle of the lists."""
+    """Pairs (x, y) in a list, each once, of which the one of the later document (of one document: one of both) is not settled. The condition needs both sides' marks, so both read one shuffle of the lists."""
     lists = _postings(marked, F.col("o")).filter(part)
     side = lambda p: lists.select("t", F.abs("n").alias(f"{p}n"), F.col("n").alias(f"{p}m"), F.col("sid").alias(p), *[F.col(c).alias(f"{p}{c}") for c in ("o", *BITMAPS, "i")])
-    before = (F.col("xo") <= F.when(F.col("ym") > 0, F.col("yo"))) | (F.col("yo").isNull() & (F.col("ym") > F.abs("xm") * 0))
-    return side("x").join(side("y"), "t").filter((F.col("x") != F.col("y")) & before & _possible(percent, True)).select("x", "y").distinct()
+    up_to = lambda a, b: F.coalesce(F.col(a) <= F.col(b), F.col(b).isNull())
+    unsettled = ((F.col("ym") > 0) & up_to("xo", "yo")) | ((F.col("xm") > 0) & up_to("yo", "xo"))
+    return side("x").join(side("y"), "t").filter((F.col("x") < F.col("y")) & _possible(percent, True) & unsettled).select("x", "y").distinct()
 
 
 def removed_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """row, doc_id, at: the lines of rows (row, doc_id, text) to remove."""
-    lines = _lines(rows)
-    sets = stored(_sets(lines, _rarity(rows), percent), "sets")
+    rows = rows.withColumn("text", _plain(F.col("text")))
+    sets = stored(_sets(_lines(rows), _rarity(rows), percent), "sets")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"), F.col("at").alias("at"))
     # of equal sets the first line stands for all; the combiner keeps one row of a set in each task
     first = sets.groupBy("s1", "s2").agg(F.min(rank).alias("ord"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITMAPS], F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
     first = stored(first.withColumn("sid", F.monotonically_increasing_id()), "first")
     spark = rows.sparkSession
-    settled = stored_alone(spark, lambda: _verify(stored_alone(spark, lambda: _near_pairs(first, percent), "pairs"), first, lines, percent), "settled")
+    settled = stored_alone(spark, lambda: _verify(stored_alone(spark, lambda: _near_pairs(first, percent), "pairs"), first, rows, percent), "settled")
 
     def open_pairs() -> DataFrame:
         marked = _marked(first, settled)
         return _in_passes(lambda part: _open_pairs(marked, percent, part))
 
-    rest = stored_alone(spark, lambda: _verify(stored_alone(spark, open_pairs, "pairs"), first, lines, percent), "rest")
+    rest = stored_alone(spark, lambda: _verify(stored_alone(spark, open_pairs, "pairs"), first, rows, percent), "rest")
     similar = stored(settled.unionByName(rest).distinct().withColumn("similar", F.lit(True)), "similar")
     fate = first.select("sid", "s1", "s2", "ord", "copies").join(similar, "sid", "left").filter("similar OR copies > 1").select("s1", "s2", "ord", F.coalesce("similar", F.lit(False)).alias("similar"))
     own = sets.select("row", "doc_id", "at", "s1", "s2").join(fate, ["s1", "s2"])
@@ -222,15 +230,16 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     count = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
-    result = [*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], count.alias(gone), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(total)]
+    all_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    numbers = [count.alias(gone), F.coalesce(all_lines, F.lit(0)).cast("long").alias(total)]
+    result = [*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *numbers]
     once, later = _repeats(table, row, number)
     # documents that surely lose nothing need not be shuffled
     maybe = let_through(bit_filter(per.select(F.col(key).alias("key"))), F.col(row))
     touched = once.filter(maybe).join(per, (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(name)), "left")
     worded = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.when(x.rlike(HAS_WORD), i)), lambda i: i.isNotNull())
-    later = later.withColumn(gone, F.when(F.size(worded) > 0, worded))
-    branches = [touched, once.filter(~maybe).withColumn(gone, F.lit(None).cast("array<int>")), later]
-    return reduce(DataFrame.unionByName, [b.withColumn(parts, F.split(F.col("text"), "\n")).select(*result) for b in branches])
+    changed = touched.unionByName(later.withColumn(gone, F.when(F.size(worded) > 0, worded)), allowMissingColumns=True).withColumn(parts, F.split(F.col("text"), "\n")).select(*result)
+    return changed.unionByName(once.filter(~maybe).withColumn(gone, F.lit(None).cast("array<int>")).select(*docs.columns, *numbers))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

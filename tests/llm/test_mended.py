@@ -113,6 +113,32 @@ def test_op2_splits_a_text_once(spark):
     assert {tuple(r) for r in out.collect()} == {(1, "\n".join(lines), 0, 1, 3001), (2, "other", 0, 1, 2), (3, None, 0, 0, 0)}
 
 
+def test_op2_short_lists_go_to_the_join_at_once(spark, monkeypatch):
+    """Sets of lists with LONG sets at most met their neighbours, too, which the join pairs anyway; the join gives each pair once."""
+    from docspark.llm import op2_line_dedup as op2
+
+    base = [[f"w{j}x{i}" for i in range(12)] for j in range(30)]
+    rows = [(4 * j + k, " ".join([*words, f"n{k}"])) for j, words in enumerate(base) for k in range(4)]
+    df = spark.createDataFrame([*rows, (None, " ".join([*base[0], "late"])), (200, " ".join([*base[0], "later"]))], "doc_id long, text string").repartition(3)
+    near, opened, old_near, old_open = [], [], op2._near_pairs, op2._open_pairs
+
+    def noted(old, to):
+        def note(*args):
+            out = old(*args)
+            to.append([tuple(r) for r in out.collect()])
+            return out
+
+        return note
+
+    monkeypatch.setattr(op2, "_near_pairs", noted(old_near, near))
+    monkeypatch.setattr(op2, "_open_pairs", noted(old_open, opened))
+    got = {r.doc_id: r.removed_lines for r in op2.line_dedup(df).collect()}
+    assert got == {i: int(i % 4 > 0) for i, _ in rows} | {None: 1, 200: 1}
+    assert near == [[]]
+    pairs = {p for found in opened for p in found}
+    assert all(x < y for x, y in pairs) and len(pairs) == 29 * 6 + 15
+
+
 def test_op2_a_family_meets_its_neighbours(spark, monkeypatch):
     """Each member of a family met LEADERS others in each of its lists; now NEAR, and few members are left for the join of the lists."""
     from docspark.llm import op2_line_dedup as op2
