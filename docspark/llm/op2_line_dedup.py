@@ -12,7 +12,7 @@ is verified on the words themselves.
 
 Families of many similar lines must not become all their pairs: first each set meets only the NEAR sets before it in lists at PROBES, each of one
 size band and part, in the order of the word beside the list's own, then of documents: members of a family stand side by side there, and all but the first of them are settled.
-Lists of LONG sets at most are left out of this: the join may pair all of theirs, LONG for a set and list at most. Then one join
+Lists that LONG sets of a band at most look at are left out of this: the join pairs what is similar in them, and costs less there. Then one join
 of the lists with themselves pairs sets that are not settled with all others; both of its sides read one shuffle. It takes the lists in PASSES parts,
 one after the other, so that the lists of one part only lie on disk at a time; tables of a round are deleted when it is done.
 
@@ -43,7 +43,7 @@ TABLE = 1 << 18
 #: Places of a set's prefix whose lists the first round looks at, as a share of its end and so many before (words that a copy adds are rare and come first, so
 #: families meet at the end); how far sizes in one of its bands differ; parts of a list, dealt by set and place, so that no list is one task's; sets that each set meets there.
 PROBES, BAND, PARTS, NEAR = ((1.0, 0), (1.0, 1), (1.0, 2), (0.75, 0), (0.5, 0), (0.0, 0)), 1.25, 8, 2
-#: Lists of one size band with more sets than this are looked at in the first round.
+#: Lists at which more sets of one size band than this look are looked at in the first round.
 LONG = 32
 #: Parts of the lists, by word, that are joined one after the other.
 PASSES = 2
