@@ -80,11 +80,15 @@ def is_date_like(raw: Column) -> Column:
     return F.coalesce(date(raw).isNotNull() | partial, F.lit(False))
 
 
+#: Letters and digits in one piece, with a letter that does not name a telephone: its digits are a code's, also if they are as many as a telephone's.
+CODE = r"(?i)^(?!tel|phone|fax|mob|cell|call)(?=[^A-Z]*[A-Z])(?=[^0-9]*[0-9])[A-Z0-9]+(?:[-/][A-Z0-9]+)*$"
+
+
 def invoice_number(raw: Column, strict_compat: bool = False) -> Column:
-    """The string without OCR marks if it has 2 to 40 signs, a letter or digit among them, and is neither a phone number nor a date; with strict_compat, nor date-like, so that short numbers are rejected."""
+    """The string without OCR marks if it has 2 to 40 signs, a letter or digit among them, and is neither a phone number (a code with letters is none) nor a date; with strict_compat, nor date-like, so that short numbers are rejected, and a code of 10 or 11 digits is a phone number."""
     x = without_ocr_marks(raw)
-    other = ~is_date_like(raw) if strict_compat else date(x).isNull()
-    return F.when(F.length(x).between(2, 40) & x.rlike("[A-Za-z0-9]") & ~is_phone(x) & other, x)
+    other = ~is_phone(x) & ~is_date_like(raw) if strict_compat else (x.rlike(CODE) | ~is_phone(x)) & date(x).isNull()
+    return F.when(F.length(x).between(2, 40) & x.rlike("[A-Za-z0-9]") & other, x)
 
 
 def name(raw: Column) -> Column:

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from docspark.operators import corrections as C
 from docspark.operators import layout as L
 from docspark.operators import rules as R
@@ -34,6 +35,32 @@ def test_pages(spark):
     assert (r["invoice_date"], r["due_date"], r["due_date_inferred"]) == ("2024-02-03", "2024-02-03", False)
 
 
+def test_codes_with_as_many_digits_as_a_telephone(spark):
+    from docspark.functions import fields as V
+
+    cases = {"INV/2024-100003": True, "INV/2024-1234567": True, "A1234567890": True, "2024-100003": False, "5550100001": False, "(555) 010-0001": False, "Tel-555-010-0001": False, "Phone 555 010 0001": False}
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    got = {r.c: (r.n is not None, r.s is not None) for r in df.select("c", V.invoice_number(F.col("c")).alias("n"), V.invoice_number(F.col("c"), strict_compat=True).alias("s")).collect()}
+    assert got == {c: (ok, False) for c, ok in cases.items()}
+
+
+@pytest.mark.parametrize("name", ["x07_rule_fields", "x24_rule_batch"])
+def test_queries_on_large_keys(spark, tmp_path, name):
+    import duckdb
+    from docspark.plans import rules as P
+
+    orders = spark.range(99_990, 100_020).unionByName(spark.range(8_999_980, 9_000_000)).select(F.col("id").alias("o_orderkey"), F.timestamp_seconds(F.col("id") * 86400 % 900_000_000).alias("o_orderdate"), (1001.0 + F.col("id") % 400_000).alias("o_totalprice"), F.lit("4-NOT SPECIFIED").alias("o_orderpriority"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(3).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in ("orders", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got, cur = P.QUERIES[name](spark, str(tmp_path)), con.execute(P.ORACLES[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(cur.fetchall(), key=repr)
+
+
 def test_null_and_empty_lines_and_documents_without_lines(spark):
     rows = [("a", 0, 0, 0, None), ("b", 0, 5, 0, ""), ("b", 1, 9, 0, "Acme Works")]
     asked = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "doc_id string")
